@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corefold.llm import groups
+from corefold.llm import groups, spans
 from corefold.runtime import table
 
 
@@ -13,7 +13,31 @@ def p1_found(spark, d):
     return groups.connected_groups(links).select("group_id", F.col("member").alias("mention_id"))
 
 
-QUERIES = {"p1_found": p1_found}
+def _limit(spark, d, name):
+    """A value of the four-row table size_limits."""
+    return table(spark, d, "size_limits").where(F.col("limit_name") == name).first()["limit_value"]
+
+
+def p7_found(spark, d):
+    return spans.shared_spans(table(spark, d, "documents"), _limit(spark, d, "shared_span_chars"))
+
+
+def p7_shares(spark, d):
+    return spans.shared_shares(table(spark, d, "documents"), _limit(spark, d, "shared_span_chars"))
+
+
+_P7_SQL = """
+WITH k AS (SELECT limit_value AS k FROM size_limits WHERE limit_name = 'shared_span_chars'),
+starts AS (SELECT doc_id, text, k, unnest(range(0, length(text) - k + 1)) AS s FROM documents, k WHERE length(text) >= k),
+w AS (SELECT doc_id, s, k, substring(text, s + 1, k) AS t FROM starts),
+shared AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, s, k FROM w SEMI JOIN shared USING (t)),
+marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + k THEN 0 ELSE 1 END AS first FROM hit),
+numbered AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM marked),
+islands AS (SELECT doc_id, min(s)::INT AS span_start, (max(s) + max(k))::INT AS span_end FROM numbered GROUP BY doc_id, island)
+"""
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_shares": p7_shares}
 SQL = {
     "p1_found": """
 WITH RECURSIVE m AS (SELECT DISTINCT mention_id, conll_doc_id, mentions_features[3] AS i FROM mentions),
@@ -33,4 +57,9 @@ both_ways AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links W
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
 SELECT min(b) AS group_id, a AS mention_id FROM reach GROUP BY a
 """,
+    "p7_found": _P7_SQL + "SELECT doc_id, span_start, span_end FROM islands",
+    "p7_shares": _P7_SQL + """
+SELECT doc_id, max(coalesce(length(text), 0))::BIGINT AS n_chars, max(coalesce(n, 0))::BIGINT AS n_spans, max(coalesce(c, 0))::BIGINT AS shared_chars,
+       max(CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) ELSE 0 END)::DOUBLE AS shared_share
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(span_end - span_start) AS c FROM islands GROUP BY 1) USING (doc_id) GROUP BY 1""",
 }
