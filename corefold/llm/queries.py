@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corefold.llm import groups, spans
+from corefold.functions.lexical import clean_token
+from corefold.llm import groups, overlap, spans
 from corefold.runtime import table
 
 
@@ -26,6 +27,44 @@ def p7_shares(spark, d):
     return spans.shared_shares(table(spark, d, "documents"), _limit(spark, d, "shared_span_chars"))
 
 
+def _splits(spark, d):
+    """(id, split, source) of every document, once; case and blanks of the split are ignored."""
+    docs = table(spark, d, "conll_docs").select(F.col("conll_doc_id").alias("id"), F.lower(F.regexp_replace("split", r"\s", "")).alias("split"), "source")
+    return docs.distinct()
+
+
+def _p3(spark, d):
+    tokens = F.flatten(F.filter("conll_tokens", lambda u: u.isNotNull()))
+    features = table(spark, d, "feature_docs").select(F.col("conll_doc_id").alias("id"), F.transform(tokens, lambda t: F.lower(clean_token(t))).alias("tokens"))
+    side = F.when(F.col("split") == "train", "train").when(F.col("split").isin("dev", "test"), "eval")
+    classes = overlap.split_classes(features.join(_splits(spark, d).select("id", side.alias("side")), "id"), 3)
+    return overlap.class_overlaps(classes, 0.5), classes
+
+
+def p3_found(spark, d):
+    pairs = overlap.expand_pairs(*_p3(spark, d))
+    return pairs.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+
+
+def p3_report(spark, d):
+    return overlap.overlap_report(*_p3(spark, d), _splits(spark, d).where(F.col("split").isin("dev", "test")))
+
+
+_P3_SQL = """
+WITH plain AS (SELECT map(['/.', '/?', '-LRB-', '-RRB-', '-LCB-', '-RCB-', '-LSB-', '-RSB-'], ['.', '?', '(', ')', '{', '}', '[', ']']) AS m),
+f AS (SELECT DISTINCT conll_doc_id AS id, flatten(conll_tokens) AS raw FROM feature_docs),
+t AS (SELECT id, list_transform(raw, lambda x: lower(CASE WHEN x IN ('/', '%', '*') THEN x
+        ELSE coalesce(nullif(translate(coalesce(m[x], x), '/%*', ''), ''), ',') END)) AS t FROM f, plain),
+d AS (SELECT DISTINCT conll_doc_id AS id, lower(regexp_replace(split, '\\s', '', 'g')) AS split, source FROM conll_docs),
+i AS (SELECT id, t, unnest(range(1, len(t) - 1)) AS i FROM t),
+g AS (SELECT DISTINCT id, t[i] || chr(31) || t[i + 1] || chr(31) || t[i + 2] AS g FROM i),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+e AS (SELECT g.id, g.g FROM g JOIN d USING (id) WHERE split IN ('dev', 'test')),
+r AS (SELECT g.id, g.g FROM g JOIN d USING (id) WHERE split = 'train'),
+s AS (SELECT e.id AS a, r.id AS b, count(*) AS s FROM e JOIN r USING (g) GROUP BY 1, 2),
+hit AS (SELECT a, b FROM s JOIN n AS x ON x.id = a JOIN n AS y ON y.id = b WHERE 2 * s >= x.n + y.n - s)
+"""
+
 _P7_SQL = """
 WITH k AS (SELECT limit_value AS k FROM size_limits WHERE limit_name = 'shared_span_chars'),
 starts AS (SELECT doc_id, text, k, unnest(range(0, length(text) - k + 1)) AS s FROM documents, k WHERE length(text) >= k),
@@ -37,7 +76,7 @@ numbered AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY s) AS islan
 islands AS (SELECT doc_id, min(s)::INT AS span_start, (max(s) + max(k))::INT AS span_end FROM numbered GROUP BY doc_id, island)
 """
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p7_found": p7_found, "p7_shares": p7_shares}
 SQL = {
     "p1_found": """
 WITH RECURSIVE m AS (SELECT DISTINCT mention_id, conll_doc_id, mentions_features[3] AS i FROM mentions),
@@ -62,4 +101,8 @@ SELECT min(b) AS group_id, a AS mention_id FROM reach GROUP BY a
 SELECT doc_id, max(coalesce(length(text), 0))::BIGINT AS n_chars, max(coalesce(n, 0))::BIGINT AS n_spans, max(coalesce(c, 0))::BIGINT AS shared_chars,
        max(CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) ELSE 0 END)::DOUBLE AS shared_share
 FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(span_end - span_start) AS c FROM islands GROUP BY 1) USING (doc_id) GROUP BY 1""",
+    "p3_found": _P3_SQL + "SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM hit",
+    "p3_report": _P3_SQL + """
+SELECT split, source, count(*) AS records, count(p) AS overlapping, coalesce(sum(p), 0)::BIGINT AS pairs
+FROM d LEFT JOIN (SELECT a AS id, count(*) AS p FROM hit GROUP BY 1) USING (id) WHERE split IN ('dev', 'test') GROUP BY 1, 2""",
 }
