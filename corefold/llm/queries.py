@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corefold.functions.lexical import clean_token
-from corefold.llm import groups, overlap, spans
+from corefold.llm import groups, mixing, overlap, packing, pieces, spans
+from corefold.llm.tokens import with_token_counts
 from corefold.runtime import table
 
 
@@ -50,6 +51,37 @@ def p3_report(spark, d):
     return overlap.overlap_report(*_p3(spark, d), _splits(spark, d).where(F.col("split").isin("dev", "test")))
 
 
+def p2_pieces(spark, d):
+    limit, overlap_tokens = _limit(spark, d, "piece_tokens"), _limit(spark, d, "piece_overlap_tokens")
+    return pieces.cut_documents(table(spark, d, "feature_docs"), limit, overlap_tokens)
+
+
+def p2_found(spark, d):
+    return p2_pieces(spark, d).where("piece > 0").select("conll_doc_id").distinct()
+
+
+def p5_containers(spark, d):
+    sizes = with_token_counts(table(spark, d, "documents").select("doc_id", "text"))
+    return packing.pack(sizes, _limit(spark, d, "container_tokens"), "doc_id")
+
+
+def p5_fill(spark, d):
+    return packing.fill_report(p5_containers(spark, d), _limit(spark, d, "container_tokens"))
+
+
+def _p6(spark, d):
+    texts = table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "source", F.xxhash64("text").alias("f"), F.xxhash64(F.lit(1), "text").alias("g"), "text")
+    return mixing.mix(with_token_counts(texts, out="size"), table(spark, d, "mix_targets"))
+
+
+def p6_mix(spark, d):
+    return _p6(spark, d)[0].withColumnRenamed("id", "doc_id").withColumnRenamed("size", "n_tokens")
+
+
+def p6_shares(spark, d):
+    return _p6(spark, d)[1]
+
+
 _P3_SQL = """
 WITH plain AS (SELECT map(['/.', '/?', '-LRB-', '-RRB-', '-LCB-', '-RCB-', '-LSB-', '-RSB-'], ['.', '?', '(', ')', '{', '}', '[', ']']) AS m),
 f AS (SELECT DISTINCT conll_doc_id AS id, flatten(conll_tokens) AS raw FROM feature_docs),
@@ -76,7 +108,19 @@ numbered AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY s) AS islan
 islands AS (SELECT doc_id, min(s)::INT AS span_start, (max(s) + max(k))::INT AS span_end FROM numbered GROUP BY doc_id, island)
 """
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_report": p3_report, "p7_found": p7_found, "p7_shares": p7_shares}
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
+    "p5_containers": p5_containers,
+    "p5_fill": p5_fill,
+    "p6_mix": p6_mix,
+    "p6_shares": p6_shares,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
+}
 SQL = {
     "p1_found": """
 WITH RECURSIVE m AS (SELECT DISTINCT mention_id, conll_doc_id, mentions_features[3] AS i FROM mentions),
@@ -105,4 +149,6 @@ FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(span_end - span_star
     "p3_report": _P3_SQL + """
 SELECT split, source, count(*) AS records, count(p) AS overlapping, coalesce(sum(p), 0)::BIGINT AS pairs
 FROM d LEFT JOIN (SELECT a AS id, count(*) AS p FROM hit GROUP BY 1) USING (id) WHERE split IN ('dev', 'test') GROUP BY 1, 2""",
+    "p2_found": """SELECT DISTINCT conll_doc_id FROM feature_docs
+WHERE len(flatten(conll_tokens)) > (SELECT limit_value FROM size_limits WHERE limit_name = 'piece_tokens')""",
 }
