@@ -32,7 +32,9 @@ _CHUNK_TAGS = ["DT", "NN", "NNP"]
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per token. Null ids and null or empty texts give no tokens; positions count from 0 in each document."""
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).repartition("doc_id")
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    # A fixed number of partitions: tokens are many times the size of the texts that adaptive execution would coalesce by.
+    texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     parts = texts.select("doc_id", F.regexp_extract_all("t", F.lit(TOKEN_PATTERN), F.lit(1)).alias("w"), F.regexp_extract_all("t", F.lit(TOKEN_PATTERN), F.lit(2)).alias("ws"), F.length(F.regexp_extract("t", r"^\s*", 0)).alias("lead"))
     flat = parts.select("doc_id", "lead", F.posexplode(F.arrays_zip("w", "ws")).alias("tok_idx", "x")).select("doc_id", "lead", "tok_idx", F.col("x.w").alias("text"), F.col("x.ws").alias("ws"))
     doc = Window.partitionBy("doc_id").orderBy("tok_idx")

@@ -44,12 +44,27 @@ def with_rule_columns(tokens: DataFrame) -> DataFrame:
     return t.join(edges, ["doc_id", "tok_idx"], "left")
 
 
-def _trimmed(lo: Column, hi: Column, at, s_first: Column, s_last: Column, guarded: bool) -> tuple[Column, Column]:
-    """[start, end) of the inclusive range lo..hi without words that cannot begin or end a mention."""
-    last = F.greatest(at(hi)["prev_stay"], lo - 1, s_first if guarded else lo - 1)
-    last = F.least(hi, last)
-    first = F.least(at(lo)["next_stay"], last + 1, s_last if guarded else last + 1)
-    return F.greatest(lo, first), last + 1
+def _at(i: Column, array: str = "s") -> Column:
+    """The entry of a sentence's array for the token with index i."""
+    return F.get(array, i - F.col("s_first"))
+
+
+def _trim(lo: Column, hi: Column, guarded: bool) -> Column:
+    """struct(start, end): the inclusive range lo..hi without words that cannot begin or end a mention. guarded: never past the sentence's ends."""
+    last = F.least(hi, F.greatest(_at(hi)["prev_stay"], lo - 1, F.col("s_first") if guarded else lo - 1))
+    first = F.least(_at(lo)["next_stay"], last + 1, F.col("s_last") if guarded else last + 1)
+    return F.struct(F.greatest(lo, first).cast("int").alias("start"), (last + 1).cast("int").alias("end"))
+
+
+def _edges(t: Column, guarded: bool) -> Column:
+    """struct(lo, hi, q_lo, q_hi): a token's range with its children, and with those that are no conjuncts or prepositions."""
+    i = t["tok_idx"]
+    low, high = t["c_min"], t["c_max"]
+    if not guarded:  # a marker without children takes its head's
+        mark = (t["tag"] == "IN") & (t["dep"] == "mark") & low.isNull()
+        low, high = F.when(mark, _at(t["head"])["c_min"]).otherwise(low), F.when(mark, _at(t["head"])["c_max"]).otherwise(high)
+    pairs = {"lo": F.least(low, i), "hi": F.greatest(high, i), "q_lo": F.least(t["q_min"], i), "q_hi": F.greatest(t["q_max"], i)}
+    return F.struct(*[c.alias(name) for name, c in pairs.items()])
 
 
 def extract_spans(tokens: DataFrame, profile: str = "inference", blacklist: bool = True) -> DataFrame:
@@ -60,9 +75,15 @@ def extract_spans(tokens: DataFrame, profile: str = "inference", blacklist: bool
     """
     if profile not in ("inference", "training"):
         raise ValueError(profile)
+    guarded = profile == "inference"
     fields = ["tok_idx", "lower", "tag", "dep", "head", "l_edge", "r_edge", "n_lefts", "n_rights", "prev_stay", "next_stay", "c_min", "c_max", "n_min", "n_max", "q_min", "q_max"]
     rows = with_rule_columns(tokens).groupBy("doc_id", "sent_idx", "s_first", "s_last").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
-    found = F.flatten(F.transform("s", lambda t: _candidates(t, profile, blacklist)))
+    # Stage by stage, so that no expression is evaluated more than once per token.
+    rows = rows.withColumn("edges", F.transform("s", lambda t: _edges(t, guarded)))
+    rows = rows.withColumn("np", F.transform("edges", lambda e: _trim(e["lo"], e["hi"], guarded)))
+    plain = F.transform("edges", lambda e: _trim(e["q_lo"], e["q_hi"], guarded)) if not guarded else F.col("np")
+    rows = rows.withColumn("plain", plain)
+    found = F.flatten(F.transform("s", lambda t: _candidates(t, guarded, blacklist)))
     capped = F.slice(found, 1, SPAN_FACTOR * F.size("s"))
     spans = rows.select("doc_id", F.explode(capped).alias("x")).select("doc_id", "x.start", "x.end")
     return spans.unionByName(entities(tokens).select("doc_id", "start", "end")).where("end > start").distinct()
@@ -75,14 +96,16 @@ def entities(tokens: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id", "e").agg(F.min("tok_idx").alias("start"), (F.max("tok_idx") + 1).alias("end"), F.min("ent_type").alias("label"), F.min("sent_idx").alias("sent_idx")).drop("e")
 
 
-def _candidates(t: Column, profile: str, blacklist: bool) -> Column:
-    s_first, s_last = F.col("s_first"), F.col("s_last")
-    at = lambda i: F.get("s", i - s_first)
-    guarded = profile == "inference"
-    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    enlarge = lambda i, lo, hi: _trimmed(F.least(F.coalesce(lo, i), i), F.greatest(F.coalesce(hi, i), i), at, s_first, s_last, guarded)
+_NONE = "array<struct<start:int,end:int>>"
+
 
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+
+def _candidates(t: Column, guarded: bool, blacklist: bool) -> Column:
+    """The spans that one token gives rise to, in order."""
+    none = F.array().cast(_NONE)
     if guarded:
         pronoun = t["tag"].isin(PRONOUN_TAGS)
         skip = ~t["tag"].isin(KEEP_TAGS) | (t["dep"].isin(LEAVE_DEPS) & ~t["dep"].isin(KEEP_DEPS))
@@ -91,42 +114,34 @@ def _candidates(t: Column, profile: str, blacklist: bool) -> Column:
         skip = (~t["tag"].rlike("^(N|PRP|DT|IN)") | t["dep"].isin(LEAVE_DEPS)) & ~t["dep"].isin(KEEP_DEPS)
     if blacklist:
         skip = skip | t["lower"].isin(NO_COREF_WORDS)
-
-    alone = F.array(span(t["tok_idx"], t["tok_idx"] + 1))
-    subtree = F.when((t["n_lefts"] > 0) | (t["n_rights"] > 0), F.array(span(t["l_edge"], t["r_edge"] + 1))).otherwise(none)
-
-    start, end = enlarge(t["tok_idx"], t["c_min"], t["c_max"])
-    up = at(t["head"])
-    mark = (t["tag"] == "IN") & (t["dep"] == "mark")
-    if guarded:
-        other_start, other_end = enlarge(t["head"], up["c_min"], up["c_max"])
-        mark = mark & (start == end)
-    else:
-        other_start, other_end = enlarge(t["tok_idx"], up["c_min"], up["c_max"])
-        mark = mark & t["c_min"].isNull()
-    start, end = F.when(mark, other_start).otherwise(start), F.when(mark, other_end).otherwise(end)
-    good = (end > start) & (at(start)["lower"] != POSSESSIVE)
-    phrase = F.when(good, F.array(span(start, end))).otherwise(none)
+    alone = F.array(_span(t["tok_idx"], t["tok_idx"] + 1))
+    subtree = F.when((t["n_lefts"] > 0) | (t["n_rights"] > 0), F.array(_span(t["l_edge"], t["r_edge"] + 1))).otherwise(none)
+    own = _at(t["tok_idx"], "np")
+    if guarded:  # a marker whose span is empty takes its head's
+        mark = (t["tag"] == "IN") & (t["dep"] == "mark") & (own["start"] == own["end"])
+        own = F.when(mark, _at(t["head"], "np")).otherwise(own)
+    good = (own["end"] > own["start"]) & (_at(own["start"])["lower"] != POSSESSIVE)
+    phrase = F.array(own)
     if not guarded:
-        inside = F.exists("s", lambda x: (x["tok_idx"] >= start) & (x["tok_idx"] < end) & x["dep"].isin(CONJUNCT_DEPS))
-        plain_start, plain_end = enlarge(t["tok_idx"], t["q_min"], t["q_max"])
-        phrase = F.concat(phrase, F.when(good & inside & (plain_end > plain_start), F.array(span(plain_start, plain_end))).otherwise(none))
-    rule = F.when(t["lower"] == POSSESSIVE, _possessor(t, at, span, none, enlarge, guarded)).otherwise(phrase)
+        inside = F.exists(F.slice("s", own["start"] - F.col("s_first") + 1, own["end"] - own["start"]), lambda x: x["dep"].isin(CONJUNCT_DEPS))
+        rest = _at(t["tok_idx"], "plain")
+        phrase = F.concat(phrase, F.when(inside & (rest["end"] > rest["start"]), F.array(rest)).otherwise(none))
+    rule = F.when(t["lower"] == POSSESSIVE, _possessor(t, guarded)).when(good, phrase).otherwise(none)
     return F.when(F.coalesce(skip, F.lit(True)), none).when(pronoun, F.concat(alone, subtree)).otherwise(rule)
 
 
-def _possessor(t: Column, at, span, none: Column, enlarge, guarded: bool) -> Column:
+def _possessor(t: Column, guarded: bool) -> Column:
     """The span around the first subject that is met climbing the heads from a possessive mark."""
-    step = lambda i, _: F.when((at(i)["dep"] == "nsubj") | (at(i)["head"] == i) | (guarded & (i == 0)), i).otherwise(at(i)["head"])
+    step = lambda i, _: F.when((_at(i)["dep"] == "nsubj") | (_at(i)["head"] == i) | (F.lit(guarded) & (i == 0)), i).otherwise(_at(i)["head"])
     top = F.aggregate(F.sequence(F.lit(1), F.least(F.size("s"), F.lit(MOST_CLIMBS))), t["head"], step)
-    found = (at(top)["dep"] == "nsubj") & ((top != 0) if guarded else (at(top)["head"] != top))
+    found = (_at(top)["dep"] == "nsubj") & ((top != 0) if guarded else (_at(top)["head"] != top))
     if guarded:
-        start, end = enlarge(top, at(top)["n_min"], at(top)["n_max"])
-        out = span(start, F.least(end + 1, F.col("s_last") + 1))
+        around = _trim(F.least(_at(top)["n_min"], top), F.greatest(_at(top)["n_max"], top), guarded)
+        out = _span(around["start"], F.least(around["end"] + 1, F.col("s_last") + 1))
     else:
-        over = at(at(top)["head"])
-        out = span(F.coalesce(over["n_min"], t["tok_idx"]), F.coalesce(over["n_max"], t["tok_idx"]) + 1)
-    return F.when(found, F.array(out)).otherwise(none)
+        over = _at(_at(top)["head"])
+        out = _span(F.coalesce(over["n_min"], t["tok_idx"]), F.coalesce(over["n_max"], t["tok_idx"]) + 1)
+    return F.when(found, F.array(out)).otherwise(F.array().cast(_NONE))
 
 
 def describe_mentions(spans: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -150,7 +165,7 @@ def describe_mentions(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     kind = F.when(F.col("is_list"), 3).when(F.col("root_tag").isin(PRONOUN_TAGS), 0).when(F.col("root_ent").isin(ENTITY_LABELS) | F.col("root_tag").isin(PROPER_TAGS), 2).otherwise(1)
     content = F.array_distinct(F.transform(F.filter("w", lambda x: x["tag"].isin(CONTENT_TAGS)), lambda x: x["lower"]))
     # The text of a span has the whitespace between its tokens but none after the last one.
-    text = F.rtrim(F.array_join(F.transform("w", lambda x: F.concat(x["text"], x["ws"])), ""))
+    text = F.concat(F.array_join(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x: F.concat(x["text"], x["ws"])), ""), F.element_at("w", -1)["text"])
     named = entities(tokens).select("doc_id", "sent_idx", F.col("start").alias("e_start"), F.col("end").alias("e_end"), "label")
     m = m.select("doc_id", "start", "end", "root", "sent_idx", "start_char", "end_char", kind.alias("mention_type"), "root_lower", "root_tag", F.lower(text).alias("span_lower"), text.alias("text"), content.alias("content_words"))
     inside = m.select("doc_id", "sent_idx", "start", "end").join(named, ["doc_id", "sent_idx"]).where("e_start <= start and end <= e_end").groupBy("doc_id", "start", "end").agg(F.min_by("label", "e_start").alias("ent_label"))

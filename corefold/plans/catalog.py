@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corefold.plans import core_queries
+from corefold.plans import core_queries, text_queries
 
-QUERIES = dict(core_queries.QUERIES)
-SQL = dict(core_queries.SQL)
+QUERIES = core_queries.QUERIES | text_queries.QUERIES
+SQL = core_queries.SQL | text_queries.SQL
 
 
 def flagship(spark, d):
