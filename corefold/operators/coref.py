@@ -32,13 +32,17 @@ def forest_roots(links: DataFrame) -> DataFrame:
     an array that is composed with itself until every entry is a root (a logarithmic number of times).
     """
     per_doc = links.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("men_idx").cast("int").alias("m_idx"), F.col("best_ant").cast("int").alias("best_ant")))).alias("l"))
-    at = F.map_from_entries(F.transform("l", lambda x: F.struct(x["m_idx"], x["best_ant"])))
-    dense = F.element_at(F.transform("l", lambda x: x["m_idx"]), -1) + 1 == F.size("l")
-    pointers = F.when(dense, F.transform("l", lambda x: x["best_ant"])).otherwise(F.transform(F.sequence(F.lit(0), F.element_at("l", -1)["m_idx"]), lambda i: F.coalesce(at[i], i)))
+    at = F.map_from_entries("l")
+    dense = F.element_at("l", -1)["m_idx"] + 1 == F.size("l")
+    every = F.sequence(F.lit(0), F.element_at("l", -1)["m_idx"])
+    pointers = F.when(dense, F.transform("l", lambda x: x["best_ant"])).otherwise(F.transform(every, lambda i: F.coalesce(at[i], i)))
+    present = F.when(dense, F.transform("l", lambda x: F.lit(True))).otherwise(F.transform(every, lambda i: F.array_contains(F.map_keys(at), i)))
     rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("p") + 1)).cast("int"))
     roots = F.aggregate(rounds, F.col("p"), lambda acc, _: F.transform(acc, lambda x: F.get(acc, x)))
-    found = per_doc.withColumn("p", pointers).select("doc_id", F.explode(F.arrays_zip("l", F.transform("l", lambda x: F.get(roots, x["m_idx"])).alias("root"))).alias("x"))
-    return found.select("doc_id", "x.l.m_idx", "x.l.best_ant", F.col("x.root").alias("root"))
+    # The arrays are zipped by position, never looked up per element: a lookup would compute them again for each.
+    zipped = per_doc.withColumn("p", pointers).select("doc_id", F.arrays_zip(F.col("p").alias("best_ant"), roots.alias("root"), present.alias("present")).alias("z"))
+    found = zipped.select("doc_id", F.posexplode("z").alias("m_idx", "x")).where("x.present")
+    return found.select("doc_id", "m_idx", "x.best_ant", "x.root")
 
 
 def drop_singletons(members: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 State per conversation: the raw attributes of all mentions so far and the links made. A micro-batch's utterances are
 put in order, their mentions appended, and only these linked - to any earlier mention - so links once given out
 do not change. Indices and distances are taken from the state at each trigger. State grows with a conversation and
-ends with it (``idle`` without utterances).
+ends after ``idle`` milliseconds without utterances, if given.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def step(state: dict, rows: list[tuple[int, str]], max_dist: int = 50) -> tuple[
     return {"mentions": mentions, "where": where, "links": links, "roots": roots}, out
 
 
-def continuous_coref(utterances: DataFrame, max_dist: int = 50, idle: int = 3_600_000) -> DataFrame:
+def continuous_coref(utterances: DataFrame, max_dist: int = 50, idle: int | None = None) -> DataFrame:
     """Stream of (conv_id, utt_idx, m_idx, mention, best_ant, root) for a stream of (conv_id, utt_idx, text). Rows with a null id or index are dropped."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -84,12 +84,13 @@ def continuous_coref(utterances: DataFrame, max_dist: int = 50, idle: int = 3_60
         rows = [(u, t) for frame in frames for u, t in zip(frame["utt_idx"], frame["text"])]
         held, out = step(held, rows, max_dist)
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(idle)
+        if idle:
+            state.setTimeoutDuration(idle)
         if out:
             yield pd.DataFrame([(key[0], *row) for row in out], columns=["conv_id", "utt_idx", "m_idx", "mention", "best_ant", "root"])
 
     kept = utterances.where("conv_id is not null and utt_idx is not null").select("conv_id", "utt_idx", "text")
-    return kept.groupBy("conv_id").applyInPandasWithState(update, OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return kept.groupBy("conv_id").applyInPandasWithState(update, OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def batch_coref(utterances: DataFrame, max_dist: int = 50) -> DataFrame:
