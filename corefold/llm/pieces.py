@@ -4,7 +4,7 @@ Method: a hierarchy of separators, tried from coarse to fine. Where the rest of
 fit, the piece ends at the last boundary that still fits between utterances; without one, at the last
 sentence end outside all protected spans, then at the last token boundary outside them, then at the limit.
 (A token is the smallest unit here, so no cut falls inside one.) Pieces are thus packed greedily; each
-repeats the last ``overlap`` tokens of the one before.
+repeats the last ``overlap`` tokens of the one before, and none is so short that it could not be repeated so far.
 
 Scale: every document is cut on its own in an Arrow batch; nothing is shuffled but to drop repeated
 rows. Boundaries are found for whole batches at a time.
@@ -61,13 +61,14 @@ def choose_cuts(n: int, levels: list[np.ndarray], limit: int, overlap: int) -> l
             out.append((fresh - carried, n, carried, 0))
             return out
         end, level = reach, len(levels) + 1
+        least = max(fresh, fresh - carried + overlap - 1)  # what the next piece repeats must fit into this one
         for k, bounds in enumerate(levels, 1):
             i = np.searchsorted(bounds, reach, "right") - 1
-            if i >= 0 and bounds[i] > fresh:
+            if i >= 0 and bounds[i] > least:
                 end, level = int(bounds[i]), k
                 break
         out.append((fresh - carried, end, carried, level))
-        carried = min(overlap, end - (fresh - carried))
+        carried = overlap
         fresh = end
 
 

@@ -67,8 +67,8 @@ def counter(path: str) -> Callable[[str], int]:
 
 
 def with_token_counts(df: DataFrame, text_col: str = "text", out: str = "n_tokens", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Replace the text by its number of tokens; a null or empty text has 0."""
-    kept = [f for f in df.schema.fields if f.name != text_col]
+    """Replace the text by its number of tokens; a null or empty text has 0. A column already named ``out`` is replaced."""
+    kept = [f for f in df.schema.fields if f.name not in (text_col, out)]
     schema = T.StructType([*kept, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
