@@ -13,34 +13,83 @@ n-gram's positions bound the overlap; what passes is verified on the whole sets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corefold.llm.spans import mix
 from corefold.runtime import stash
 
+_MOST_KEPT = 1 << 19
+_U = np.uint64
+
+
+def ngram_sets(records: DataFrame, n: int, keep: tuple[str, ...] = (), clean: Callable[[str], str] | None = None) -> DataFrame:
+    """(id, *keep, n, f, g, grams): the distinct hashes of all runs of n tokens of each row's ``tokens``, sorted, with a fingerprint of the set.
 
-def word_ngrams(tokens: Column, n: int) -> Column:
-    """The distinct hashes of all runs of n tokens; an empty array for fewer tokens."""
-    hashed = F.transform(tokens, lambda t: F.xxhash64(t))
-    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    runs = F.slice(hashed, 1, count)
-    for i in range(1, n):
-        runs = F.zip_with(runs, F.slice(hashed, 1 + i, count), lambda a, b: F.xxhash64(a, b))
-    return F.array_distinct(runs)
+    clean maps a token (null as '') to its plain form; it is called once per distinct token and process. Rows are taken as they are; too few tokens give an empty set.
+    """
+    kept = [f for f in records.schema.fields if f.name in keep]
+    schema = ", ".join(["id long", *(f"{f.name} {f.dataType.simpleString()}" for f in kept), "n int, f long, g long, grams array<long>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str | None, int] = {}
+        for batch in batches:
+            tokens = batch["tokens"]
+            sizes = np.diff(tokens.offsets.to_numpy())
+            coded = tokens.flatten().dictionary_encode(null_encoding="encode")
+            if len(seen) > _MOST_KEPT:
+                seen.clear()
+            for word in coded.dictionary.to_pylist():
+                if word not in seen:
+                    plain = clean(word or "") if clean else word or ""
+                    seen[word] = int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            table = np.array([seen[word] for word in coded.dictionary.to_pylist()], np.uint64)
+            words = table[coded.indices.to_numpy()] if len(table) else table
+            counts = np.maximum(sizes - (n - 1), 0)
+            doc = np.repeat(np.arange(len(sizes)), counts)
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(np.cumsum(sizes) - sizes, counts)
+            gram = words[at]
+            for k in range(1, n):
+                gram = mix(gram * _U(0x9E3779B97F4A7C15) + words[at + k])
+            order = np.lexsort((gram, doc))
+            doc, gram = doc[order], gram[order]
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])] if len(doc) else np.zeros(0, bool)
+            doc, gram = doc[new], gram[new]
+            held = np.bincount(doc, minlength=len(sizes))
+            ends = np.r_[0, np.cumsum(held)]
+            prints = [np.r_[_U(0), np.cumsum(mix(gram + _U(seed)))] for seed in (1, 2)]
+            f, g = ((p[ends[1:]] - p[ends[:-1]]).view(np.int64) for p in prints)
+            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["id"], *(batch[c.name] for c in kept), pa.array(held.astype(np.int32)), pa.array(f), pa.array(g), grams], names=["id", *(c.name for c in kept), "n", "f", "g", "grams"])
+
+    tokens = F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")
+    return records.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), *[f.name for f in kept], tokens).mapInArrow(run, schema)
 
 
 def split_classes(records: DataFrame, n: int = 5) -> DataFrame:
-    """(id, side, class, n, grams): records (id, side, tokens) with their n-gram sets.
+    """(id, side, class, n, grams) of records (id, side, tokens): see ``set_classes``."""
+    return set_classes(ngram_sets(records, n, ("side",)))
+
+
+def set_classes(sets: DataFrame, sides: DataFrame | None = None) -> DataFrame:
+    """(id, side, class, n, grams): records with their n-gram sets; grams is null but for one record of each class.
 
-    side is 'train' or 'eval'; rows with another side, a null id or without an n-gram are dropped, repeated
-    rows of an id count once. class is the smallest id of the records of that side with the same set.
+    side is 'train' or 'eval'; rows with another side or without an n-gram are dropped, repeated rows of an id count once. class is the
+    smallest id of the records of that side with the same set. sides: (id, side), where ``sets`` has no side. Only narrow rows are grouped; the
+    sets of the class representatives alone are shuffled.
     """
-    kept = records.where(F.col("id").isNotNull() & F.col("side").isin("train", "eval")).select("id", "side", word_ngrams(F.coalesce("tokens", F.array().cast("array<string>")), n).alias("grams"))
-    kept = kept.where(F.size("grams") > 0).dropDuplicates(["id"])
-    ordered = kept.withColumn("grams", F.array_sort("grams"))
-    marked = stash(ordered.select("id", "side", F.size("grams").alias("n"), F.xxhash64("grams").alias("f"), F.xxhash64(F.lit(1), "grams").alias("g"), "grams"), "grams")
-    firsts = marked.groupBy("side", "n", "f", "g").agg(F.min("id").alias("class"))
-    return marked.join(firsts, ["side", "n", "f", "g"]).select("id", "side", "class", "n", "grams")
+    kept = stash(sets.where("n > 0"), "grams")
+    narrow = kept.drop("grams") if sides is None else kept.drop("grams").join(sides.select("id", "side"), "id")
+    narrow = narrow.where(F.col("side").isin("train", "eval")).groupBy("id").agg(*[F.min(c).alias(c) for c in ("side", "n", "f", "g")])
+    firsts = narrow.groupBy("side", "n", "f", "g").agg(F.min("id").alias("class"))
+    members = stash(narrow.join(firsts, ["side", "n", "f", "g"]).select("id", "side", "class", "n"), "members")
+    shown = members.where("id = class").join(kept.select("id", "grams"), "id").dropDuplicates(["id"])
+    return stash(shown.select("id", "side", "class", "n", "grams").unionByName(members.where("id <> class").withColumn("grams", F.lit(None).cast("array<bigint>"))), "classes")
 
 
 def class_overlaps(classes: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corefold.functions.lexical import clean_token
+from corefold.functions.lexical import PLAIN_FORMS, STRAY_CHARACTERS
 from corefold.llm import groups, mixing, overlap, packing, pieces, spans
 from corefold.llm.tokens import with_token_counts
 from corefold.runtime import table
@@ -34,11 +34,21 @@ def _splits(spark, d):
     return docs.distinct()
 
 
+def _plain_token(token):
+    """``clean_token`` and lower case, for one token."""
+    kept = token if token in STRAY_CHARACTERS else PLAIN_FORMS.get(token, token).translate(_NO_STRAYS)
+    return (kept or ",").lower()
+
+
+_NO_STRAYS = str.maketrans("", "", STRAY_CHARACTERS)
+
+
 def _p3(spark, d):
     tokens = F.flatten(F.filter("conll_tokens", lambda u: u.isNotNull()))
-    features = table(spark, d, "feature_docs").select(F.col("conll_doc_id").alias("id"), F.transform(tokens, lambda t: F.lower(clean_token(t))).alias("tokens"))
+    features = table(spark, d, "feature_docs").select(F.col("conll_doc_id").alias("id"), tokens.alias("tokens"))
     side = F.when(F.col("split") == "train", "train").when(F.col("split").isin("dev", "test"), "eval")
-    classes = overlap.split_classes(features.join(_splits(spark, d).select("id", side.alias("side")), "id"), 3)
+    sides = _splits(spark, d).select("id", side.alias("side"))
+    classes = overlap.set_classes(overlap.ngram_sets(features, 3, clean=_plain_token), sides)
     return overlap.class_overlaps(classes, 0.5), classes
 
 

@@ -99,7 +99,7 @@ def shared_shares(documents: DataFrame, min_length: int, id_col: str = "doc_id",
 # --- the parse, vectorised over a few hundred thousand characters at a time ---
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(32))
     x *= _U(0xD6E8FEB86659FD93)
     x ^= x >> _U(32)
@@ -129,7 +129,7 @@ class _Prefixes:
         x -= self.sums[start]
         x *= self.inverses[start]
         x += _U(seed * 0x2545F4914F6CDD1D % (1 << 64))
-        return _mix(x)
+        return mix(x)
 
 
 def _bounds_by_round(context: int) -> list[int]:
@@ -147,7 +147,7 @@ def _boundaries(text: _Prefixes, hard: np.ndarray, rounds: list[int]) -> tuple[n
     bounds, runs = np.arange(n + 1), [np.zeros(0, np.int64)]
     for turn, longest in enumerate(rounds):
         start, end = bounds[:-1], bounds[1:]
-        name = _mix(text.chars) if turn == 0 else text.names(start, end, turn)
+        name = mix(text.chars) if turn == 0 else text.names(start, end, turn)
         right = name >= _U(1 << 63)
         same = name[:-1] == name[1:]
         merge = same | (~right[:-1] & right[1:])
