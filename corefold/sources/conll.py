@@ -98,7 +98,8 @@ def parse_brackets(tokens: DataFrame, strict: bool = True, within: tuple[str, ..
     whole = F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("depth") > 0)
     if strict:
         pairs = pairs.withColumn("end", F.when(whole, F.col("end")).otherwise(F.raise_error(F.concat(F.lit("coreference bracket without partner: "), "label")).cast("int")))
-    pairs = pairs.where(whole)
+    else:
+        pairs = pairs.where(whole)
     return pairs.select(*within, "label", "start", "end").unionByName(single)
 
 
