@@ -8,6 +8,8 @@ summed over documents, so scores are micro averages.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,20 +61,42 @@ def document_counters(key: DataFrame, response: DataFrame, ceaf: bool = True) ->
 
 
 def _assigned(sized: DataFrame) -> DataFrame:
-    """(doc_id, phi_m, phi_e): the best one-to-one assignment's total similarity, by shared mentions and by the entity-based ratio."""
-    kind = sized.schema["doc_id"].dataType.simpleString()
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        k, r = pd.factorize(group["k"])[0], pd.factorize(group["r"])[0]
-        s = group["s"].to_numpy(float)
-        ratio = 2 * s / (group["kn"].to_numpy(float) + group["rn"].to_numpy(float))
-        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]], "phi_m": [best_assignment(k, r, s)], "phi_e": [best_assignment(k, r, ratio)]})
-
-    return sized.groupBy("doc_id").applyInPandas(solve, f"doc_id {kind}, phi_m double, phi_e double")
+    """(doc_id, phi_m, phi_e): the best one-to-one assignment's total similarity, by shared mentions and by the entity-based ratio.
 
+    Documents come in order in each partition, and all documents of a batch are solved together; a document whose rows reach over batches waits for its last one.
+    """
+    kind = sized.schema["doc_id"].dataType.simpleString()
 
-def best_assignment(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray) -> float:
-    """The largest total weight of a one-to-one assignment of a sparse bipartite graph, one connected component at a time."""
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        doc, names = pd.factorize(frame["doc_id"])
+        k = frame.groupby([doc, frame["k"].to_numpy()]).ngroup().to_numpy()
+        r = frame.groupby([doc, frame["r"].to_numpy()]).ngroup().to_numpy()
+        s = frame["s"].to_numpy(float)
+        ratio = 2 * s / (frame["kn"].to_numpy(float) + frame["rn"].to_numpy(float))
+        edges, totals = best_assignments(k, r, [s, ratio])
+        phi = [np.bincount(doc[edges], weights=t, minlength=len(names)) for t in totals]
+        return pd.DataFrame({"doc_id": names, "phi_m": phi[0], "phi_e": phi[1]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if len(frame):
+                last = frame["doc_id"] == frame["doc_id"].iloc[-1]
+                held = frame[last]
+                if not last.all():
+                    yield solve(frame[~last].reset_index(drop=True))
+        if held is not None and len(held):
+            yield solve(held.reset_index(drop=True))
+
+    return sized.select("doc_id", "k", "r", "s", "kn", "rn").repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(run, f"doc_id {kind}, phi_m double, phi_e double")
+
+
+def best_assignments(rows: np.ndarray, cols: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The largest total weight of a one-to-one assignment of each connected component of a sparse bipartite graph.
+
+    Returns one edge of each component and, for each of the weightings, the components' totals.
+    """
     n = int(rows.max()) + 1
     label = np.arange(n + int(cols.max()) + 1)
     while True:
@@ -83,18 +107,25 @@ def best_assignment(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray) ->
         if (new == label).all():
             break
         label = new
-    total = 0.0
     part = label[rows]
     order = np.argsort(part, kind="stable")
-    for chunk in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+    starts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+    sizes = np.diff(np.r_[starts, len(order)])
+    totals = [np.maximum.reduceat(w[order], starts) for w in weights]  # right where one side is a single entity
+    for c in np.flatnonzero(sizes > 1):
+        chunk = order[starts[c] : starts[c] + sizes[c]]
         a, b = np.unique(rows[chunk], return_inverse=True)[1], np.unique(cols[chunk], return_inverse=True)[1]
-        if a.max() == 0 or b.max() == 0:
-            total += float(weights[chunk].max())
-            continue
-        dense = np.zeros((a.max() + 1, b.max() + 1))
-        dense[a, b] = weights[chunk]
-        total += hungarian(dense if dense.shape[0] <= dense.shape[1] else dense.T)
-    return total
+        if a.max() and b.max():
+            for w, total in zip(weights, totals):
+                dense = np.zeros((a.max() + 1, b.max() + 1))
+                dense[a, b] = w[chunk]
+                total[c] = hungarian(dense if dense.shape[0] <= dense.shape[1] else dense.T)
+    return order[starts], totals
+
+
+def best_assignment(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray) -> float:
+    """The largest total weight of a one-to-one assignment of a sparse bipartite graph."""
+    return float(best_assignments(rows, cols, [weights])[1][0].sum())
 
 
 def hungarian(gain: np.ndarray) -> float:

@@ -13,6 +13,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,21 @@ def session(app: str = "corefold", cpus: str | int = "*", shuffle_partitions: in
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application, wherever it was imported from."""
+    context = spark.sparkContext
+    if getattr(context, "_corefold_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="corefold-code-")  # on the driver; Spark distributes the file
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/corefold.zip", "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(f"{folder}/corefold.zip")
+    context._corefold_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for this application's stashed tables."""
     global _own_folder
