@@ -50,7 +50,7 @@ def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", seed:
         labels = mapping.join(upper, "r", "left").select("v", F.coalesce("top", "r").alias("r"))
     labels = stash(labels, "labels")
     discard(spark, *mappings)
-    smallest = labels.groupBy("r").agg(F.min("v").alias("group_id"))
+    smallest = stash(labels.groupBy("r").agg(F.min("v").alias("group_id")), "smallest")
     return labels.join(smallest, "r").select("group_id", F.col("v").alias("member"))
 
 

@@ -85,8 +85,8 @@ def set_classes(sets: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     """
     kept = stash(sets.where("n > 0"), "grams")
     narrow = kept.drop("grams") if sides is None else kept.drop("grams").join(sides.select("id", "side"), "id")
-    narrow = narrow.where(F.col("side").isin("train", "eval")).groupBy("id").agg(*[F.min(c).alias(c) for c in ("side", "n", "f", "g")])
-    firsts = narrow.groupBy("side", "n", "f", "g").agg(F.min("id").alias("class"))
+    narrow = stash(narrow.where(F.col("side").isin("train", "eval")).groupBy("id").agg(*[F.min(c).alias(c) for c in ("side", "n", "f", "g")]), "narrow")
+    firsts = stash(narrow.groupBy("side", "n", "f", "g").agg(F.min("id").alias("class")), "firsts")
     members = stash(narrow.join(firsts, ["side", "n", "f", "g"]).select("id", "side", "class", "n"), "members")
     shown = members.where("id = class").join(kept.select("id", "grams"), "id").dropDuplicates(["id"])
     return stash(shown.select("id", "side", "class", "n", "grams").unionByName(members.where("id <> class").withColumn("grams", F.lit(None).cast("array<bigint>"))), "classes")

@@ -56,6 +56,7 @@ def shared_spans(documents: DataFrame, min_length: int, id_col: str = "doc_id",
     blocks = stash(texts.mapInArrow(_block_rows(min_length), "key long, stretch long, id long, start int, n int"), "blocks")
 
     keys = blocks.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
+    keys = stash(keys, "keys")  # both sides of the join are then plain exchanges, which adaptive execution can split
     candidates = stash(blocks.join(keys, "key", "left_semi"), "candidates")
     discard(spark, blocks)
     kinds = candidates.groupBy("key", "stretch").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min(F.struct("id", "start", "n")).alias("one"))
@@ -71,6 +72,7 @@ def shared_spans(documents: DataFrame, min_length: int, id_col: str = "doc_id",
     windows = texts.join(per_text, "id").mapInArrow(_window_rows(min_length), "key long, name long, id long, start int, model boolean")
     windows = stash(windows.distinct(), "windows")
     found = windows.groupBy("key", "name").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("model").alias("m")).where("a <> b or m").select("key", "name")
+    found = stash(found, "found")
     single = windows.where("not model").join(found, ["key", "name"], "left_semi").select("id", F.col("start").alias("lo"), (F.col("start") + min_length).alias("hi"))
     return _islands(whole.unionByName(single)).withColumnRenamed("id", id_col)
 
