@@ -1,9 +1,9 @@
 """Continuous coreference over a stream of utterances.
 
 State per conversation: the raw attributes of all mentions so far and the links made. A micro-batch's utterances are
-put in order, their mentions appended, and only these linked - to any earlier mention - so links once given out
-do not change. Indices and distances are taken from the state at each trigger. State grows with a conversation and
-ends after ``idle`` milliseconds without utterances, if given.
+put in order, their mentions appended, and only these linked - to earlier mentions in an index band, or in a longer
+band where they share a word - so links once given out do not change. Indices and distances are taken from the state
+at each trigger. State grows with a conversation and ends after ``idle`` milliseconds without utterances, if given.
 """
 
 from __future__ import annotations
@@ -41,23 +41,29 @@ def surface_mentions(text: str) -> list[str]:
     return out + ([" ".join(run)] if run else [])
 
 
-def link(mentions: list[str], first_new: int, links: list[int], max_dist: int = 50) -> list[int]:
-    """Extend ``links`` by the best antecedent of each new mention: an equal name, a shared last word, else for pronouns the nearest name; itself without one."""
+def link(mentions: list[str], first_new: int, links: list[int], max_dist: int | None = 50, max_dist_match: int | None = 500) -> list[int]:
+    """Extend ``links`` by the best antecedent of each new mention: the nearest equal name, else one with its last word, else for pronouns the nearest name; itself without one.
+
+    Candidates are those of ``pairs.candidate_pairs``: all mentions at most ``max_dist`` back, and those that share a word (pronouns have none)
+    at most ``max_dist_match`` back; None sets no bound. A shared word other than the last one alone makes no link, so the nearest mention
+    of each name and of each last word is all that has to be looked up.
+    """
     links = list(links)
-    for i in range(first_new, len(mentions)):
-        own, best, top = mentions[i].lower(), i, 0.0
-        pronoun = own in _PRONOUNS
-        for j in range(i - 1, max(-1, i - 1 - max_dist), -1):
-            other = mentions[j].lower()
-            score = 10.0 * (own == other) + 5.0 * (not pronoun and own.split()[-1] == other.split()[-1]) + 2.0 * (pronoun and other not in _PRONOUNS)
-            score -= 0.01 * (i - j)
-            if score > top:
-                best, top = j, score
-        links.append(best)
+    matched = None if max_dist is None or max_dist_match is None else max(max_dist, max_dist_match)
+    equal, ending, name = {}, {}, None
+    for i, mention in enumerate(mentions):
+        own = mention.lower()
+        last, pronoun = own.split()[-1], own in _PRONOUNS
+        if i >= first_new:
+            reach = max_dist if pronoun else matched
+            ranked = (equal.get(own), name if pronoun else ending.get(last))
+            links.append(next((j for j in ranked if j is not None and (reach is None or i - j <= reach)), i))
+        equal[own] = ending[last] = i
+        name = name if pronoun else i
     return links
 
 
-def step(state: dict, rows: list[tuple[int, str]], max_dist: int = 50) -> tuple[dict, list[tuple]]:
+def step(state: dict, rows: list[tuple[int, str]], max_dist: int | None = 50, max_dist_match: int | None = 500) -> tuple[dict, list[tuple]]:
     """Apply utterances (utt_idx, text) to a conversation's state; returns the new state and a row per new mention."""
     mentions, where, links = list(state.get("mentions", [])), list(state.get("where", [])), list(state.get("links", []))
     first = len(mentions)
@@ -65,7 +71,7 @@ def step(state: dict, rows: list[tuple[int, str]], max_dist: int = 50) -> tuple[
         for mention in surface_mentions(text):
             mentions.append(mention)
             where.append(int(utt_idx))
-    links = link(mentions, first, links, max_dist)
+    links = link(mentions, first, links, max_dist, max_dist_match)
     roots = list(state.get("roots", []))
     for i in range(first, len(mentions)):
         roots.append(i if links[i] == i else roots[links[i]])
@@ -73,7 +79,7 @@ def step(state: dict, rows: list[tuple[int, str]], max_dist: int = 50) -> tuple[
     return {"mentions": mentions, "where": where, "links": links, "roots": roots}, out
 
 
-def continuous_coref(utterances: DataFrame, max_dist: int = 50, idle: int | None = None) -> DataFrame:
+def continuous_coref(utterances: DataFrame, max_dist: int | None = 50, idle: int | None = None, max_dist_match: int | None = 500) -> DataFrame:
     """Stream of (conv_id, utt_idx, m_idx, mention, best_ant, root) for a stream of (conv_id, utt_idx, text). Rows with a null id or index are dropped."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -82,7 +88,7 @@ def continuous_coref(utterances: DataFrame, max_dist: int = 50, idle: int | None
             return
         held = json.loads(state.get[0]) if state.exists else {}
         rows = [(u, t) for frame in frames for u, t in zip(frame["utt_idx"], frame["text"])]
-        held, out = step(held, rows, max_dist)
+        held, out = step(held, rows, max_dist, max_dist_match)
         state.update((json.dumps(held),))
         if idle:
             state.setTimeoutDuration(idle)
@@ -93,11 +99,11 @@ def continuous_coref(utterances: DataFrame, max_dist: int = 50, idle: int | None
     return kept.groupBy("conv_id").applyInPandasWithState(update, OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
-def batch_coref(utterances: DataFrame, max_dist: int = 50) -> DataFrame:
+def batch_coref(utterances: DataFrame, max_dist: int | None = 50, max_dist_match: int | None = 500) -> DataFrame:
     """The same result for a finished table."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        _, out = step({}, list(zip(group["utt_idx"], group["text"])), max_dist)
+        _, out = step({}, list(zip(group["utt_idx"], group["text"])), max_dist, max_dist_match)
         return pd.DataFrame([(group["conv_id"].iloc[0], *row) for row in out], columns=["conv_id", "utt_idx", "m_idx", "mention", "best_ant", "root"])
 
     kept = utterances.where("conv_id is not null and utt_idx is not null").select("conv_id", "utt_idx", "text")

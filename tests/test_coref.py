@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +152,35 @@ def test_incremental_steps_equal_one_step():
     assert pd.DataFrame(whole).shape[1] == 5
 
 
+def test_links_of_a_long_conversation():
+    other = [f"Other{i} Name{i}" for i in range(600)]
+    said = ["Ann Lee", "she", *other[:60], "Ann Lee", "Mr Lee", "she", "Ann Other"]
+    assert stream.link(said, 0, [])[-4:] == [0, 62, 63, 65]  # she is within 50 of a name; the first name alone is no link
+    for gap, want in ((499, 0), (500, 501)):  # 500 and 501 back
+        assert stream.link(["Ann Lee", *other[:gap], "Bo Lee"], 0, [])[-1] == want
+        assert stream.link(["Ann Lee", *other[:gap], "Ann Lee"], 0, [])[-1] == want
+    assert stream.link(["she", *["Bo"] * 50, "she"], 0, [])[-1] == 50  # pronouns share no word
+    state, rows, parts = {}, [(u, text) for u, text in enumerate(["Ann Lee left.", *[f"{x} left." for x in other[:60]], "Bob saw Ann Lee."])], []
+    for row in rows:
+        state, out = stream.step(state, [row])
+        parts += out
+    assert parts == stream.step({}, rows)[1] and parts[-1][2:] == ("Ann Lee", 0, 0)
+
+
+@pytest.mark.parametrize(("near", "far"), [(3, 9), (3, None), (9, 3), (0, 5)])
+def test_links_are_the_best_of_the_candidate_pairs(spark, near, far):
+    draw = random.Random(5)
+    said = [draw.choice(["she", "He", "Ann", "Ann Lee", "ann lee", "Bo Lee", "Lee Ann", "Cy", "Dee Fox", "Fox"]) for _ in range(120)]
+    pronoun = lambda x: x.lower() in ("she", "he")
+    m = frame(spark, [(1, i, [] if pronoun(x) else x.lower().split()) for i, x in enumerate(said)], "doc_id int, m_idx int, content_words array<string>")
+    want = {i: (0, 0, i) for i in range(len(said))}
+    for r in pairs.candidate_pairs(m, near, far).collect() if near else pairs.match_pairs(m, far).collect():
+        a, b = said[r.ant_idx].lower(), said[r.men_idx].lower()
+        rank = 3 * (a == b) or 2 * (not pronoun(b) and a.split()[-1] == b.split()[-1]) or int(pronoun(b) and not pronoun(a))
+        want[r.men_idx] = max(want[r.men_idx], (rank, r.ant_idx, r.ant_idx) if rank else (0, 0, r.men_idx))
+    assert stream.link(said, 0, [], near, far) == [want[i][2] for i in range(len(said))]
+
+
 def test_unknown_profile(spark):
     from corefold.operators import mentions
 
