@@ -183,16 +183,17 @@ def payload(mentions: DataFrame, found: DataFrame, resolved: DataFrame) -> DataF
     return resolved.join(per_doc, "doc_id", "left").select("doc_id", F.when(F.col("c").isNull(), F.lit("{}")).otherwise(body).alias("payload"))
 
 
-def follow_chains(links: DataFrame, asked: DataFrame, depth: int = 50) -> DataFrame:
-    """(doc_id, m_idx): the asked mentions and the antecedents they reach over at most ``depth`` links.
+def follow_chains(links: DataFrame, asked: DataFrame, depth: int | None = None) -> DataFrame:
+    """(doc_id, m_idx): the asked mentions and the antecedents they reach over links, at most ``depth`` of them if given.
 
-    All pointers of a document are in one array, so a chain is followed in one expression, without a join per step.
+    All pointers of a document are in one map, so a chain is followed in one expression, without a join per step.
+    A chain has no more links than the map; steps behind its root look nothing up.
     """
     per_doc = links.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("men_idx").cast("int").alias("k"), F.col("best_ant").cast("int").alias("v")))).alias("to"))
     start = asked.select("doc_id", F.col("m_idx").cast("int").alias("m_idx")).join(per_doc, "doc_id")
     last = lambda acc: F.element_at(acc, -1)
-    step = lambda acc, _: F.when(F.coalesce(F.col("to")[last(acc)], last(acc)) == last(acc), acc).otherwise(F.concat(acc, F.array(F.col("to")[last(acc)])))
-    chain = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.array("m_idx"), step)
+    step = lambda acc, i: F.when((F.size(acc) < i) | (F.coalesce(F.col("to")[last(acc)], last(acc)) == last(acc)), acc).otherwise(F.concat(acc, F.array(F.col("to")[last(acc)])))
+    chain = F.aggregate(F.sequence(F.lit(1), F.size("to") if depth is None else F.lit(depth)), F.array("m_idx"), step)
     return start.select("doc_id", F.explode(chain).alias("m_idx")).distinct()
 
 

@@ -116,6 +116,13 @@ def test_chains(spark):
     assert sorted(r.m_idx for r in coref.follow_chains(links, asked, 1).collect()) == [2, 3, 4]
 
 
+def test_chains_are_followed_to_their_roots(spark):
+    links = frame(spark, [(1, i, max(0, i - 1)) for i in range(120)] + [(2, 0, 0), (2, 7, 0), (2, 9, 7)], "doc_id int, men_idx int, best_ant int")
+    asked = frame(spark, [(1, 119), (2, 9)], "doc_id int, m_idx int")
+    assert sorted(map(tuple, coref.follow_chains(links, asked).collect())) == [(1, i) for i in range(120)] + [(2, 0), (2, 7), (2, 9)]
+    assert coref.follow_chains(links, asked, 50).where("doc_id = 1").count() == 51
+
+
 def test_appended_utterances_and_default_speakers(spark):
     schema = "conv_id int, utt_idx int, text string, speaker_id string"
     old = frame(spark, [(1, 0, "a", "0"), (1, 1, "b", "1")], schema)
