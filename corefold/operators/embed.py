@@ -73,13 +73,28 @@ def average_spans(spans: DataFrame, tokens: DataFrame, width: int, out: str, ski
     return joined.withColumn(out, F.when(F.col("end") > F.col("start"), mean).otherwise(zero)).drop("n0", "n1", "v0", "v1")
 
 
-def mention_embeddings(mentions: DataFrame, tokens: DataFrame, embeddings: DataFrame, width: int = 50, profile: str = "inference", conversions: DataFrame | None = None) -> DataFrame:
+def document_embeddings(static: DataFrame, width: int, utterances: DataFrame | None = None) -> DataFrame:
+    """(doc_id, vec): the mean over a document's utterances of the mean vector of their words without punctuation; utterances without words count as zeros.
+
+    static: (doc_id, utt_idx, text, vec) of all tokens. utterances: (doc_id, utt_idx) of all utterances; without it those up to the last one with tokens count.
+    """
+    if utterances is None:
+        totals = static.groupBy("doc_id").agg((F.max("utt_idx") + 1).alias("total"))
+    else:
+        totals = utterances.groupBy("doc_id").agg(F.countDistinct("utt_idx").alias("total"))
+    per_utterance = mean_vectors(static.where(~F.col("text").isin(PUNCTUATION)), ["doc_id", "utt_idx"], "vec", width).drop("n")
+    means = mean_vectors(per_utterance, ["doc_id"], "vec", width)
+    return means.join(totals, "doc_id").select("doc_id", F.transform("vec", lambda x: x * F.col("n") / F.col("total")).alias("vec"))
+
+
+def mention_embeddings(mentions: DataFrame, tokens: DataFrame, embeddings: DataFrame, width: int = 50, profile: str = "inference", conversions: DataFrame | None = None, utterances: DataFrame | None = None) -> DataFrame:
     """(doc_id, m_idx, embedding): 13 blocks of ``width`` - mention, left and right context (5 tokens), sentence and document averages, then
     root, first, last, the words at -1, 0 (after the end), -2, +1, and the root's head. Neighbours beyond the sentence are the missing word.
-    The document block is zero in the inference profile.
+    The document block is zero in the inference profile; else it averages the utterances (utt_idx of the tokens, without it one a document;
+    empty ones are taken from ``utterances``).
     """
-    t = normalised(tokens, profile)
-    static = stash(lookup(t.select("doc_id", "sent_idx", "tok_idx", "text", "key"), "key", embeddings, tuned=False), "static")
+    t = normalised(tokens if "utt_idx" in tokens.columns else tokens.withColumn("utt_idx", F.lit(0)), profile)
+    static = stash(lookup(t.select("doc_id", "sent_idx", "utt_idx", "tok_idx", "text", "key"), "key", embeddings, tuned=False), "static")
     word = lookup(t.select("doc_id", "sent_idx", "tok_idx", "head", "key"), "key", embeddings, True, conversions, "wv").select("doc_id", "sent_idx", "tok_idx", "head", "wv")
     word = stash(word, "words")
     bounds = tokens.groupBy("doc_id", "sent_idx").agg(F.min("tok_idx").alias("s0"), (F.max("tok_idx") + 1).alias("s1"))
@@ -93,8 +108,7 @@ def mention_embeddings(mentions: DataFrame, tokens: DataFrame, embeddings: DataF
         out = out.join(average_spans(spans, static, width, name, skip).select("doc_id", "m_idx", name), ["doc_id", "m_idx"])
     zero = F.array_repeat(F.lit(0.0), width)
     if profile == "training":
-        counted = static.where(~F.col("text").isin(PUNCTUATION))
-        out = out.join(mean_vectors(counted, ["doc_id"], "vec", width).select("doc_id", F.col("vec").alias("e4")), "doc_id", "left").withColumn("e4", F.coalesce("e4", zero))
+        out = out.join(document_embeddings(static, width, utterances).select("doc_id", F.col("vec").alias("e4")), "doc_id", "left").withColumn("e4", F.coalesce("e4", zero))
     else:
         out = out.withColumn("e4", zero)
     missing = embeddings.where(F.col("word") == MISSING_WORD).agg(F.max_by("vec", F.when(F.col("kind") == "tuned", 1).otherwise(0)).cast("array<double>").alias("missing"))

@@ -14,7 +14,9 @@ from corefold.runtime import stash
 
 @dataclass(frozen=True)
 class Parameters:
-    """Defaults of the pipeline. blacklist: leave out first and second person words. conversions: (word, replacements) for rare words."""
+    """Defaults of the pipeline. blacklist: leave out first and second person words. conversions: (word, replacements) for rare words.
+    utterances: (doc_id, utt_idx) of all utterances, for document embeddings in the training profile; tokens then have utt_idx.
+    """
 
     greedyness: float = 0.5
     max_dist: int | None = 50
@@ -24,6 +26,7 @@ class Parameters:
     width: int = 50
     conversions: DataFrame | None = None
     compat_unsigned: bool = False
+    utterances: DataFrame | None = None
 
 
 @dataclass
@@ -77,7 +80,7 @@ def run(docs: DataFrame, model: dict[str, scoring.Layers] | None = None, embeddi
         single = found.select("doc_id", "m_idx", F.lit(0.0).alias("score"))
     else:
         conversions = None if p.conversions is None else embed.conversion_vectors(p.conversions, embeddings, p.width)
-        vectors = stash(embed.mention_embeddings(found, tokens, embeddings, p.width, p.profile, conversions), "vectors")
+        vectors = stash(embed.mention_embeddings(found, tokens, embeddings, p.width, p.profile, conversions, p.utterances), "vectors")
         alone = lambda m: F.slice(feat.single_features(m, m["n_mentions"]), 1, 17)
         f = feat.compressed_pair(F.col("a"), F.col("m"), yes, no, no, p.profile)
         flags = F.transform(F.slice(f, 1, 6), lambda x: x.cast("float"))

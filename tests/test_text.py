@@ -170,6 +170,20 @@ def numpy_average(vec, words):
     return np.mean(rows, axis=0) if rows else np.zeros(2)
 
 
+def test_document_embeddings_average_utterances(spark):
+    """Utterance 2 is empty, 3 has punctuation only, 4 is empty and the last."""
+    words = [(0, "a"), (0, "a"), (0, "b"), (1, "b"), (1, "."), (3, ".")]
+    tokens = spark.createDataFrame([("d", 0, u, i, w, 0) for i, (u, w) in enumerate(words)], "doc_id string, sent_idx int, utt_idx int, tok_idx int, text string, head int")
+    m = spark.createDataFrame([("d", 0, 0, 0, 1, 0)], "doc_id string, m_idx int, sent_idx int, start int, end int, root int")
+    table = spark.createDataFrame([("static", "a", [1.0, 0.0]), ("static", "b", [0.0, 3.0]), ("static", ".", [9.0, 9.0]), ("static", "unknown", [7.0, 7.0])], "kind string, word string, vec array<double>")
+    every = spark.createDataFrame([("d", u) for u in range(5)], "doc_id string, utt_idx int")
+    block = lambda t, u: embed.mention_embeddings(m, t, table, 2, "training", None, u).first().embedding[8:10]
+    total = np.array([2 / 3, 1.0]) + np.array([0.0, 3.0])
+    assert np.allclose(block(tokens, every), total / 5)
+    assert np.allclose(block(tokens, None), total / 4)
+    assert np.allclose(block(tokens.drop("utt_idx"), None), [2 / 4, 6 / 4])
+
+
 def test_mention_embeddings_equal_numpy(spark):
     static = {"*UNK*": [9.0, 9.0], "<missing>": [-1.0, -1.0], "my": [1.0, 0.0], "sister": [2.0, 5.0], "a": [3.0, 1.0], "dog": [4.0, 2.0], ".": [5.0, 5.0]}
     tuned = {"*UNK*": [8.0, 8.0], "<missing>": [-2.0, -2.0], "dog": [7.0, 7.0]}
