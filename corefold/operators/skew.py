@@ -63,9 +63,9 @@ def name_results(pairs: DataFrame, mentions: DataFrame, docs: DataFrame) -> Data
     """
     pair_rows = pairs.where(F.col("pair_row").isNotNull()).select("pair_row", "conll_doc_id", "name", F.coalesce((F.col("pairs_labels") == 1).cast("int"), F.lit(0)).alias("hit"))
     pair_rows = pair_rows.distinct()
-    by_doc = tree_aggregate(pair_rows, ["conll_doc_id", "name"], {"pairs": ("sum", F.lit(1).cast("long")), "matches": ("sum", F.col("hit").cast("long"))}, slots=32)
+    by_doc = tree_aggregate(pair_rows, ["conll_doc_id", "name"], {"pairs": ("sum", F.lit(1).cast("long")), "matches": ("sum", F.col("hit").cast("long"))})
     mention_rows = mentions.where(F.col("mention_id").isNotNull()).select("mention_id", "conll_doc_id", "name", F.coalesce(F.col("mentions_pairs_length"), F.lit(0)).cast("long").alias("length")).distinct()
-    of_mentions = tree_aggregate(mention_rows, ["conll_doc_id", "name"], {"mentions": ("sum", F.lit(1).cast("long")), "pairs_length": ("sum", F.col("length"))}, slots=32)
+    of_mentions = tree_aggregate(mention_rows, ["conll_doc_id", "name"], {"mentions": ("sum", F.lit(1).cast("long")), "pairs_length": ("sum", F.col("length"))})
     zero = F.lit(0).cast("long")
     both = by_doc.withColumn("mentions", zero).withColumn("pairs_length", zero).unionByName(of_mentions.withColumn("pairs", zero).withColumn("matches", zero))
     named = fill_from(both, "name", "conll_doc_id", docs.select("conll_doc_id", "name"))

@@ -49,3 +49,18 @@ def test_no_task_merges_more_than_the_fan_in(spark):
     df = spark.range(0, 1000, 1, 64).withColumn("k", F.lit(1))
     plan = skew.tree_aggregate(df, ["k"], {"n": ("sum", F.lit(1))}, fan_in=4, slots=64)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 4  # slots 64 -> 16 -> 4 -> 1
+
+
+def test_rows_of_names_are_merged_in_rounds(spark, monkeypatch):
+    """Each tree of name_results has a round between the local combine and the last merge."""
+    plain, added = skew.tree_aggregate, []
+    aggregates = lambda df: df._jdf.queryExecution().analyzed().toString().count("Aggregate")
+
+    def spy(df, *args, **kwargs):
+        out = plain(df, *args, **kwargs)
+        added.append(aggregates(out) - aggregates(df))
+        return out
+
+    monkeypatch.setattr(skew, "tree_aggregate", spy)
+    names(spark, [(1, 10, "a", 1, "", "")], [(5, 10, "a", 2, "")], [(10, "a", 0)])
+    assert added == [3, 3, 3]
