@@ -43,22 +43,27 @@ def _plain_token(token):
 _NO_STRAYS = str.maketrans("", "", STRAY_CHARACTERS)
 
 
-def _p3(spark, d):
+def _p3(spark, d, n, **thresholds):
+    """Overlaps and classes of evaluation documents in training documents, on runs of n cleaned tokens."""
     tokens = F.flatten(F.filter("conll_tokens", lambda u: u.isNotNull()))
     features = table(spark, d, "feature_docs").select(F.col("conll_doc_id").alias("id"), tokens.alias("tokens"))
     side = F.when(F.col("split") == "train", "train").when(F.col("split").isin("dev", "test"), "eval")
     sides = _splits(spark, d).select("id", side.alias("side"))
-    classes = overlap.set_classes(overlap.ngram_sets(features, 3, clean=_plain_token), sides)
-    return overlap.class_overlaps(classes, 0.5), classes
+    return overlap.find_overlaps(features, sides, n, clean=_plain_token, **thresholds)
 
 
 def p3_found(spark, d):
-    pairs = overlap.expand_pairs(*_p3(spark, d))
+    pairs = overlap.expand_pairs(*_p3(spark, d, 3, similarity=0.5))
     return pairs.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
 
 
 def p3_report(spark, d):
-    return overlap.overlap_report(*_p3(spark, d), _splits(spark, d).where(F.col("split").isin("dev", "test")))
+    return overlap.overlap_report(*_p3(spark, d, 3, similarity=0.5), _splits(spark, d).where(F.col("split").isin("dev", "test")))
+
+
+def p3_contained(spark, d):
+    """Evaluation documents of which four fifths of the five-token runs stand in one training document, by classes of equal documents."""
+    return _p3(spark, d, 5, containment=0.8)[0]
 
 
 def p2_pieces(spark, d):
@@ -92,12 +97,14 @@ def p6_shares(spark, d):
     return _p6(spark, d)[1]
 
 
-_P3_SQL = """
+_P3_TOKENS = """
 WITH plain AS (SELECT map(['/.', '/?', '-LRB-', '-RRB-', '-LCB-', '-RCB-', '-LSB-', '-RSB-'], ['.', '?', '(', ')', '{', '}', '[', ']']) AS m),
 f AS (SELECT DISTINCT conll_doc_id AS id, flatten(conll_tokens) AS raw FROM feature_docs),
 t AS (SELECT id, list_transform(raw, lambda x: lower(CASE WHEN x IN ('/', '%', '*') THEN x
         ELSE coalesce(nullif(translate(coalesce(m[x], x), '/%*', ''), ''), ',') END)) AS t FROM f, plain),
 d AS (SELECT DISTINCT conll_doc_id AS id, lower(regexp_replace(split, '\\s', '', 'g')) AS split, source FROM conll_docs),
+"""
+_P3_SQL = _P3_TOKENS + """
 i AS (SELECT id, t, unnest(range(1, len(t) - 1)) AS i FROM t),
 g AS (SELECT DISTINCT id, t[i] || chr(31) || t[i + 1] || chr(31) || t[i + 2] AS g FROM i),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
@@ -106,6 +113,17 @@ r AS (SELECT g.id, g.g FROM g JOIN d USING (id) WHERE split = 'train'),
 s AS (SELECT e.id AS a, r.id AS b, count(*) AS s FROM e JOIN r USING (g) GROUP BY 1, 2),
 hit AS (SELECT a, b FROM s JOIN n AS x ON x.id = a JOIN n AS y ON y.id = b WHERE 2 * s >= x.n + y.n - s)
 """
+_P3_CONTAINED_SQL = _P3_TOKENS + """
+i AS (SELECT id, t, unnest(range(1, len(t) - 3)) AS i FROM t),
+g AS (SELECT DISTINCT id, array_to_string(t[i : i + 4], chr(31)) AS g FROM i),
+sets AS (SELECT id, list(g ORDER BY g) AS grams FROM g GROUP BY id),
+classes AS (SELECT split = 'train' AS train, grams, min(id) AS class, len(grams) AS n
+  FROM sets JOIN (SELECT DISTINCT id, split FROM d WHERE split IN ('train', 'dev', 'test')) USING (id) GROUP BY 1, 2),
+x AS (SELECT train, class, n, unnest(grams) AS g FROM classes),
+s AS (SELECT e.class AS eval_class, r.class AS train_class, count(*)::INT AS shared, e.n::INT AS eval_n, r.n::INT AS train_n
+  FROM x AS e JOIN x AS r USING (g) WHERE NOT e.train AND r.train GROUP BY ALL)
+SELECT *, shared / (eval_n + train_n - shared) AS similarity, shared / eval_n AS containment FROM s WHERE shared / eval_n >= 0.8
+"""
 
 _P7_SQL = """
 WITH k AS (SELECT limit_value AS k FROM size_limits WHERE limit_name = 'shared_span_chars'),
@@ -124,6 +142,7 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_contained": p3_contained,
     "p5_containers": p5_containers,
     "p5_fill": p5_fill,
     "p6_mix": p6_mix,
@@ -156,6 +175,7 @@ SELECT doc_id, max(coalesce(length(text), 0))::BIGINT AS n_chars, max(coalesce(n
        max(CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) ELSE 0 END)::DOUBLE AS shared_share
 FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(span_end - span_start) AS c FROM islands GROUP BY 1) USING (doc_id) GROUP BY 1""",
     "p3_found": _P3_SQL + "SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM hit",
+    "p3_contained": _P3_CONTAINED_SQL,
     "p3_report": _P3_SQL + """
 SELECT split, source, count(*) AS records, count(p) AS overlapping, coalesce(sum(p), 0)::BIGINT AS pairs
 FROM d LEFT JOIN (SELECT a AS id, count(*) AS p FROM hit GROUP BY 1) USING (id) WHERE split IN ('dev', 'test') GROUP BY 1, 2""",

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corefold.llm.hashes import mix
 from corefold.runtime import discard, stash
 
 _BATCH_CHARS = 1 << 18
@@ -101,14 +102,6 @@ def shared_shares(documents: DataFrame, min_length: int, id_col: str = "doc_id",
 # --- the parse, vectorised over a few hundred thousand characters at a time ---
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _U(32))
-    x *= _U(0xD6E8FEB86659FD93)
-    x ^= x >> _U(32)
-    x *= _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
-
-
 class _Prefixes:
     """Fingerprints of all substrings of an array of characters: sums of characters times powers, rebased to 0."""
 

@@ -11,7 +11,7 @@ import pytest
 from helpers import SMALL, assert_same
 from pyspark.sql import functions as F
 
-from corefold.llm import catalog, groups, mixing, overlap, packing, pieces, spans, tokens
+from corefold.llm import catalog, groups, hashes, mixing, overlap, packing, pieces, spans, tokens
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
@@ -111,39 +111,67 @@ def ngrams(words, n):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-@pytest.mark.parametrize(("n", "threshold"), [(3, 0.5), (2, 0.8), (1, 0.3)])
-def test_overlaps_equal_brute_force(spark, n, threshold):
-    rng = random.Random(n)
+def overlap_records(seed):
+    """Records of a small alphabet, so that many n-grams are hot, with copies, excerpts, repeated rows and rows of no side."""
+    rng = random.Random(seed)
     base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(0, 30))] for _ in range(12)]
     rows = []
-    for i in range(90):
+    for i in range(120):
         words = list(rng.choice(base))
         for _ in range(rng.randrange(0, 4)):
             if words:
                 words[rng.randrange(len(words))] = rng.choice("abcxyz")
-        rows.append((i, rng.choice(["train", "eval", "train", "other", None]), words, 7))
-    rows += [(200, "train", None, 7), (None, "eval", base[0], 7), *rows[:5]]
-    classes = overlap.split_classes(spark.createDataFrame(rows, "id long, side string, tokens array<string>, class int"), n)
-    found = overlap.class_overlaps(classes, threshold)
+        cut = rng.randrange(0, 10)
+        rows.append((i, rng.choice(["train", "eval", "train", "other", None]), words[cut:] if i % 3 == 0 else words * (1 + (i % 7 == 0)), 7))
+    return rows + [(200, "train", None, 7), (None, "eval", base[0], 7), *rows[:5]]
+
+
+@pytest.mark.parametrize(
+    ("n", "similarity", "containment", "hot"),
+    [(3, 0.5, None, 16), (2, 0.8, None, 0), (1, 0.3, None, 3), (2, None, 0.8, 2), (1, None, 0.5, 0), (2, 0.4, 0.7, 1), (3, None, None, 16)],
+)
+def test_overlaps_equal_brute_force(spark, n, similarity, containment, hot):
+    rows = overlap_records(n)
+    df = spark.createDataFrame(rows, "id long, side string, tokens array<string>, class int")
+    found, classes = overlap.find_overlaps(df, df, n, similarity, containment, hot=hot, most_words=4)
+    least = similarity if similarity or containment else 0.8
     got = {(r.eval_id, r.train_id): r for r in overlap.expand_pairs(found, classes).collect()}
     sets = {i: (side, ngrams(words or [], n)) for i, side, words, _ in rows if i is not None}
     want = {}
     for a, b in itertools.product(sets, sets):
         if sets[a][0] == "eval" and sets[b][0] == "train" and sets[a][1] and sets[b][1]:
             shared, all_ = len(sets[a][1] & sets[b][1]), len(sets[a][1] | sets[b][1])
-            if shared / all_ >= threshold:
+            if shared / all_ >= (least or 0) and shared / len(sets[a][1]) >= (containment or 0) and shared:
                 want[a, b] = (shared / all_, shared / len(sets[a][1]))
-    assert set(got) == set(want)
+    assert set(got) == set(want) and want
     assert all((got[p].similarity, got[p].containment) == pytest.approx(want[p]) for p in want)
     labels = spark.createDataFrame([(i, "dev", "s") for i, (side, _) in sets.items() if side == "eval"], "id long, split string, source string")
     report = overlap.overlap_report(found, classes, labels).first()
     assert (report.overlapping, report.pairs) == (len({a for a, _ in want}), len(want))
 
 
+def test_an_excerpt_of_a_long_training_record_is_found(spark):
+    long = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(1, "train", long), (2, "eval", long[100:160]), (3, "eval", long[100:140] + [f"x{i}" for i in range(20)])], "id long, side string, tokens array<string>")
+    found, _ = overlap.find_overlaps(df, df, 5, containment=0.8)
+    assert [(r.eval_class, r.train_class, r.shared, r.containment) for r in found.collect()] == [(2, 1, 56, 1.0)]
+    assert overlap.find_overlaps(df, df, 5, similarity=0.5)[0].collect() == []
+
+
 def test_overlaps_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, side string, tokens array<string>")
-    classes = overlap.split_classes(empty)
-    assert overlap.class_overlaps(classes).collect() == []
+    assert overlap.find_overlaps(empty, empty)[0].collect() == []
+    one = spark.createDataFrame([(1, "train", ["a"] * 9)], "id long, side string, tokens array<string>")
+    assert overlap.find_overlaps(one, one)[0].collect() == []
+    with pytest.raises(ValueError):
+        overlap.find_overlaps(one, one, containment=0.0)
+
+
+def test_key_filter_never_loses_a_key(spark):
+    for words in (1, 64, 1 << 12):
+        keys = hashes.key_filter(spark.range(0, 3000, 1, 3).select(F.col("id").alias("key")), 3000, words)
+        assert len(keys) <= words and hashes.may_hold(keys, np.arange(3000)).all()
+    assert hashes.may_hold(keys, np.arange(10**6, 2 * 10**6)).mean() < 0.05
 
 
 # --- tokens and packing ---
