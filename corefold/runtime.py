@@ -3,8 +3,8 @@
 A job that iterates, or reads an expensive intermediate result twice, writes it with
 ``stash`` as parquet into the folder that all executors share (``spark.checkpoint.dir``).
 Such a table survives the loss of executors, keeps its statistics for the optimizer and is
-read with column pruning. Only where the setting is absent (tests, a laptop) a temporary
-folder of this machine is used.
+read with column pruning. Where the setting is absent, a temporary folder of this machine is used if
+all of Spark runs on it (tests, a laptop); on a cluster the setting is required.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: str | None = None
 
@@ -60,6 +61,8 @@ def shared_folder(spark: SparkSession) -> str:
     global _own_folder
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _own_folder is None:
             _own_folder = tempfile.mkdtemp(prefix="corefold-")
             atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
@@ -94,5 +97,24 @@ def _delete(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def one_row_each(df: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """One row for each value of ``key``; of repeated rows any. Rows with a null key are kept as they are.
+
+    Only the rows of repeated keys are shuffled, as long as at most ``most`` keys repeat; these are counted on the key column
+    alone. Beyond that all rows are.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
+    repeated = stash(counts.where("__rows > 1").select(key), "repeated")
+    n = repeated.limit(most + 1).count()
+    if not n:
+        discard(df.sparkSession, repeated)
+        return df
+    if n > most:
+        return df.where(F.col(key).isNull()).unionByName(df.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    few = F.broadcast(repeated)
+    repeats = df.join(few, key, "left_semi").dropDuplicates([key])
+    return df.join(few, key, "left_anti").unionByName(repeats).select(df.columns)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
