@@ -1,18 +1,21 @@
-"""Documents of tokens cut into pieces under a size limit, at natural boundaries, with overlap.
+"""Documents cut into pieces under a size limit, at natural boundaries, with overlap.
 
-Method: a hierarchy of separators, tried from coarse to fine. Where the rest of the document does not
-fit, the piece ends at the last boundary that still fits between utterances; without one, at the last
-sentence end outside all protected spans, then at the last token boundary outside them, then at the limit.
-(A token is the smallest unit here, so no cut falls inside one.) Pieces are thus packed greedily; each
-repeats the last ``overlap`` tokens of the one before, and none is so short that it could not be repeated so far.
+Method: a hierarchy of separators, tried from coarse to fine: section, paragraph, sentence, word, character. Where the
+rest of a document does not fit, the piece ends at the last boundary of the coarsest level that has one within
+the limit; so small units are packed greedily, and only a unit that is larger than the limit is cut by the next level.
+Each piece repeats the last ``overlap`` units of the one before, and none is so short that it could not be repeated so far.
 
-Scale: every document is cut on its own in an Arrow batch; nothing is shuffled but to drop repeated
-rows. Boundaries are found for whole batches at a time.
+``cut_texts`` cuts texts, sized in characters. ``cut_documents`` cuts token arrays, sized in tokens: there an utterance is the
+paragraph, a token is the word and the smallest unit, and sentence and token boundaries count only outside protected spans.
+
+Scale: every document is cut on its own in an Arrow batch. Repeated rows are found by their ids alone; no document is
+shuffled but those of repeated ids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +23,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corefold.runtime import one_row_each
+
 # Tokens that end a sentence, in both spellings, and closing marks that still belong to it.
 SENTENCE_ENDS = [".", "!", "?", "/.", "/?", "...", "。", "！", "？"]
 CLOSING_MARKS = ["''", "”", "’", ")", "]", "}", "-RRB-", "-RSB-", "-RCB-"]
 LEVELS = ["end", "utterance", "sentence", "token", "inside a span"]
+TEXT_LEVELS = ["end", "section", "paragraph", "sentence", "word", "character"]
+# What separates the parts of a text; a separator belongs to the part before it.
+BLANKS = " \t\r\n\f\v\u00a0\u3000"
+SECTION = rf"\f[{BLANKS}]*|\n[ \t\r]*\n[ \t\r]*\n[{BLANKS}]*|\n[ \t\r]*[-=*_#]{{3,}}[ \t\r]*\n[{BLANKS}]*"
+PARAGRAPH = rf"\n[ \t\r]*\n[{BLANKS}]*"
+SENTENCE = rf"[.!?…]+[\"')\]}}”’»]*[{BLANKS}]+|[。！？]+[”’）」』]*[{BLANKS}]*|\n[{BLANKS}]*"
+_PATTERNS = [re.compile(x) for x in (SECTION, PARAGRAPH, SENTENCE)]
+
+Finder = Callable[[int, int], int | None]
 
 
-def cut_documents(features: DataFrame, limit: int, overlap: int, id_col: str = "conll_doc_id", tokens_col: str = "conll_tokens", spans_col: str = "locations") -> DataFrame:
+def cut_documents(
+    features: DataFrame, limit: int, overlap: int, id_col: str = "conll_doc_id", tokens_col: str = "conll_tokens", spans_col: str = "locations"
+) -> DataFrame:
     """(id, piece, token_start, token_end, overlap, cut, tokens): the pieces of every document, numbered from 0.
 
     Positions count the tokens of all utterances in order; ``overlap`` is the number of leading tokens
@@ -40,7 +56,8 @@ def cut_documents(features: DataFrame, limit: int, overlap: int, id_col: str = "
     utterances = F.coalesce(F.transform(F.col(tokens_col), lambda u: F.coalesce(u, F.array().cast("array<string>"))), F.array().cast("array<array<string>>"))
     spans = F.filter(F.col(spans_col), lambda s: s["utterance"].isNotNull() & s["span_start"].isNotNull() & s["span_end"].isNotNull())
     field = lambda name: F.coalesce(F.transform(spans, lambda s: s[name].cast("int")), F.array().cast("array<int>"))
-    flat = features.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).select(
+    once = one_row_each(features.select(id_col, tokens_col, spans_col).where(F.col(id_col).isNotNull()), id_col)
+    flat = once.select(
         F.col(id_col).cast("long").alias("id"),
         F.flatten(utterances).alias("tokens"),
         F.transform(utterances, F.size).alias("sizes"),
@@ -52,30 +69,76 @@ def cut_documents(features: DataFrame, limit: int, overlap: int, id_col: str = "
     return flat.mapInArrow(_cut_rows(limit, overlap), schema).withColumnRenamed("id", id_col)
 
 
-def choose_cuts(n: int, levels: list[np.ndarray], limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, overlap, level) of the pieces of n units. levels: sorted boundary positions, coarse to fine; level 0 is the end of all."""
+def cut_texts(documents: DataFrame, limit: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, piece, char_start, char_end, overlap, cut, text): the pieces of every text, numbered from 0.
+
+    Positions count characters (code points); ``overlap`` is the number of leading characters that repeat the piece
+    before, ``cut`` names the kind of the boundary at the piece's end. A text within the limit is one piece, an
+    empty or null one is one empty piece. Null ids are dropped, repeated rows of an id cut once. Other columns are
+    ignored, whatever their names.
+    """
+    if not 0 <= overlap < limit:
+        raise ValueError("overlap must be at least 0 and below the limit")
+    named = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
+                finders = _text_finders(text) if len(text) > limit else []
+                cuts = choose_cuts(len(text), finders, limit, overlap)
+                rows += [(key, i, a, b, o, TEXT_LEVELS[level], text[a:b]) for i, (a, b, o, level) in enumerate(cuts)]
+            kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string()]
+            columns = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "char_start", "char_end", "overlap", "cut", "text"])
+
+    schema = "id long, piece int, char_start int, char_end int, overlap int, cut string, text string"
+    return one_row_each(named, "id").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def _text_finders(text: str) -> list[Finder]:
+    def word(reach: int, least: int) -> int | None:
+        at = reach
+        while at > least and (text[at - 1] not in BLANKS or text[at] in BLANKS):
+            at -= 1
+        return at if at > least else None
+
+    return [*(sorted_finder(np.array([m.end() for m in p.finditer(text)], np.int64)) for p in _PATTERNS), word]
+
+
+def sorted_finder(bounds: np.ndarray) -> Finder:
+    """Looks up the last of the sorted positions that is at most ``reach`` and over ``least``."""
+
+    def find(reach: int, least: int) -> int | None:
+        i = np.searchsorted(bounds, reach, "right") - 1
+        return int(bounds[i]) if i >= 0 and bounds[i] > least else None
+
+    return find
+
+
+def choose_cuts(n: int, finders: list[Finder], limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, overlap, level) of the pieces of n units. finders: for each level, coarse to fine, its last boundary in a range; level 0 is the end of all."""
     out, fresh, carried = [], 0, 0
     while True:
         reach = fresh + limit - carried
         if reach >= n:
             out.append((fresh - carried, n, carried, 0))
             return out
-        end, level = reach, len(levels) + 1
         least = max(fresh, fresh - carried + overlap - 1)  # what the next piece repeats must fit into this one
-        for k, bounds in enumerate(levels, 1):
-            i = np.searchsorted(bounds, reach, "right") - 1
-            if i >= 0 and bounds[i] > least:
-                end, level = int(bounds[i]), k
+        end, level = reach, len(finders) + 1
+        for k, find in enumerate(finders, 1):
+            at = find(reach, least)
+            if at is not None:
+                end, level = at, k
                 break
         out.append((fresh - carried, end, carried, level))
-        carried = overlap
-        fresh = end
+        carried, fresh = overlap, end
 
 
 def _cut_rows(limit: int, overlap: int):
     ends, closing = pa.array(SENTENCE_ENDS), pa.array(CLOSING_MARKS)
 
-    def levels_of(n: int, sizes: np.ndarray, ends: np.ndarray, closes: np.ndarray, su: np.ndarray, ss: np.ndarray, se: np.ndarray) -> list[np.ndarray]:
+    def levels_of(n: int, sizes: np.ndarray, ends: np.ndarray, closes: np.ndarray, su: np.ndarray, ss: np.ndarray, se: np.ndarray) -> list[Finder]:
         upto = np.cumsum(sizes)
         ok = (su >= 0) & (su < len(sizes))
         su, ss, se = su[ok], ss[ok], se[ok]
@@ -94,7 +157,7 @@ def _cut_rows(limit: int, overlap: int):
             after = after + more
         whole = np.unique(upto[(upto > 0) & (upto < n)])
         sentences = np.unique(after[(after < n)])
-        return [whole, sentences[free[sentences]], np.flatnonzero(free)]
+        return [sorted_finder(x) for x in (whole, sentences[free[sentences]], np.flatnonzero(free))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -75,6 +75,14 @@ def p2_found(spark, d):
     return p2_pieces(spark, d).where("piece > 0").select("conll_doc_id").distinct()
 
 
+TEXT_LIMIT, TEXT_OVERLAP = 2000, 200  # characters
+
+
+def p2_text_pieces(spark, d):
+    """Texts cut by section, paragraph, sentence, word and character."""
+    return pieces.cut_texts(table(spark, d, "documents"), TEXT_LIMIT, TEXT_OVERLAP)
+
+
 def p5_containers(spark, d):
     sizes = with_token_counts(table(spark, d, "documents").select("doc_id", "text"))
     return packing.pack(sizes, _limit(spark, d, "container_tokens"), "doc_id")
@@ -97,6 +105,54 @@ def p6_shares(spark, d):
     return _p6(spark, d)[1]
 
 
+# Greedy cuts over base(id, n, b1, ..., b4): n units, and the boundaries of each level from coarse to fine.
+_CUTS_SQL = """
+cuts(id, piece, begin, stop, carried, level) AS (
+  SELECT id, -1, 0, 0, 0, 9 FROM base UNION ALL
+  SELECT id, piece + 1, stop - car, CASE WHEN reach >= n THEN n ELSE coalesce(c1, c2, c3, c4, reach) END, car,
+    CASE WHEN reach >= n THEN 0 WHEN c1 IS NOT NULL THEN 1 WHEN c2 IS NOT NULL THEN 2 WHEN c3 IS NOT NULL THEN 3 WHEN c4 IS NOT NULL THEN 4 ELSE 5 END
+  FROM (SELECT *, list_max(list_filter(b1, lambda x: x <= reach AND x > least)) AS c1, list_max(list_filter(b2, lambda x: x <= reach AND x > least)) AS c2,
+          list_max(list_filter(b3, lambda x: x <= reach AND x > least)) AS c3, list_max(list_filter(b4, lambda x: x <= reach AND x > least)) AS c4
+        FROM (SELECT *, stop + size - car AS reach, greatest(stop, stop - car + over - 1) AS least
+              FROM (SELECT base.*, piece, stop, CASE WHEN piece < 0 THEN 0 ELSE over END AS car FROM cuts JOIN base USING (id) WHERE level <> 0))))
+"""
+_P2_PIECES_SQL = f"""
+WITH RECURSIVE lim AS (SELECT max(limit_value) FILTER (limit_name = 'piece_tokens') AS size, max(limit_value) FILTER (limit_name = 'piece_overlap_tokens') AS over FROM size_limits),
+f AS (SELECT DISTINCT conll_doc_id AS id, conll_tokens AS u, flatten(conll_tokens) AS t, locations AS l FROM feature_docs),
+g AS (SELECT *, len(t) AS n, list_transform(range(1, len(u) + 1), lambda i: coalesce(list_sum(list_transform(u[1 : i - 1], lambda x: len(x))), 0)) AS starts,
+        list_aggregate(list_transform(t, lambda x: CASE WHEN x IN ({", ".join("'" + x.replace("'", "''") + "'" for x in pieces.SENTENCE_ENDS)}) THEN 'e'
+          WHEN x IN ({", ".join("'" + x.replace("'", "''") + "'" for x in pieces.CLOSING_MARKS)}) THEN 'c' ELSE 'x' END), 'string_agg', '') AS kinds FROM f),
+h AS (SELECT *, list_transform(l, lambda p: [starts[p.utterance + 1] + p.span_start, starts[p.utterance + 1] + p.span_end]) AS spans,
+        string_split(regexp_replace(coalesce(kinds, ''), '(ec*)', '\\1|', 'g'), '|') AS parts FROM g),
+s AS (SELECT *, list_filter(range(1, n), lambda p: len(list_filter(spans, lambda x: x[1] < p AND p < x[2])) = 0) AS free,
+        list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1 : i], lambda x: len(x)))::INT) AS ends FROM h),
+base AS (SELECT id, n, size, over, t, list_filter(starts, lambda p: p > 0 AND p < n) AS b1, list_intersect(ends, free) AS b2, free AS b3, []::BIGINT[] AS b4 FROM s, lim),
+{_CUTS_SQL}
+SELECT id AS conll_doc_id, piece, begin::INT AS token_start, stop::INT AS token_end, carried::INT AS overlap,
+  CASE level WHEN 0 THEN 'end' WHEN 1 THEN 'utterance' WHEN 2 THEN 'sentence' WHEN 3 THEN 'token' ELSE 'inside a span' END AS cut, t[begin + 1 : stop] AS tokens
+FROM cuts JOIN (SELECT id, t FROM base) USING (id) WHERE piece >= 0
+"""
+
+
+def _ends_of(pattern):
+    """SQL for the ends of all matches in ``text``: marks are put behind them, and the lengths of the parts summed."""
+    pattern = pattern.replace("'", "''").replace("\u00a0", "\\x{a0}").replace("\u3000", "\\x{3000}")
+    parts = f"string_split(regexp_replace(text, '({pattern})', '\\1' || chr(31), 'g'), chr(31))"
+    return f"list_transform(range(1, len({parts})), lambda i: list_sum(list_transform({parts}[1 : i], lambda x: length(x)))::INT)"
+
+
+_P2_TEXT_SQL = f"""
+WITH RECURSIVE f AS (SELECT DISTINCT doc_id AS id, coalesce(text, '') AS text, string_split(coalesce(text, ''), '') AS c FROM documents),
+base AS (SELECT id, text, length(text) AS n, {TEXT_LIMIT} AS size, {TEXT_OVERLAP} AS over,
+  {_ends_of(pieces.SECTION)} AS b1, {_ends_of(pieces.PARAGRAPH)} AS b2, {_ends_of(pieces.SENTENCE)} AS b3,
+  list_filter(range(1, length(text)), lambda p: regexp_full_match(c[p], '[{pieces.BLANKS}]') AND NOT regexp_full_match(c[p + 1], '[{pieces.BLANKS}]')) AS b4 FROM f),
+{_CUTS_SQL}
+SELECT id AS doc_id, piece, begin::INT AS char_start, stop::INT AS char_end, carried::INT AS overlap,
+  CASE level WHEN 0 THEN 'end' WHEN 1 THEN 'section' WHEN 2 THEN 'paragraph' WHEN 3 THEN 'sentence' WHEN 4 THEN 'word' ELSE 'character' END AS cut,
+  substring(text, begin::INT + 1, stop::INT - begin::INT) AS text
+FROM cuts JOIN (SELECT id, text FROM base) USING (id) WHERE piece >= 0
+"""
+
 _P3_TOKENS = """
 WITH plain AS (SELECT map(['/.', '/?', '-LRB-', '-RRB-', '-LCB-', '-RCB-', '-LSB-', '-RSB-'], ['.', '?', '(', ')', '{', '}', '[', ']']) AS m),
 f AS (SELECT DISTINCT conll_doc_id AS id, flatten(conll_tokens) AS raw FROM feature_docs),
@@ -140,6 +196,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_text_pieces": p2_text_pieces,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p3_contained": p3_contained,
@@ -179,6 +236,8 @@ FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(span_end - span_star
     "p3_report": _P3_SQL + """
 SELECT split, source, count(*) AS records, count(p) AS overlapping, coalesce(sum(p), 0)::BIGINT AS pairs
 FROM d LEFT JOIN (SELECT a AS id, count(*) AS p FROM hit GROUP BY 1) USING (id) WHERE split IN ('dev', 'test') GROUP BY 1, 2""",
+    "p2_pieces": _P2_PIECES_SQL,
+    "p2_text_pieces": _P2_TEXT_SQL,
     "p2_found": """SELECT DISTINCT conll_doc_id FROM feature_docs
 WHERE len(flatten(conll_tokens)) > (SELECT limit_value FROM size_limits WHERE limit_name = 'piece_tokens')""",
 }

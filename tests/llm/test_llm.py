@@ -324,6 +324,41 @@ def test_spans_equal_brute_force(spark, width, seed):
     assert got == brute_spans(rows, width)
 
 
+@pytest.mark.parametrize(("width", "bits"), [(16, 1), (25, 4), (7, 0)])
+def test_spans_do_not_depend_on_fingerprints(spark, width, bits):
+    rows = span_texts(width)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, spans.shared_spans(df, width, name_bits=bits).collect()))
+    assert got == brute_spans(rows, width)
+
+
+def test_complementary_automatic_sequences_share_no_window(spark):
+    """Polynomial fingerprints modulo a power of two are equal for these two texts, whatever the base."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word[:2048]), (2, other[:2048])], "doc_id long, text string")
+    assert spans.shared_spans(df, 2048).collect() == []
+    longer = [(1, "x" + word), (2, other + "y"), (3, "zz" + word[:2048])]
+    df = spark.createDataFrame(longer, "doc_id long, text string")
+    assert sorted(map(tuple, spans.shared_spans(df, 512).collect())) == brute_spans(longer, 512)
+
+
+def test_runs_over_several_cells_are_compared_whole(spark, monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdef ") for _ in range(5000))
+    rows = [(i, "q" * i + text[i * 100 : 5000 - i * 37]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, spans.shared_spans(df, 60).collect())) == brute_spans(rows, 60)
+    runs = spark.createDataFrame([(0, 1, -101, 200, 3000), (2, 3, 0, 0, 3)], "id long, rid long, delta int, lo int, hi int")
+    texts = df.toDF("id", "text")
+    # text 1 is shifted by 99 characters: every cell differs; the beginnings of 2 and 3 are equal but for their last character
+    assert {r.id for r in spans._differing(texts, runs).collect()} == {0, 2}
+    runs = spark.createDataFrame([(0, 1, -99, 200, 3000), (2, 3, 0, 0, 2)], "id long, rid long, delta int, lo int, hi int")
+    assert spans._differing(texts, runs).collect() == []
+
+
 def test_every_window_has_one_representative_and_segments_do_not_matter(monkeypatch):
     rng = random.Random(11)
     text = "".join(rng.choice(["ab", "c", "d" * 9, "the cat ", "-" * 60]) for _ in range(400))
