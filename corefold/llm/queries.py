@@ -92,9 +92,12 @@ def p5_fill(spark, d):
     return packing.fill_report(p5_containers(spark, d), _limit(spark, d, "container_tokens"))
 
 
-def _p6(spark, d):
-    texts = table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "source", F.xxhash64("text").alias("f"), F.xxhash64(F.lit(1), "text").alias("g"), "text")
-    return mixing.mix(with_token_counts(texts, out="size"), table(spark, d, "mix_targets"))
+def _p6(spark, d, **options):
+    targets = table(spark, d, "mix_targets")
+    few = F.broadcast(targets.select("source").distinct())  # one row per target
+    texts = table(spark, d, "documents").where(F.col("text").isNotNull()).join(few, "source", "left_semi")
+    texts = texts.select(F.col("doc_id").alias("id"), "source", F.xxhash64("text").alias("f"), F.xxhash64(F.lit(1), "text").alias("g"), "text")
+    return mixing.mix(with_token_counts(texts, out="size"), targets, **options)
 
 
 def p6_mix(spark, d):
@@ -105,6 +108,11 @@ def p6_shares(spark, d):
     return _p6(spark, d)[1]
 
 
+def p6_reachable(spark, d):
+    """The shares at the largest size of the mix at which no source with texts falls short."""
+    return _p6(spark, d, total=mixing.REACHABLE)[1]
+
+
 # Greedy cuts over base(id, n, b1, ..., b4): n units, and the boundaries of each level from coarse to fine.
 _CUTS_SQL = """
 cuts(id, piece, begin, stop, carried, level) AS (
@@ -204,6 +212,7 @@ QUERIES = {
     "p5_fill": p5_fill,
     "p6_mix": p6_mix,
     "p6_shares": p6_shares,
+    "p6_reachable": p6_reachable,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
 }

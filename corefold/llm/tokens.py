@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,9 +73,21 @@ def with_token_counts(df: DataFrame, text_col: str = "text", out: str = "n_token
     schema = T.StructType([*kept, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count, known = counter(tokenizer), {}
+
+        def size(text: str | None) -> int:
+            """Copies of a long text are counted once in this task."""
+            if not text or len(text) <= _LONGEST_KEPT:
+                return count(text) if text else 0
+            key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+            if key not in known:
+                if len(known) >= _MOST_KEPT:
+                    known.clear()
+                known[key] = count(text)
+            return known[key]
+
         for batch in batches:
-            sizes = [count(text) if text else 0 for text in batch[text_col].to_pylist()]
+            sizes = list(map(size, batch[text_col].to_pylist()))
             columns = [batch[f.name] for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], names=[*(f.name for f in kept), out])
 

@@ -236,15 +236,15 @@ def test_packing_of_nothing(spark):
 def test_route_is_a_maximum_flow_of_least_cost():
     rng = random.Random(8)
     for _ in range(30):
-        sizes = {p: rng.randrange(1, 4) for p in rng.sample(range(1, 8), 3)}
-        quotas, repeats = [rng.randrange(0, 6) for _ in range(3)], [rng.randrange(0, 3) for _ in range(3)]
-        flows = mixing.route(sizes, quotas, repeats)
-        units = [(p, k) for p, size in sizes.items() for k in range(1, min(repeats[i] for i in range(3) if p >> i & 1) + 1) for _ in range(size)]
+        sizes = {p: rng.randrange(1, 4) for p in rng.sample([(0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)], 3)}
+        quotas, caps = [rng.randrange(0, 6) for _ in range(3)], {p: rng.randrange(0, 3) for p in sizes}
+        flows = mixing.route({str(p): (size, p, caps[p]) for p, size in sizes.items()}, quotas)
+        units = [(p, k) for p, size in sizes.items() for k in range(1, caps[p] + 1) for _ in range(size)]
         best = {(0, 0, 0): 0}  # filled quotas -> least cost
         for p, k in units:
             for state, cost in list(best.items()):
                 for i in range(3):
-                    if p >> i & 1 and state[i] < quotas[i]:
+                    if i in p and state[i] < quotas[i]:
                         new = tuple(x + (j == i) for j, x in enumerate(state))
                         best[new] = min(best.get(new, 10**9), cost + k - 1)
         most = max(map(sum, best))
@@ -278,6 +278,32 @@ def test_mix_reaches_shares_and_respects_repeats(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, selection.collect()))
 
 
+def test_mix_of_many_sources_and_patterns(spark):
+    rng = random.Random(6)
+    names = [f"s{i}" for i in range(80)]
+    rows = [(10 * i + k, name, i, 0, 1 + i % 5, 0, 0) for i in range(1200) for k, name in enumerate(rng.sample(names, 1 + i % 2))]
+    targets = spark.createDataFrame([(x, 1 / 80, 2) for x in names], TARGETS)
+    for most in (20_000, 90):  # with 90 the smaller patterns count for one of their sources only
+        selection, report = mixing.mix(spark.createDataFrame(rows, RECORDS), targets, most_patterns=most)
+        per_text, per_source = Counter(), Counter()
+        for r in selection.collect():
+            assert rows and r.source in names
+            per_text[r.id // 10] += r.uses
+            per_source[r.source] += r.uses * r.size
+        assert max(per_text.values()) <= 2
+        for r in report.collect():
+            assert r.reached == per_source[r.source] and r.reached <= r.quota + 5 and (most == 90 or abs(r.reached - r.quota) <= 5)
+
+
+def test_reachable_total_leaves_no_source_short(spark):
+    rows = [(i, "abc"[i % 3 if i < 60 else 0], i, 0, 1 + i % 7, 0, 0) for i in range(900)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 1), ("gone", 0.1, 4)], TARGETS)
+    out = {r.source: r for r in mixing.mix(spark.createDataFrame(rows, RECORDS), targets, mixing.REACHABLE)[1].collect()}
+    assert all(abs(out[x].reached - out[x].quota) <= 4 and not out[x].short for x in "abc") and out["gone"].short
+    everything = sum(r[4] for r in rows if r[1] == "b") * 2
+    assert out["b"].quota <= everything < out["b"].quota + 4
+
+
 def test_mix_of_nothing(spark):
     selection, report = mixing.mix(spark.createDataFrame([], RECORDS), spark.createDataFrame([("a", 1.0, 2)], TARGETS), 100)
     assert selection.collect() == [] and [(r.reached, r.short) for r in report.collect()] == [(0, True)]
