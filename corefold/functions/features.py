@@ -25,14 +25,22 @@ def bin_value(distance: Column) -> Column:
     return F.least(distance, F.lit(SATURATION)) / F.lit(float(SATURATION))
 
 
+def _hot(value: Column, width: int) -> list[Column]:
+    return [F.coalesce(value == i, F.lit(False)).cast("float") for i in range(width)]
+
+
+def _distance(distance: Column) -> list[Column]:
+    return [*_hot(distance_bin(distance), 10), bin_value(distance).cast("float")]
+
+
 def one_hot(value: Column, width: int) -> Column:
     """``width`` floats with a 1 at ``value``; all 0 for null or values outside."""
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce((i == value).cast("float"), F.lit(0.0).cast("float")))
+    return F.array(*_hot(value, width))
 
 
 def encoded_distance(distance: Column) -> Column:
     """Eleven floats: the one-hot bin and the value."""
-    return F.concat(one_hot(distance_bin(distance), 10), F.array(bin_value(distance).cast("float")))
+    return F.array(*_distance(distance))
 
 
 def heads_agree(a: Column, b: Column, profile: str = "inference") -> Column:
@@ -65,12 +73,34 @@ def speaker_matches(speaker_tokens: Column, mention: Column) -> Column:
     return F.coalesce(mention["root_tag"].startswith("NNP") & F.array_contains(speaker_tokens, mention["root_lower"]), F.lit(False))
 
 
+def speaker_flags(a: Column, m: Column) -> tuple[Column, Column, Column]:
+    """For mention structs with speaker_id and speaker_tokens: one speaker, the antecedent is the mention's speaker, the mention is the antecedent's. Unknown speakers are one."""
+    return a["speaker_id"].eqNullSafe(m["speaker_id"]), speaker_matches(m["speaker_tokens"], a), speaker_matches(a["speaker_tokens"], m)
+
+
+def _own(m: Column, n_mentions: Column) -> list[Column]:
+    """Type (4), length bin (10) and value, relative place, nested flag."""
+    flags = [(m["m_idx"] / n_mentions).cast("float"), m["nested"].cast("int").cast("float")]
+    return [*_hot(m["mention_type"], 4), *_distance(m["end"] - m["start"] - 1), *flags]
+
+
+def _genre(genre: Column | None) -> list[Column]:
+    return [F.lit(0).cast("float")] if genre is None else _hot(genre, 7)
+
+
 def single_features(m: Column, n_mentions: Column, genre: Column | None = None) -> Column:
-    """Type (4), length bin (10) and value, relative place, nested flag, then the genre: one 0, or 7 wide where a genre is given."""
-    as_float = lambda c: F.array(c.cast("float"))
-    parts = [one_hot(m["mention_type"], 4), encoded_distance(m["end"] - m["start"] - 1), as_float(m["m_idx"] / n_mentions), as_float(m["nested"].cast("int"))]
-    parts.append(one_hot(genre, 7) if genre is not None else as_float(F.lit(0)))
-    return F.concat(*parts)
+    """The mention's own 17 features, then the genre: one 0, or 7 wide where a genre is given."""
+    return F.array(*_own(m, n_mentions), *_genre(genre))
+
+
+def pair_features(a: Column, m: Column, compressed: Column, genre: Column | None = None) -> Column:
+    """The dense features of a pair: six flags, the bins and values of both distances, overlap, both mentions' own features, the genre as for one mention.
+
+    compressed: ``compressed_pair`` of the two; mention structs have n_mentions.
+    """
+    at = lambda i: F.get(compressed, F.lit(i))
+    flags = [at(i).cast("float") for i in range(6)]
+    return F.array(*flags, *_distance(at(6)), *_distance(at(7)), at(8).cast("float"), *_own(a, a["n_mentions"]), *_own(m, m["n_mentions"]), *_genre(genre))
 
 
 def compressed_pair(a: Column, m: Column, same_speaker: Column, a_speaker: Column, m_speaker: Column, profile: str = "training") -> Column:
@@ -84,21 +114,26 @@ def compressed_mention(m: Column, n_mentions: Column, genre: Column) -> Column:
     return F.array(m["mention_type"], m["end"] - m["start"] - 1, m["m_idx"], n_mentions.cast("int"), m["nested"].cast("int"), genre)
 
 
+def _decoded(f: Column, genres: int) -> list[Column]:
+    at = lambda i: F.get(f, F.lit(i))
+    return [*_hot(at(0), 4), *_distance(at(1)), (at(2) / at(3)).cast("float"), at(4).cast("float"), *_hot(at(5), genres)]
+
+
 def decode_mention(f: Column, genres: int = 7) -> Column:
     """Compressed mention features as a dense vector (24 wide with 7 genres)."""
-    place = F.array((F.get(f, F.lit(2)) / F.get(f, F.lit(3))).cast("float"), F.get(f, F.lit(4)).cast("float"))
-    return F.concat(one_hot(F.get(f, F.lit(0)), 4), encoded_distance(F.get(f, F.lit(1))), place, one_hot(F.get(f, F.lit(5)), genres))
+    return F.array(*_decoded(f, genres))
 
 
 def decode_pair(f: Column, antecedent: Column, mention: Column, genres: int = 7) -> Column:
     """Compressed pair features with both mentions' compressed features as a dense vector (70 wide with 7 genres).
 
-    The antecedent's and the mention's own features come without the genre, which follows once.
+    The antecedent's and the mention's own features come without the genre, which follows once. The vector is one array of
+    scalar expressions, so that reading one position computes that position only.
     """
     at = lambda i: F.get(f, F.lit(i))
-    flags = F.transform(F.slice(f, 1, 6), lambda x: x.cast("float"))
-    alone = lambda m: F.slice(decode_mention(m, genres), 1, 17)
-    return F.concat(flags, encoded_distance(at(6)), encoded_distance(at(7)), F.array(at(8).cast("float")), alone(antecedent), alone(mention), one_hot(F.get(mention, F.lit(5)), genres))
+    flags = [at(i).cast("float") for i in range(6)]
+    own = _decoded(mention, genres)
+    return F.array(*flags, *_distance(at(6)), *_distance(at(7)), at(8).cast("float"), *_decoded(antecedent, genres)[:17], *own)
 
 
 def clipped_sigmoid(x: Column, margin: float = 1e-7) -> Column:

@@ -87,6 +87,11 @@ def cache_name(url: Column, etag: Column) -> Column:
     return F.concat_ws(".", F.sha2(url, 256), F.when(etag.isNotNull(), F.sha2(etag, 256)))
 
 
+def cached_source(metadata: Column) -> Column:
+    """The inverse of ``cache_name``: struct(url, etag) from the JSON text that is kept beside a cached file; null for other text."""
+    return F.from_json(metadata, "url string, etag string")
+
+
 def file_extension(path: Column, dot: bool = True, lower: bool = True) -> Column:
     """The suffix from the last dot of the file name on."""
     found = F.regexp_extract(path, r"([.][^./\\]*)$", 1)

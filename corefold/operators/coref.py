@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +29,13 @@ def forest_roots(links: DataFrame) -> DataFrame:
     an array that is composed with itself until every entry is a root (a logarithmic number of times).
     """
     per_doc = links.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("men_idx").cast("int").alias("m_idx"), F.col("best_ant").cast("int").alias("best_ant")))).alias("l"))
-    at = F.map_from_entries("l")
     dense = F.element_at("l", -1)["m_idx"] + 1 == F.size("l")
-    every = F.sequence(F.lit(0), F.element_at("l", -1)["m_idx"])
-    pointers = F.when(dense, F.transform("l", lambda x: x["best_ant"])).otherwise(F.transform(every, lambda i: F.coalesce(at[i], i)))
-    present = F.when(dense, F.transform("l", lambda x: F.lit(True))).otherwise(F.transform(every, lambda i: F.array_contains(F.map_keys(at), i)))
+    # Where numbers are missing, the places between two mentions point to themselves.
+    entry = lambda i, x: F.struct(F.when(i == x["m_idx"], x["best_ant"]).otherwise(i).alias("best_ant"), (i == x["m_idx"]).alias("present"))
+    upto = lambda x, k: F.coalesce(F.get("l", k + 1)["m_idx"] - 1, x["m_idx"])
+    filled = F.flatten(F.transform("l", lambda x, k: F.transform(F.sequence(F.when(k == 0, F.lit(0)).otherwise(x["m_idx"]), upto(x, k)), lambda i: entry(i, x))))
+    pointers = F.when(dense, F.transform("l", lambda x: x["best_ant"])).otherwise(filled["best_ant"])
+    present = F.when(dense, F.transform("l", lambda x: F.lit(True))).otherwise(filled["present"])
     rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("p") + 1)).cast("int"))
     roots = F.aggregate(rounds, F.col("p"), lambda acc, _: F.transform(acc, lambda x: F.get(acc, x)))
     # The arrays are zipped by position, never looked up per element: a lookup would compute them again for each.
@@ -92,49 +91,51 @@ def token_writes(found: DataFrame, mentions: DataFrame) -> DataFrame:
     spans = mentions.select("doc_id", "m_idx", "start", "end")
     mains = mentions.select("doc_id", F.col("m_idx").alias("main"), F.col("text").alias("main_text"))
     rows = found.where("m_idx <> main").join(spans, ["doc_id", "m_idx"]).join(mains, ["doc_id", "main"])
-    seq = F.struct("cluster", "m_idx")
-    cells = rows.select("doc_id", seq.alias("seq"), "start", "end", "main_text", F.explode(F.sequence("start", F.col("end") - 1)).alias("tok_idx"))
+    return _cells(rows.withColumn("seq", F.struct("cluster", "m_idx")))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    cells = rows.select("doc_id", "seq", "start", "end", "main_text", F.explode(F.sequence("start", F.col("end") - 1)).alias("tok_idx"))
     return cells.select("doc_id", "tok_idx", "seq", F.when(F.col("tok_idx") == F.col("start"), F.col("main_text")).alias("written"), (F.col("end") - 1).alias("last"))
 
 
+def _rewritten(tokens: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, resolved): the tokens with the last write of each cell; a mention's text is followed by the whitespace after it."""
+    last = cells.groupBy("doc_id", "tok_idx").agg(F.max_by(F.struct("written", "last"), "seq").alias("w"))
+    spaces = tokens.select("doc_id", F.col("tok_idx").alias("last"), F.col("ws").alias("last_ws"))
+    written = last.select("doc_id", "tok_idx", "w.written", "w.last").join(spaces, ["doc_id", "last"], "left")
+    new = written.select("doc_id", "tok_idx", F.coalesce(F.concat("written", "last_ws"), F.lit("")).alias("new"))
+    out = tokens.select(*keys, "tok_idx", F.concat("text", "ws").alias("old")).join(new, ["doc_id", "tok_idx"], "left")
+    parts = F.array_sort(F.collect_list(F.struct("tok_idx", F.coalesce("new", "old").alias("t"))))
+    return out.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("resolved"))
+
+
 def resolve(tokens: DataFrame, found: DataFrame, mentions: DataFrame) -> DataFrame:
     """(doc_id, resolved): the text with every mention replaced by its entity's main mention.
 
     The first token of a mention becomes the main text with the whitespace after the mention, its other tokens
     nothing. Where mentions overlap, the later cluster and then the later mention decides. Documents without clusters keep their text.
     """
-    last = token_writes(found, mentions).groupBy("doc_id", "tok_idx").agg(F.max_by(F.struct("written", "last"), "seq").alias("w"))
-    spaces = tokens.select("doc_id", F.col("tok_idx").alias("last"), F.col("ws").alias("last_ws"))
-    written = last.select("doc_id", "tok_idx", "w.written", "w.last").join(spaces, ["doc_id", "last"], "left")
-    new = written.select("doc_id", "tok_idx", F.coalesce(F.concat("written", "last_ws"), F.lit("")).alias("new"))
-    out = tokens.select("doc_id", "tok_idx", F.concat("text", "ws").alias("old")).join(new, ["doc_id", "tok_idx"], "left")
-    parts = F.array_sort(F.collect_list(F.struct("tok_idx", F.coalesce("new", "old").alias("t"))))
-    return out.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("resolved"))
+    return _rewritten(tokens, token_writes(found, mentions), ["doc_id"])
 
 
 def resolve_utterances(tokens: DataFrame, found: DataFrame, mentions: DataFrame) -> DataFrame:
     """(doc_id, utt_idx, resolved): per utterance, from left to right, the first mention that starts at a token is replaced by its
-    entity's lower-case main mention, and the scan goes on behind it. A stateful scan, so one pandas group per utterance.
+    entity's lower-case main mention, and the scan goes on behind it.
+
+    The scan only chooses mentions, over the array of an utterance's replaceable ones; the rewriting is that of ``resolve``.
     """
-    mains = mentions.select("doc_id", F.col("m_idx").alias("main"), F.lower("text").alias("new"))
+    mains = mentions.select("doc_id", F.col("m_idx").alias("main"), F.lower("text").alias("main_text"))
     swaps = found.where("m_idx <> main").join(mentions.select("doc_id", "m_idx", "start", "end"), ["doc_id", "m_idx"]).join(mains, ["doc_id", "main"])
-    first = swaps.groupBy("doc_id", F.col("start").alias("tok_idx")).agg(F.min_by(F.struct("end", "new"), "m_idx").alias("s")).select("doc_id", "tok_idx", "s.end", "s.new")
-    rows = tokens.select("doc_id", "utt_idx", "tok_idx", "text", "ws").join(first, ["doc_id", "tok_idx"], "left")
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        out, upto = [], -1
-        for row in group.sort_values("tok_idx").itertuples():
-            if row.tok_idx < upto:
-                continue
-            if isinstance(row.new, str):
-                upto = int(row.end)
-                out.append(row.new + group.loc[group.tok_idx == upto - 1, "ws"].sum())
-            else:
-                out.append(row.text + row.ws)
-        return pd.DataFrame({"doc_id": [group.doc_id.iloc[0]], "utt_idx": [group.utt_idx.iloc[0]], "resolved": ["".join(out)]})
-
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("doc_id", "utt_idx").applyInPandas(scan, f"doc_id {kind}, utt_idx int, resolved string")
+    first = swaps.groupBy("doc_id", "start").agg(F.min_by(F.struct("end", "main_text"), "m_idx").alias("s")).select("doc_id", "start", "s.end", "s.main_text")
+    placed = first.join(tokens.select("doc_id", "utt_idx", F.col("tok_idx").alias("start")), ["doc_id", "start"])
+    fields = F.struct(*[F.col(c).cast("int").alias(c) for c in ("start", "end")], "main_text")
+    per = placed.groupBy("doc_id", "utt_idx").agg(F.array_sort(F.collect_list(fields)).alias("all"))
+    kind = per.schema["all"].dataType
+    state = F.struct(F.lit(-1).alias("upto"), F.array().cast(kind).alias("kept"))
+    step = lambda acc, x: F.when(x["start"] >= acc["upto"], F.struct(x["end"].alias("upto"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    kept = per.select("doc_id", F.explode(F.aggregate("all", state, step)["kept"]).alias("x")).select("doc_id", "x.*")
+    return _rewritten(tokens, _cells(kept.withColumn("seq", F.struct("start"))), ["doc_id", "utt_idx"])
 
 
 def score_map(pair_scores: DataFrame, single_scores: DataFrame) -> DataFrame:
@@ -143,17 +144,36 @@ def score_map(pair_scores: DataFrame, single_scores: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "m_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ant_idx", "score")))).alias("scores"))
 
 
-def annotate_tokens(tokens: DataFrame, found: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(doc_id, tok_idx, in_coref, clusters): whether a token lies in a clustered mention, and in which clusters."""
-    covered = found.join(mentions.select("doc_id", "m_idx", "start", "end"), ["doc_id", "m_idx"]).select("doc_id", "cluster", F.explode(F.sequence("start", F.col("end") - 1)).alias("tok_idx"))
-    per_token = covered.groupBy("doc_id", "tok_idx").agg(F.sort_array(F.collect_set("cluster")).alias("clusters"))
+def annotate_tokens(tokens: DataFrame, found: DataFrame, mentions: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """(doc_id, tok_idx, in_coref, clusters[, scores]): whether a token lies in a clustered mention, in which clusters, and the score maps of all mentions that cover it.
+
+    scores: ``score_map``; the token's is an array of (m_idx, scores) in mention order, empty outside mentions.
+    """
+    spans = mentions.select("doc_id", "m_idx", "start", "end")
+    extra = ["scores"] if scores is not None else []
+    if scores is not None:
+        spans = spans.join(scores, ["doc_id", "m_idx"], "left")
+    kept = spans.join(found.select("doc_id", "m_idx", "cluster"), ["doc_id", "m_idx"], "left")
+    covered = kept.where("end > start").select("doc_id", "m_idx", "cluster", *extra, F.explode(F.sequence("start", F.col("end") - 1)).alias("tok_idx"))
+    sums = [F.sort_array(F.collect_set("cluster")).alias("clusters")]
+    if scores is not None:
+        sums.append(F.collect_list(F.struct("m_idx", "scores")).alias("scores"))
+    per_token = covered.groupBy("doc_id", "tok_idx").agg(*sums)
     out = tokens.select("doc_id", "tok_idx").join(per_token, ["doc_id", "tok_idx"], "left")
-    return out.select("doc_id", "tok_idx", F.col("clusters").isNotNull().alias("in_coref"), F.coalesce("clusters", F.array().cast("array<int>")).alias("clusters"))
+    clusters_ = F.coalesce("clusters", F.array().cast("array<int>"))
+    columns = ["doc_id", "tok_idx", (F.size(clusters_) > 0).alias("in_coref"), clusters_.alias("clusters")]
+    if scores is not None:
+        # mentions of one token are few; a map cannot be compared, so they are put in order by their numbers
+        numbers = F.array_sort(F.transform("scores", lambda x: x["m_idx"]))
+        ordered = F.transform(numbers, lambda i: F.filter("scores", lambda x: x["m_idx"] == i)[0])
+        columns.append(F.coalesce(ordered, F.array().cast(per_token.schema["scores"].dataType)).alias("scores"))
+    return out.select(*columns)
 
 
-def annotate_spans(mentions: DataFrame, found: DataFrame) -> DataFrame:
-    """Mentions with is_coref and, where true, the cluster and its main mention."""
-    return mentions.join(found.select("doc_id", "m_idx", "cluster", "main"), ["doc_id", "m_idx"], "left").withColumn("is_coref", F.col("cluster").isNotNull())
+def annotate_spans(mentions: DataFrame, found: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Mentions with is_coref and, where true, the cluster and its main mention; with ``score_map`` also their scores."""
+    out = mentions.join(found.select("doc_id", "m_idx", "cluster", "main"), ["doc_id", "m_idx"], "left").withColumn("is_coref", F.col("cluster").isNotNull())
+    return out if scores is None else out.join(scores, ["doc_id", "m_idx"], "left")
 
 
 def annotate_docs(docs: DataFrame, found: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -195,10 +215,3 @@ def follow_chains(links: DataFrame, asked: DataFrame, depth: int | None = None)
     step = lambda acc, i: F.when((F.size(acc) < i) | (F.coalesce(F.col("to")[last(acc)], last(acc)) == last(acc)), acc).otherwise(F.concat(acc, F.array(F.col("to")[last(acc)])))
     chain = F.aggregate(F.sequence(F.lit(1), F.size("to") if depth is None else F.lit(depth)), F.array("m_idx"), step)
     return start.select("doc_id", F.explode(chain).alias("m_idx")).distinct()
-
-
-def iter_chunks(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Cut the frames of a partition into frames of at most ``rows`` rows."""
-    for frame in frames:
-        for i in range(0, len(frame), rows):
-            yield frame.iloc[i : i + rows]

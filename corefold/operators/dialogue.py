@@ -43,6 +43,35 @@ def speakers(utterances: DataFrame, names: DataFrame | None = None, compat_chara
     return out.withColumn("tokens", F.flatten(F.transform("names", name_tokens)))
 
 
+def utterance_of(mentions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Add utt_idx to mentions (doc_id, start_char, ...): the utterance in whose characters they start. sizes: (doc_id, utt_idx, n_chars) of all utterances, in order."""
+    before = Window.partitionBy("doc_id").orderBy("utt_idx").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("n_chars").over(before), F.lit(0)).cast("long")
+    nothing = F.lit(None).cast(mentions.drop("doc_id").schema)
+    starts = sizes.select("doc_id", begin.alias("at"), "utt_idx", nothing.alias("x"))
+    rows = mentions.select("doc_id", F.col("start_char").cast("long").alias("at"), F.lit(None).cast("int").alias("utt_idx"), F.struct(*[c for c in mentions.columns if c != "doc_id"]).alias("x"))
+    order = Window.partitionBy("doc_id").orderBy("at", F.col("x").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = starts.unionByName(rows).withColumn("utt_idx", F.last("utt_idx", ignorenulls=True).over(order))
+    return placed.where("x is not null").select("doc_id", "utt_idx", "x.*")
+
+
+def with_speakers(mentions: DataFrame, tokens: DataFrame, utterances: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Add utt_idx, speaker_id and speaker_tokens (the parts of the speaker's names) to mentions.
+
+    tokens: (doc_id, tok_idx, utt_idx); utterances: (doc_id, utt_idx, speaker_id); names: (doc_id, speaker_id, names), by default the ids.
+    """
+    place = tokens.select("doc_id", F.col("tok_idx").alias("start"), "utt_idx")
+    said = utterances.select("doc_id", "utt_idx", F.col("speaker_id").cast("string").alias("speaker_id"))
+    if names is None:
+        said = said.withColumn("names", F.array("speaker_id"))
+    else:
+        given = names.select("doc_id", F.col("speaker_id").cast("string").alias("speaker_id"), "names")
+        said = said.join(given, ["doc_id", "speaker_id"], "left").withColumn("names", F.coalesce("names", F.array("speaker_id")))
+    parts = F.coalesce(F.flatten(F.transform("names", name_tokens)), F.array().cast("array<string>"))
+    said = said.select("doc_id", "utt_idx", "speaker_id", parts.alias("speaker_tokens"))
+    return mentions.join(place, ["doc_id", "start"], "left").join(said, ["doc_id", "utt_idx"], "left")
+
+
 def conversation_text(utterances: DataFrame) -> DataFrame:
     """(doc_id, text): each conversation as one document, an utterance per line."""
     rows = utterances.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("utt_idx", F.coalesce("text", F.lit("")).alias("text")))).alias("u"))

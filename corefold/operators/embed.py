@@ -35,21 +35,38 @@ def conversion_vectors(conversions: DataFrame, embeddings: DataFrame, width: int
     return every.join(mean_vectors(found, ["word"], "vec", width).drop("n"), "word", "left").select("word", F.coalesce("vec", F.array_repeat(F.lit(0.0), width)).alias("vec"))
 
 
+def vocabulary(embeddings: DataFrame) -> DataFrame:
+    """(word, tuned, static): one row per word, written once, so that a word that a third of all tokens are does not fill one task of a join."""
+    of = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("vec")), ignorenulls=True).alias(kind)
+    return stash(embeddings.where("word is not null").groupBy("word").agg(of("tuned"), of("static")), "vocabulary")
+
+
 def lookup(rows: DataFrame, key: str, embeddings: DataFrame, tuned: bool = True, conversions: DataFrame | None = None, out: str = "vec") -> DataFrame:
-    """Add a word's vector: from the conversions, else tuned (if asked), else static, else the unknown word's."""
-    table = lambda kind, name: embeddings.where(F.col("kind") == kind).groupBy(F.col("word").alias(key)).agg(F.first("vec").alias(name))
-    joined, parts = rows, []
+    """Add a word's vector: from the conversions, else tuned (if asked), else static, else the unknown word's. embeddings: (kind, word, vec) or a ``vocabulary``."""
+    known = embeddings if "static" in embeddings.columns else vocabulary(embeddings)
+    own = F.coalesce("tuned", "static") if tuned else F.col("static")
+    joined, parts = rows.join(known.select(F.col("word").alias(key), own.alias("__own")), key, "left"), ["__own"]
     if conversions is not None:
         joined = joined.join(conversions.select(F.col("word").alias(key), F.col("vec").cast("array<double>").alias("__c")), key, "left")
-        parts.append("__c")
-    for kind in ["tuned", "static"] if tuned else ["static"]:
-        joined = joined.join(table(kind, f"__{kind}"), key, "left")
-        parts.append(f"__{kind}")
-    unknown = embeddings.where(F.col("word") == UNKNOWN_WORD).agg(F.max_by("vec", F.when(F.col("kind") == ("tuned" if tuned else "static"), 1).otherwise(0)).alias("__unk"))
+        parts.insert(0, "__c")
+    unknown = known.where(F.col("word") == UNKNOWN_WORD).agg(F.first(F.coalesce(*(["tuned", "static"] if tuned else ["static", "tuned"]))).alias("__unk"))
     joined = joined.join(F.broadcast(unknown), F.lit(True), "left")  # one row
     return joined.withColumn(out, F.coalesce(*[F.col(p).cast("array<double>") for p in [*parts, "__unk"]])).drop(*parts, "__unk")
 
 
+def initial_vectors(words: DataFrame, width: int, seed: int = 0, bound: float = 0.5) -> DataFrame:
+    """(kind, word, vec): tuned vectors with seeded numbers, even over -bound to bound, for words without pretrained ones."""
+    number = lambda i: (F.pmod(F.xxhash64(F.lit(seed), "word", i), F.lit(1 << 24)) / float(1 << 23) - 1) * bound
+    vec = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: number(i).cast("float"))
+    return words.where("word is not null").select("word").distinct().select(F.lit("tuned").alias("kind"), "word", vec.alias("vec"))
+
+
+def check_width(embeddings: DataFrame, width: int) -> DataFrame:
+    """The same table; reading a vector of another width raises an error."""
+    wrong = F.raise_error(F.concat(F.lit("vector of another width: "), "word")).cast(embeddings.schema["vec"].dataType)
+    return embeddings.withColumn("vec", F.when(F.size("vec") == width, F.col("vec")).otherwise(wrong))
+
+
 def normalised(tokens: DataFrame, profile: str) -> DataFrame:
     return tokens.withColumn("key", normalise_inference(F.col("text")) if profile == "inference" else normalise_training(F.col("text")))
 
@@ -93,6 +110,7 @@ def mention_embeddings(mentions: DataFrame, tokens: DataFrame, embeddings: DataF
     The document block is zero in the inference profile; else it averages the utterances (utt_idx of the tokens, without it one a document;
     empty ones are taken from ``utterances``).
     """
+    embeddings = embeddings if "static" in embeddings.columns else vocabulary(embeddings)
     t = normalised(tokens if "utt_idx" in tokens.columns else tokens.withColumn("utt_idx", F.lit(0)), profile)
     static = stash(lookup(t.select("doc_id", "sent_idx", "utt_idx", "tok_idx", "text", "key"), "key", embeddings, tuned=False), "static")
     word = lookup(t.select("doc_id", "sent_idx", "tok_idx", "head", "key"), "key", embeddings, True, conversions, "wv").select("doc_id", "sent_idx", "tok_idx", "head", "wv")
@@ -111,7 +129,7 @@ def mention_embeddings(mentions: DataFrame, tokens: DataFrame, embeddings: DataF
         out = out.join(document_embeddings(static, width, utterances).select("doc_id", F.col("vec").alias("e4")), "doc_id", "left").withColumn("e4", F.coalesce("e4", zero))
     else:
         out = out.withColumn("e4", zero)
-    missing = embeddings.where(F.col("word") == MISSING_WORD).agg(F.max_by("vec", F.when(F.col("kind") == "tuned", 1).otherwise(0)).cast("array<double>").alias("missing"))
+    missing = embeddings.where(F.col("word") == MISSING_WORD).agg(F.first(F.coalesce("tuned", "static")).cast("array<double>").alias("missing"))
     out = out.join(F.broadcast(missing), F.lit(True), "left")  # one row
     heads = word.select("doc_id", F.col("tok_idx").alias("root"), "head")
     out = out.join(heads, ["doc_id", "root"], "left")
@@ -126,7 +144,8 @@ def mention_embeddings(mentions: DataFrame, tokens: DataFrame, embeddings: DataF
 
 def words_outside(words: DataFrame, embeddings: DataFrame, kind: str = "static") -> DataFrame:
     """Rows whose word has no vector of that kind."""
-    return words.join(embeddings.where(F.col("kind") == kind).select("word").distinct(), "word", "left_anti")
+    known = stash(embeddings.where(F.col("kind") == kind).select("word").distinct(), "known")  # so that a hot word can be split
+    return words.join(known, "word", "left_anti")
 
 
 def word_ids(words: DataFrame, vocabulary: DataFrame) -> DataFrame:

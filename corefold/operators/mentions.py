@@ -149,7 +149,8 @@ def describe_mentions(spans: DataFrame, tokens: DataFrame) -> DataFrame:
 
     A span's tokens are joined by position, and its root is the token whose head lies outside the span. Mentions
     are numbered from 0 in each document by (root, start, end). ``nested`` tells whether another mention of the
-    sentence holds this one. ``ent_label`` is the label of the first entity that contains the span.
+    sentence holds this one. ``ent_label`` is the label of the first accepted entity that contains the span, ``span_ent`` that of
+    the one entity, of any label, that all its tokens belong to.
     """
     covered = spans.select("doc_id", "start", "end", F.explode(F.sequence("start", F.col("end") - 1)).alias("tok_idx"))
     t = covered.join(tokens, ["doc_id", "tok_idx"])
@@ -157,6 +158,7 @@ def describe_mentions(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     words = F.array_sort(F.collect_list(F.struct("tok_idx", "text", "ws", "lower", "tag")))
     m = t.groupBy("doc_id", "start", "end").agg(
         F.min(F.when(outside, F.col("tok_idx"))).alias("root"), F.min("sent_idx").alias("sent_idx"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"),
+        (F.max((F.col("ent_iob").isin(0, 2)) | ((F.col("ent_iob") == 3) & (F.col("tok_idx") > F.col("start"))))).alias("not_one"), F.min_by("ent_type", "tok_idx").alias("first_ent"),
         F.max(F.col("tag").isin(CONJUNCTION_TAGS) & ~F.coalesce(F.col("ent_type").isin(ENTITY_LABELS), F.lit(False))).alias("is_list"), words.alias("w"),
     )
     m = m.withColumn("root", F.coalesce("root", "start"))
@@ -167,7 +169,7 @@ def describe_mentions(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     # The text of a span has the whitespace between its tokens but none after the last one.
     text = F.concat(F.array_join(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x: F.concat(x["text"], x["ws"])), ""), F.element_at("w", -1)["text"])
     named = entities(tokens).select("doc_id", "sent_idx", F.col("start").alias("e_start"), F.col("end").alias("e_end"), "label")
-    m = m.select("doc_id", "start", "end", "root", "sent_idx", "start_char", "end_char", kind.alias("mention_type"), "root_lower", "root_tag", F.lower(text).alias("span_lower"), text.alias("text"), content.alias("content_words"))
+    m = m.select("doc_id", "start", "end", "root", "sent_idx", "start_char", "end_char", kind.alias("mention_type"), "root_lower", "root_tag", F.lower(text).alias("span_lower"), text.alias("text"), content.alias("content_words"), F.when(~F.col("not_one"), F.col("first_ent")).alias("span_ent"))
     inside = m.select("doc_id", "sent_idx", "start", "end").join(named, ["doc_id", "sent_idx"]).where("e_start <= start and end <= e_end").groupBy("doc_id", "start", "end").agg(F.min_by("label", "e_start").alias("ent_label"))
     m = m.join(inside, ["doc_id", "start", "end"], "left")
     return with_nested(number_mentions(m))
@@ -191,6 +193,12 @@ def with_nested(mentions: DataFrame, within: tuple[str, ...] = ("doc_id", "sent_
     return mentions.withColumn("nested", F.coalesce(reach >= F.col("end"), F.lit(False)) | twins)
 
 
+def show_mentions(tokens: DataFrame, profile: str = "inference", rows: int = 50) -> None:
+    """Print the mentions that the rules find, without leaving out any words."""
+    found = describe_mentions(extract_spans(tokens, profile, blacklist=False), tokens)
+    found.select("doc_id", "m_idx", "text", "mention_type", "root_lower", "nested").orderBy("doc_id", "m_idx").show(rows, truncate=False)
+
+
 def link_gold(mentions: DataFrame, gold: DataFrame) -> DataFrame:
     """Add gold_label: that of the gold span (doc_id, start, end, label) equal to the mention's; the smallest of several."""
     labels = gold.groupBy("doc_id", "start", "end").agg(F.min("label").alias("gold_label"))

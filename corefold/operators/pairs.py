@@ -66,9 +66,19 @@ def self_pairs(mentions: DataFrame) -> DataFrame:
     return mentions.select("doc_id", F.col("m_idx").alias("men_idx"), F.col("m_idx").alias("ant_idx"))
 
 
-def with_sides(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Add both mentions as structs ``a`` (antecedent) and ``m``."""
-    side = F.struct(*[c for c in mentions.columns if c != "doc_id"])
-    earlier = mentions.select("doc_id", F.col("m_idx").alias("ant_idx"), side.alias("a"))
-    later = mentions.select("doc_id", F.col("m_idx").alias("men_idx"), side.alias("m"))
-    return pairs.join(later, ["doc_id", "men_idx"]).join(earlier, ["doc_id", "ant_idx"])
+def with_sides(pairs: DataFrame, mentions: DataFrame, names: tuple[str, str] = ("a", "m")) -> DataFrame:
+    """Add both mentions as structs ``a`` (antecedent) and ``m``.
+
+    The pairs, the largest table, are partitioned once, by document: a document's mentions are one array, in which
+    both are looked up by index. Pairs of mentions that do not exist are dropped.
+    """
+    side = F.struct(F.col("m_idx").cast("int").alias("m_idx"), *[c for c in mentions.columns if c not in ("doc_id", "m_idx")])
+    per_doc = mentions.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("m_idx").cast("int").alias("__at"), side.alias("x")))).alias("__all"))
+
+    def found(index: str) -> Column:
+        here = F.get("__all", F.col(index).cast("int"))
+        other = F.get(F.filter("__all", lambda x: x["__at"] == F.col(index)), F.lit(0))  # only where numbers are missing
+        return F.when(here["__at"] == F.col(index), here["x"]).otherwise(other["x"])
+
+    joined = pairs.join(per_doc, "doc_id").select(*pairs.columns, found("ant_idx").alias(names[0]), found("men_idx").alias(names[1]))
+    return joined.where(F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull())

@@ -1,7 +1,7 @@
 """Feed-forward scoring of mentions and pairs in Arrow batches.
 
-Dense pair inputs (1364 floats) are never shuffled: the two mention vectors are joined to the pair, and the input is
-put together inside the batch that multiplies it. Only scores leave.
+Dense pair inputs (1364 floats) are never shuffled, nor is an embedding sent along with a pair: pairs and embeddings
+meet by document, each once, and the input is gathered by index where it is multiplied. Only scores leave.
 """
 
 from __future__ import annotations
@@ -53,25 +53,67 @@ def score_vectors(rows: DataFrame, layers: Layers, features: str = "features", o
     return rows.mapInPandas(run, schema).withColumn(out, F.when(F.isnan(out), None).otherwise(F.col(out)))
 
 
-def score_pairs(pairs: DataFrame, vectors: DataFrame, layers: Layers) -> DataFrame:
+def score_pairs(pairs: DataFrame, vectors: DataFrame, layers: Layers, rows: int = 20_000) -> DataFrame:
     """(doc_id, men_idx, ant_idx, score). pairs: (doc_id, men_idx, ant_idx, features); vectors: (doc_id, m_idx, embedding).
 
-    The input is antecedent embedding, mention embedding, pair features. Embeddings are sent once per mention and document
-    group, and gathered by index inside the batch.
+    The input is antecedent embedding, mention embedding, pair features. A document's embeddings are one matrix, sent once;
+    its pairs are multiplied ``rows`` at a time. A pair of a mention without an embedding, or without features, has a null score.
     """
     model = pairs.sparkSession.sparkContext.broadcast(layers)  # bounded by the model
-    later = vectors.select("doc_id", F.col("m_idx").alias("men_idx"), F.col("embedding").alias("me"))
-    earlier = vectors.select("doc_id", F.col("m_idx").alias("ant_idx"), F.col("embedding").alias("ae"))
-    joined = pairs.join(later, ["doc_id", "men_idx"]).join(earlier, ["doc_id", "ant_idx"]).select("doc_id", "men_idx", "ant_idx", "ae", "me", "features")
     kind = pairs.schema["doc_id"].dataType.simpleString()
 
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left[["doc_id", "men_idx", "ant_idx"]].assign(score=np.nan)
+        right = right[right["embedding"].notna()].sort_values("m_idx")
+        if not len(left) or not len(right):
+            return out
+        known, matrix = right["m_idx"].to_numpy(), np.stack(right["embedding"].to_numpy()).astype(np.float64)
+        places = [np.minimum(np.searchsorted(known, left[c].to_numpy()), len(known) - 1) for c in ("ant_idx", "men_idx")]
+        whole = (known[places[0]] == left["ant_idx"]) & (known[places[1]] == left["men_idx"]) & left["features"].notna()
+        good, scores = np.flatnonzero(whole), out["score"].to_numpy().copy()
+        for at in range(0, len(good), rows):
+            part = good[at : at + rows]
+            dense = np.stack(left["features"].to_numpy()[part]).astype(np.float64)
+            scores[part] = forward(model.value, np.hstack([matrix[places[0][part]], matrix[places[1][part]], dense]))
+        return out.assign(score=scores)
+
+    asked = pairs.select("doc_id", F.col("men_idx").cast("int").alias("men_idx"), F.col("ant_idx").cast("int").alias("ant_idx"), "features")
+    given = vectors.select(F.col("doc_id").alias("doc"), F.col("m_idx").cast("int").alias("m_idx"), "embedding")
+    scored = asked.groupBy("doc_id").cogroup(given.groupBy("doc")).applyInPandas(run, f"doc_id {kind}, men_idx int, ant_idx int, score double")
+    return scored.withColumn("score", F.when(F.isnan("score"), None).otherwise(F.col("score")))
+
+
+def score_words(rows: DataFrame, layers: Layers, vectors: np.ndarray, out: str = "score") -> DataFrame:
+    """Scores of inputs that name words instead of holding their vectors: (words, spans, features) arrays per row.
+
+    words: numbers of rows of ``vectors``, the tuned matrix, in the order of the network's inputs; spans: averages, features: the rest.
+    The network's input is spans, words' vectors, features. A null array, or one of another length, gives a null score.
+    """
+    model = rows.sparkSession.sparkContext.broadcast((layers, vectors))  # bounded by the model
+    width = layers[0][0].shape[1]
+    keep = [c for c in rows.columns if c not in ("words", "spans", "features")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep), f"{out} double"])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        layers, vectors = model.value
         for frame in frames:
-            if len(frame):
-                x = np.hstack([np.stack(frame[c].to_numpy()) for c in ("ae", "me", "features")])
-                yield frame[["doc_id", "men_idx", "ant_idx"]].assign(score=forward(model.value, x))
+            size = [sum(np.shape(x)[0] * k for x, k in ((w, vectors.shape[1]), (s, 1), (f, 1))) if w is not None and s is not None and f is not None else -1
+                    for w, s, f in zip(frame["words"], frame["spans"], frame["features"])]
+            good, scores = np.array(size) == width, np.full(len(frame), np.nan)
+            if good.any():
+                words, spans, rest = (np.stack(frame.loc[good, c].to_numpy()) for c in ("words", "spans", "features"))
+                scores[good] = forward(layers, np.hstack([spans, vectors[words.astype(int)].reshape(len(words), -1), rest]).astype(np.float64))
+            yield frame[keep].assign(**{out: scores})
+
+    return rows.mapInPandas(run, schema).withColumn(out, F.when(F.isnan(out), None).otherwise(F.col(out)))
+
 
-    return joined.mapInPandas(run, f"doc_id {kind}, men_idx int, ant_idx int, score double")
+def candidate_scores(pair_scores: DataFrame, single_scores: DataFrame) -> DataFrame:
+    """(doc_id, m_idx, scores): each mention's scores of its antecedents in order, and of a new entity last."""
+    sorted_ = F.array_sort(F.collect_list(F.struct("ant_idx", "score")))
+    lists = pair_scores.groupBy("doc_id", F.col("men_idx").alias("m_idx")).agg(F.transform(sorted_, lambda x: x["score"]).alias("own"))
+    both = single_scores.select("doc_id", "m_idx", "score").join(lists, ["doc_id", "m_idx"], "left")
+    return both.select("doc_id", "m_idx", F.concat(F.coalesce("own", F.array().cast("array<double>")), F.array("score")).alias("scores"))
 
 
 def rule_scores(pairs: DataFrame) -> DataFrame:

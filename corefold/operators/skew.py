@@ -22,16 +22,18 @@ _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 _SLOT = "__slot"
 
 
-def tree_aggregate(df: DataFrame, keys: Sequence[str], states: dict[str, tuple[str, Column]], fan_in: int = 32, slots: int = 1024) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: Sequence[str], states: dict[str, tuple[str, Column]], fan_in: int = 32, slots: int | None = None) -> DataFrame:
     """One row per distinct ``keys`` with the merged states.
 
     states: output name -> (``sum`` | ``min`` | ``max``, expression over a row). A null key is a
     group of its own; null values are ignored as by SQL aggregates (a sum over no value is
     null). Repeated rows count each time, so rows that must count once are made distinct
-    before. An empty table gives no rows. Columns beside keys and expressions are not read.
+    before. An empty table gives no rows. Columns beside keys and expressions are not read. slots: about how many
+    splits the input has; by default what the session makes of a shuffle, at least 1,024.
     """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
+    slots = slots or max(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     level = df.select(*keys, F.pmod(F.spark_partition_id(), F.lit(slots)).alias(_SLOT), *[value.alias(name) for name, (_, value) in states.items()])
     merged = [_MERGE[kind](F.col(name)).alias(name) for name, (kind, _) in states.items()]
     level = level.groupBy(*keys, _SLOT).agg(*merged)
@@ -68,6 +70,7 @@ def name_results(pairs: DataFrame, mentions: DataFrame, docs: DataFrame) -> Data
     of_mentions = tree_aggregate(mention_rows, ["conll_doc_id", "name"], {"mentions": ("sum", F.lit(1).cast("long")), "pairs_length": ("sum", F.col("length"))})
     zero = F.lit(0).cast("long")
     both = by_doc.withColumn("mentions", zero).withColumn("pairs_length", zero).unionByName(of_mentions.withColumn("pairs", zero).withColumn("matches", zero))
+    both = stash(both, "states")  # small, and read twice
     named = fill_from(both, "name", "conll_doc_id", docs.select("conll_doc_id", "name"))
     return tree_aggregate(named, ["name"], {c: ("sum", F.col(c)) for c in ("pairs", "matches", "mentions", "pairs_length")})
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corefold.functions.features import clipped_sigmoid
+from corefold.operators.pairs import with_sides
 from corefold.operators.scoring import Layers
+from corefold.runtime import discard, stash
 
 # Default costs of a false new entity, a false link and a wrong link.
 COSTS = {"FN": 0.8, "FL": 0.4, "WL": 1.0}
@@ -18,11 +22,9 @@ COSTS = {"FN": 0.8, "FL": 0.4, "WL": 1.0}
 
 def pair_labels(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
     """Add label: 1 if both mentions have the same gold label, which must not be null; else 0."""
-    gold = mentions.select("doc_id", "m_idx", "gold_label")
-    later = gold.withColumnRenamed("m_idx", "men_idx").withColumnRenamed("gold_label", "__m")
-    earlier = gold.withColumnRenamed("m_idx", "ant_idx").withColumnRenamed("gold_label", "__a")
-    joined = pairs.join(later, ["doc_id", "men_idx"]).join(earlier, ["doc_id", "ant_idx"])
-    return joined.withColumn("label", F.coalesce((F.col("__a") == F.col("__m")).cast("int"), F.lit(0))).drop("__a", "__m")
+    joined = with_sides(pairs, mentions.select("doc_id", "m_idx", "gold_label"), ("__a", "__m"))
+    same = (F.col("__a.gold_label") == F.col("__m.gold_label")).cast("int")
+    return joined.withColumn("label", F.coalesce(same, F.lit(0))).drop("__a", "__m")
 
 
 def mention_labels(mentions: DataFrame) -> DataFrame:
@@ -58,6 +60,8 @@ def length_batches(mentions: DataFrame, batch_size: int = 600, id_col: str = "me
     """
     rows = mentions.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("length"))
     histogram = sorted((r["length"], r["count"]) for r in rows.groupBy("length").count().collect())
+    if histogram and histogram[-1][0] >= 1 << 23:
+        raise ValueError("a length is too large to be coded with its rank")
     plan = _batch_plan(histogram, batch_size)
     code = np.array([(n << 40) + first for n, first, *_ in plan], np.int64)
     base, each = (np.array([p[i] for p in plan], np.int64) for i in (2, 3))
@@ -77,7 +81,7 @@ def _batch_plan(histogram: list[tuple[int, int]], batch_size: int) -> list[tuple
     for length, count in histogram:
         first = 0
         while first < count:
-            if size > batch_size or (size == held and length):
+            if size > batch_size or (held and size == held and length):
                 batch, held, size = batch + 1, 0, 0
             room = max(0, batch_size - size) // (length + 1) + 1
             take = min(room, count - first)
@@ -150,37 +154,73 @@ def array_invariants(counts: DataFrame) -> DataFrame:
     return counts.where(F.col("p") != F.col("n") * (F.col("n") - 1) / 2)
 
 
-def train(rows: DataFrame, layers: Layers, epochs: int = 20, rate: float = 0.01, decay: float = 0.9, patience: int = 3, factor: float = 0.5) -> tuple[Layers, list[float]]:
-    """Fit a network to (features, label, weight) by full-batch RMSprop on the logistic loss; returns the layers and the loss per epoch.
+def batch_order(batches: DataFrame, seed: int) -> DataFrame:
+    """(batch): the different batches of a table, sorted in a seeded random order."""
+    return batches.select("batch").distinct().orderBy(F.xxhash64(F.lit(seed), "batch"), "batch")
 
-    Every task sums the gradients of its rows; only one gradient per partition, whose size is that of the model,
-    reaches the driver. The rate is cut by ``factor`` after ``patience`` epochs without progress.
+
+def write_batch_sizes(batches: DataFrame, path: str) -> None:
+    """Dump the batches of ``length_batches`` as text: longest length and number of mentions, by tab, in the order of batches."""
+    sizes = batches.groupBy("batch").agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("n"))
+    lines = sizes.orderBy("batch").select(F.concat_ws("\t", F.col("length").cast("string"), F.col("n").cast("string")).alias("value"))
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(mention_id, features, labels, costs): the trainer's input, one row per mention, from candidates (mention_id, place, features, label, cost)."""
+    one = F.struct("place", "features", F.col("label").cast("int").alias("label"), F.col("cost").cast("double").alias("cost"))
+    lists = rows.groupBy("mention_id").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    return lists.select("mention_id", *[F.col(f"x.{c}").alias(name) for c, name in (("features", "features"), ("label", "labels"), ("cost", "costs"))])
+
+
+@dataclass
+class Trained:
+    """layers: after the last epoch; best: those with the highest score, without an evaluation with the lowest loss. scalars: (stage, epoch, loss, rate, score)."""
+
+    layers: Layers
+    best: Layers
+    scalars: list[tuple] = field(default_factory=list)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.scalars, "stage string, epoch int, loss double, rate double, score double")
+
+
+#: The stages in their order.
+STAGES = ("all_pairs", "top_pairs", "ranking")
+
+
+def train(
+    rows: DataFrame,
+    layers: Layers,
+    stage: str = "all_pairs",
+    epochs: int = 20,
+    rate: float = 0.01,
+    decay: float = 0.9,
+    patience: int = 3,
+    factor: float = 0.5,
+    evaluate: Callable[[Layers], float] | None = None,
+    every: int = 1,
+    fan_in: int = 32,
+) -> Trained:
+    """Fit a network to ``candidates`` by full-batch RMSprop on the loss of a stage.
+
+    all_pairs: the logistic loss of each candidate; top_pairs: that of the best true and the worst false one of each mention; ranking:
+    each mention's largest cost * (1 + score - best true score). Every task sums the gradients of its mentions; sums are merged in
+    rounds of ``fan_in``, so that at most as many, each of the model's size, reach the driver. The rate is cut by ``factor``
+    after ``patience`` epochs without a lower loss. evaluate scores the network every ``every`` epochs.
     """
-    spark, best, waits, losses = rows.sparkSession, np.inf, 0, []
-    layers = [(w.copy(), b.copy()) for w, b in layers]
+    if stage not in STAGES:
+        raise ValueError(stage)
+    spark = rows.sparkSession
+    layers = [(w.astype(float).copy(), b.astype(float).copy()) for w, b in layers]
     square = [(np.zeros_like(w), np.zeros_like(b)) for w, b in layers]
-    data = rows.select("features", "label", "weight").persist()
-    for _ in range(epochs):
-        model = spark.sparkContext.broadcast(layers)
-
-        def gradients(frames: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            total, loss, n = None, 0.0, 0
-            for frame in frames:
-                if len(frame):
-                    x = np.stack(frame["features"].to_numpy()).astype(float)
-                    part, value = _backward(model.value, x, frame["label"].to_numpy(float), frame["weight"].to_numpy(float))
-                    total = part if total is None else total + part
-                    loss, n = loss + value, n + len(frame)
-            if total is not None:
-                yield pd.DataFrame({"g": [total.tolist()], "loss": [loss], "n": [n]})
-
-        parts = data.mapInPandas(gradients, "g array<double>, loss double, n long").collect()
-        model.unpersist()
-        n = sum(p["n"] for p in parts)
-        if not n:
+    data = stash(rows.select("features", "labels", "costs"), "candidates")
+    out = Trained(layers, [(w.copy(), b.copy()) for w, b in layers])
+    lowest, highest, waits = np.inf, -np.inf, 0
+    for epoch in range(epochs):
+        flat, loss = _gradient(data, layers, stage, fan_in)
+        if flat is None:
             break
-        flat = sum(np.array(p["g"]) for p in parts) / n
-        losses.append(sum(p["loss"] for p in parts) / n)
         at = 0
         for (w, b), (sw, sb) in zip(layers, square):
             for value, mean in ((w, sw), (b, sb)):
@@ -189,27 +229,93 @@ def train(rows: DataFrame, layers: Layers, epochs: int = 20, rate: float = 0.01,
                 mean *= decay
                 mean += (1 - decay) * g * g
                 value -= rate * g / (np.sqrt(mean) + 1e-8)
-        if losses[-1] < best - 1e-6:
-            best, waits = losses[-1], 0
+        score = evaluate(layers) if evaluate and (epoch + 1) % every == 0 else None
+        out.scalars.append((stage, epoch, float(loss), float(rate), score))
+        if score is not None and score > highest or evaluate is None and loss < lowest:
+            highest = score if score is not None else highest
+            out.best = [(w.copy(), b.copy()) for w, b in layers]
+        if loss < lowest - 1e-6:
+            lowest, waits = loss, 0
         else:
             waits += 1
             if waits >= patience:
                 rate, waits = rate * factor, 0
-    data.unpersist()
-    return layers, losses
-
-
-def _backward(layers: Layers, x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    discard(spark, data)
+    return out
+
+
+def train_stages(rows: DataFrame, layers: Layers, epochs: dict[str, int], rates: dict[str, float] | None = None, **options) -> Trained:
+    """All pairs, then top pairs, then ranking, each from the best network of the one before. epochs and rates: by stage; a stage without epochs is left out."""
+    out = Trained(layers, layers)
+    for stage in STAGES:
+        if epochs.get(stage):
+            done = train(rows, out.best, stage, epochs[stage], (rates or {}).get(stage, 0.01), **options)
+            out = Trained(done.layers, done.best, out.scalars + done.scalars)
+    return out
+
+
+def _gradient(data: DataFrame, layers: Layers, stage: str, fan_in: int) -> tuple[np.ndarray | None, float]:
+    """The mean gradient over all mentions, flat, and the mean loss."""
+    model = data.sparkSession.sparkContext.broadcast(layers)  # bounded by the model
+
+    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, loss, n = 0.0, 0.0, 0
+        for frame in frames:
+            for features, labels, costs in zip(frame["features"], frame["labels"], frame["costs"]):
+                x = np.stack([np.asarray(v, float) for v in features])
+                part, value = _backward(model.value, x, stage, np.asarray(labels, float), np.asarray(costs, float))
+                total, loss, n = total + part, loss + value, n + 1
+        if n:
+            yield pd.DataFrame({"slot": [TaskContext.get().partitionId()], "g": [total], "loss": [loss], "n": [n]})
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slot": [group["slot"].iloc[0]], "g": [np.sum(np.stack(group["g"].to_numpy()), axis=0)], "loss": [group["loss"].sum()], "n": [group["n"].sum()]})
+
+    schema = "slot int, g array<double>, loss double, n long"
+    parts, slots = data.mapInPandas(own, schema), data.rdd.getNumPartitions()
+    while slots > fan_in:
+        slots = -(-slots // fan_in)
+        parts = parts.withColumn("slot", F.floor(F.col("slot") / fan_in).cast("int")).groupBy("slot").applyInPandas(merged, schema)
+    held = parts.collect()  # at most ``fan_in`` rows
+    model.unpersist()
+    n = sum(p["n"] for p in held)
+    return (sum(np.array(p["g"]) for p in held) / n, sum(p["loss"] for p in held) / n) if n else (None, 0.0)
+
+
+def _slopes(stage: str, s: np.ndarray, y: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, float]:
+    """The derivative of a mention's loss by its candidates' scores, and the loss."""
+    p = np.clip(1 / (1 + np.exp(-s)), 1e-7, 1 - 1e-7)
+    if stage == "all_pairs":
+        return p - y, float((np.maximum(s, 0) - s * y + np.log1p(np.exp(-np.abs(s)))).sum())
+    slope, loss = np.zeros_like(s), 0.0
+    true, false = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    best = true[np.argmax(s[true])] if len(true) else None
+    if stage == "top_pairs":
+        if best is not None:
+            slope[best] += p[best] - 1
+            loss -= float(np.log(p[best]))
+        if len(false):
+            worst = false[np.argmax(s[false])]
+            slope[worst] += p[worst]
+            loss -= float(np.log(1 - p[worst]))
+    elif best is not None:
+        margin = costs * (1 + s - s[best])
+        top = int(np.argmax(margin))
+        slope[top] += costs[top]
+        slope[best] -= costs[top]
+        loss = float(margin[top])
+    return slope, loss
+
+
+def _backward(layers: Layers, x: np.ndarray, stage: str, label: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, float]:
     inputs = []
     for w, b in layers:
         inputs.append(x)
         x = x @ w.T + b
         if w.shape[0] > 1:
             x = np.maximum(x, 0)
-    s = x[:, 0]
-    loss = float((weight * (np.maximum(s, 0) - s * label + np.log1p(np.exp(-np.abs(s))))).sum())
-    delta = (weight * (1 / (1 + np.exp(-s)) - label))[:, None]
-    out = []
+    slope, loss = _slopes(stage, x[:, 0], label, costs)
+    delta, out = slope[:, None], []
     for k in range(len(layers) - 1, -1, -1):
         w, _ = layers[k]
         out[:0] = [delta.T @ inputs[k], delta.sum(0)]

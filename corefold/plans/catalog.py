@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corefold.plans import core_queries, pair_queries, text_queries
+from corefold.plans import core_queries, corpus_queries, pair_queries, text_queries
 
-QUERIES = core_queries.QUERIES | text_queries.QUERIES | pair_queries.QUERIES
-SQL = core_queries.SQL | text_queries.SQL | pair_queries.SQL
+QUERIES = core_queries.QUERIES | text_queries.QUERIES | pair_queries.QUERIES | corpus_queries.QUERIES
+SQL = core_queries.SQL | text_queries.SQL | pair_queries.SQL | corpus_queries.SQL
 
 
 def flagship(spark, d):

@@ -7,12 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corefold.functions import features as feat
-from corefold.functions.lexical import utterance_text
+from corefold.functions.lexical import MISSING_WORD, UNKNOWN_WORD
 from corefold.operators import coref, dialogue, embed, metrics, pairs, scoring, training
 from corefold.plans.text_queries import _C, _F, _U, _W, GOLD, PLACES, docs, features, project_gold, project_places, project_tokens
 from corefold.runtime import stash, table
 from corefold.sources.vectors import global_rows
-from corefold.streaming.dialogue import batch_coref
 
 
 def mention_rows(spark, d):
@@ -84,9 +83,8 @@ def distance_bins(spark, d):
 
 def _with_mentions(spark, d):
     m = mention_rows(spark, d).select("doc_id", "m_idx", "mentions_features")
-    later = m.select("doc_id", F.col("m_idx").alias("men_idx"), F.col("mentions_features").alias("mf"))
-    earlier = m.select("doc_id", F.col("m_idx").alias("ant_idx"), F.col("mentions_features").alias("af"))
-    return pair_rows(spark, d).join(later, ["doc_id", "men_idx"]).join(earlier, ["doc_id", "ant_idx"])
+    both = pairs.with_sides(pair_rows(spark, d), m)
+    return both.select("f", F.col("a.mentions_features").alias("af"), F.col("m.mentions_features").alias("mf"))
 
 
 def decoded_pairs(spark, d):
@@ -225,51 +223,50 @@ def running_sentences(spark, d):
     return dialogue.running_sentences(t.withColumnRenamed("doc_id", "conv_id")).withColumnRenamed("conv_id", "doc_id")
 
 
-def dialogue_links(spark, d):
-    u = features(spark, d).select(F.col("doc_id").alias("conv_id"), F.posexplode("conll_tokens").alias("utt_idx", "u")).select("conv_id", "utt_idx", utterance_text(F.col("u")).alias("text"))
-    return batch_coref(u)
-
-
 def label_means(spark, d):
     e = table(spark, d, "embeddings")
     means = embed.mean_vectors(e, ["label"], "embedding", 64)
     return means.select("label", "n", F.posexplode("vec").alias("dim", "mean")).select("label", "n", "dim", F.round("mean", 5).alias("mean"))
 
 
-def _vocabulary(spark, d):
-    """An embeddings table over corpus words: the k-th word in binary order has the k-th vector; tuned for even labels, static for all."""
+def corpus_vocabulary(spark, d):
+    """An embeddings table over corpus words: a word's vector is that with the number of its digest, modulo the vectors' number; one word in five
+    has none. Tuned for even labels, static for all; the unknown and the missing word have the first two.
+    """
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), "label", F.col("embedding").alias("vec"))
+    n = e.count()
     words = project_tokens(spark, d).select(F.lower("word").alias("word")).where("word is not null").distinct()
-    first = words.orderBy("word").limit(table(spark, d, "embeddings").count())  # as many words as there are vectors
-    numbered = first.withColumn("k", F.row_number().over(Window.orderBy("word")) - 1)
-    e = table(spark, d, "embeddings").withColumn("k", F.row_number().over(Window.orderBy("vec_id")) - 1)
-    both = numbered.join(e, "k").select("word", "label", F.col("embedding").alias("vec"))
-    static = both.select(F.lit("static").alias("kind"), F.when(F.col("word") == both_first(both), "*UNK*").otherwise(F.col("word")).alias("word"), "vec")
+    number = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long")
+    numbered = words.withColumn("number", number).where("number % 5 <> 0").select("word", F.pmod("number", F.lit(n)).alias("k"))
+    reserved = spark.createDataFrame([(UNKNOWN_WORD, 0), (MISSING_WORD, 1)], "word string, k long")
+    both = stash(numbered.unionByName(reserved).join(e, "k").select("word", "label", "vec"), "words")
+    static = both.select(F.lit("static").alias("kind"), "word", "vec")
     return static.unionByName(both.where("label % 2 = 0").select(F.lit("tuned").alias("kind"), "word", "vec"))
 
 
-def both_first(both):
-    return both.agg(F.min("word").alias("w")).scalar()
-
-
 def word_vectors(spark, d):
     """Per corpus word the vector found - tuned, static, or that of the unknown word - by its first entry and sum."""
     words = project_tokens(spark, d).select(F.lower("word").alias("key")).where("key is not null").distinct()
-    v = embed.lookup(words, "key", _vocabulary(spark, d))
+    v = embed.lookup(words, "key", corpus_vocabulary(spark, d))
     return v.select("key", F.round(F.get("vec", F.lit(0)), 5).alias("first"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-def _layer(outputs, inputs):
+def fixed_layer(outputs, inputs):
     """A fixed, small weight matrix."""
     i, j = np.arange(outputs)[:, None], np.arange(inputs)[None, :]
     return ((i * 7 + j * 3) % 11 - 5) / 10.0, (np.arange(outputs) % 3 - 1) / 10.0
 
 
 def network_scores(spark, d):
-    layers = [_layer(8, 64), _layer(4, 8), _layer(1, 4)]
+    layers = [fixed_layer(8, 64), fixed_layer(4, 8), fixed_layer(1, 4)]
     s = scoring.score_vectors(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("features")), layers)
     return s.select("vec_id", F.round("score", 5).alias("score"))
 
 
+VECTORS = """nv AS (SELECT count(*) AS n FROM embeddings), vw AS (SELECT DISTINCT lower(word) AS word FROM w WHERE word IS NOT NULL),
+vn AS (SELECT word, ('0x' || substring(md5(word), 1, 8))::BIGINT AS number FROM vw),
+vk AS (SELECT word, number % n AS k FROM vn, nv WHERE number % 5 <> 0 UNION ALL SELECT '*UNK*', 0 UNION ALL SELECT '<missing>', 1),
+voc AS (SELECT word, CASE WHEN label % 2 = 0 THEN embedding END AS tuned, embedding AS static FROM vk JOIN embeddings ON vec_id = k)"""
 _MEN = """men AS (SELECT DISTINCT mention_id, conll_doc_id AS doc_id, mentions_features AS mf, mentions_features[3] AS m_idx, mentions_pairs_length FROM mentions),
 base AS (SELECT doc_id, min(mention_id - m_idx) AS base FROM men GROUP BY 1),
 pr AS (SELECT DISTINCT pair_row, conll_doc_id AS doc_id, mention_id, (mention_id - base)::INT AS men_idx, (pairs_ant_index - base)::INT AS ant_idx, pairs_features AS f, pairs_labels AS label
@@ -310,15 +307,22 @@ cand AS (SELECT mention_id, score, label, CASE WHEN has = 1 THEN 1.0 * (1 - labe
 lp AS (SELECT *, greatest(least(1 / (1 + exp(-score)), 1 - 1e-7), 1e-7) AS p FROM cand),
 tp AS (SELECT mention_id, max(CASE WHEN label = 1 THEN ln(p) END) AS t, min(CASE WHEN label = 0 THEN ln(1 - p) END) AS f, max(CASE WHEN label = 1 THEN score END) AS best FROM lp GROUP BY 1),
 rk AS (SELECT mention_id, max(cost * (1 + score - best)) AS m FROM cand JOIN tp USING (mention_id) WHERE best IS NOT NULL GROUP BY 1)"""
-_LW = lambda n, k: "[" + ", ".join("[" + ", ".join(str(x) for x in row) + "]" for row in _layer(n, k)[0].tolist()) + "]"
-_LB = lambda n: str(_layer(n, 1)[1].tolist())
+# Rows in order of length; a batch closes behind the row with which the sum of length + 1 exceeds its size, and before the first row with pairs.
+_BATCHES = """o AS (SELECT id, length::BIGINT AS length, row_number() OVER (ORDER BY length, id) AS i, sum(length + 1) OVER (ORDER BY length, id) AS s FROM ({rows})),
+last AS (SELECT max(i) AS i, coalesce(max(i) FILTER (length = 0), 0) AS z FROM o),
+b(batch, first, stop) AS (SELECT -1::BIGINT, 0::BIGINT, 0::BIGINT UNION ALL
+  SELECT batch + 1, stop + 1, least(CASE WHEN stop < z THEN z ELSE last.i END,
+    coalesce((SELECT min(o.i) FROM o WHERE o.i > stop AND o.s - coalesce((SELECT p.s FROM o AS p WHERE p.i = stop), 0) > 20000), last.i)) FROM b, last WHERE stop < last.i),
+inb AS (SELECT batch, o.* FROM o JOIN b ON o.i BETWEEN first AND stop)"""
+_LW = lambda n, k: "[" + ", ".join("[" + ", ".join(str(x) for x in row) + "]" for row in fixed_layer(n, k)[0].tolist()) + "]"
+_LB = lambda n: str(fixed_layer(n, 1)[1].tolist())
 _APPLY = lambda x, n, k: f"list_transform(range(1, {n + 1}), lambda i: greatest(0, list_dot_product({_LW(n, k)}[i], {x}) + {_LB(n)}[i]))"
 
 QUERIES = {
     f.__name__: f
     for f in (
         pair_offsets, unbounded_pairs, distance_bins, decoded_pairs, pair_labels, mention_labels, best_links, clusters, representatives, chains, resolved_texts, token_annotations, span_annotations, score_maps,
-        ranking_targets, length_batches, padded_batches, losses, flat_rows, coref_scores, blanc_scores, ceaf_scores, speaker_pairs, running_sentences, dialogue_links, label_means, word_vectors, network_scores,
+        ranking_targets, length_batches, padded_batches, losses, flat_rows, coref_scores, blanc_scores, ceaf_scores, speaker_pairs, running_sentences, label_means, word_vectors, network_scores,
     )
 }
 SQL = {
@@ -351,6 +355,11 @@ SQL = {
     "score_maps": f"""WITH {_SCORED}, r AS (SELECT doc_id, men_idx AS m_idx, score FROM sc UNION ALL SELECT doc_id, m_idx, 0.0 FROM men) SELECT doc_id, m_idx, count(*)::INT AS n, sum(score) AS total FROM r GROUP BY 1, 2""",
     "ranking_targets": f"""WITH {_TARGETS} SELECT mention_id, array_to_string(labels, ',') AS labels, round(CASE WHEN new = 0 THEN list_sum(list_transform(y, lambda z: 1.0 * (1 - z))) + 0.8 ELSE 0.4 * len(y) END, 6)::DOUBLE AS cost,
       {_PAD('tr')} AS true_ants, CASE WHEN len(fa) > 0 THEN {_PAD('fa')} END AS false_ants FROM pos""",
+    "length_batches": f"""WITH RECURSIVE {_MEN}, {_BATCHES.format(rows="SELECT mention_id AS id, coalesce(mentions_pairs_length, 0) AS length FROM men")}
+      SELECT batch::BIGINT AS batch, count(*) AS mentions, sum(length)::BIGINT AS pairs, min(length)::BIGINT AS shortest, max(length)::BIGINT AS longest FROM inb GROUP BY 1""",
+    "padded_batches": f"""WITH RECURSIVE {_TARGETS}, {_BATCHES.format(rows="SELECT mention_id AS id, len(labels) - 1 AS length FROM t")}
+      SELECT batch::BIGINT AS batch, count(*) AS mentions, (max(length) + 1)::INT AS width, (max(length) + 1)::INT AS least, sum(longest - length)::BIGINT AS padding
+      FROM (SELECT *, max(length) OVER (PARTITION BY batch) AS longest FROM inb) GROUP BY 1""",
     "losses": f"""WITH {_LOSS} SELECT 'all_pairs' AS name, round(sum(greatest(score, 0) - score * label + ln(1 + exp(-abs(score)))) / 1000, 4)::DOUBLE AS loss FROM cand
       UNION ALL SELECT 'top_pairs', round(sum(-coalesce(t, 0) - coalesce(f, 0)) / 1000, 4) FROM tp UNION ALL SELECT 'ranking', round(sum(m) / 1000, 4) FROM rk""",
     "flat_rows": f"""WITH {_MEN}, n AS (SELECT doc_id, men_idx AS m_idx, count(*) AS n FROM pr GROUP BY 1, 2)
@@ -371,8 +380,8 @@ SQL = {
     "running_sentences": f"""WITH {_W}, n AS (SELECT doc_id, utt_idx, sum((word IN ('.', '?', '!', '/.', '/?'))::INT)::BIGINT AS n_sents FROM w GROUP BY 1, 2)
       SELECT doc_id, utt_idx, n_sents, coalesce(sum(n_sents) OVER (PARTITION BY doc_id ORDER BY utt_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_sentence FROM n""",
     "label_means": """WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, count(*) AS n, dim::INT AS dim, round(avg(x::DOUBLE), 5) AS mean FROM e GROUP BY label, dim""",
-    "word_vectors": f"""WITH {_W}, k AS (SELECT DISTINCT lower(word) AS key FROM w WHERE word IS NOT NULL), kn AS (SELECT key, row_number() OVER (ORDER BY key) AS k FROM k), en AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings),
-      un AS (SELECT embedding AS unk FROM en WHERE k = 1), v AS (SELECT key, coalesce(CASE WHEN k = 1 AND label % 2 <> 0 THEN NULL ELSE embedding END, unk) AS v FROM kn LEFT JOIN en USING (k), un)
+    "word_vectors": f"""WITH {_W}, k AS (SELECT DISTINCT lower(word) AS key FROM w WHERE word IS NOT NULL), {VECTORS},
+      v AS (SELECT key, coalesce(tuned, static, (SELECT coalesce(tuned, static) FROM voc WHERE word = '*UNK*')) AS v FROM k LEFT JOIN voc ON word = key)
       SELECT key, round(v[1]::DOUBLE, 5) AS first, round(list_sum(list_transform(v, lambda x: x::DOUBLE)), 4) AS total FROM v""",
     "network_scores": f"""WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), b AS (SELECT vec_id, {_APPLY('x', 8, 64)} AS x FROM a), c AS (SELECT vec_id, {_APPLY('x', 4, 8)} AS x FROM b)
       SELECT vec_id, round(list_dot_product({_LW(1, 4)}[1], x) + {_LB(1)}[1], 5) AS score FROM c""",

@@ -1,21 +1,23 @@
-"""The whole dataflow from texts to clusters, and the preparation of a corpus, as chains of operators."""
+"""The whole dataflow from texts to clusters as a chain of operators. ``corpus`` has the preparation of training data."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corefold.functions import features as feat
-from corefold.operators import annotate, coref, embed, mentions, pairs, scoring
+from corefold.operators import annotate, coref, dialogue, embed, mentions, pairs, scoring
 from corefold.runtime import stash
 
 
 @dataclass(frozen=True)
 class Parameters:
     """Defaults of the pipeline. blacklist: leave out first and second person words. conversions: (word, replacements) for rare words.
-    utterances: (doc_id, utt_idx) of all utterances, for document embeddings in the training profile; tokens then have utt_idx.
+    utterances: (doc_id, utt_idx, speaker_id) of all utterances, for document embeddings and speaker features in the training profile; tokens
+    then have utt_idx. genres: (doc_id, genre), for seven genre features instead of one zero. since: a condition on mentions; those
+    that do not meet it are context, antecedents only.
     """
 
     greedyness: float = 0.5
@@ -27,6 +29,8 @@ class Parameters:
     conversions: DataFrame | None = None
     compat_unsigned: bool = False
     utterances: DataFrame | None = None
+    genres: DataFrame | None = None
+    since: Column | None = None
 
 
 @dataclass
@@ -48,10 +52,10 @@ class Result:
         return coref.score_map(self.pair_scores, self.single_scores)
 
     def token_annotations(self) -> DataFrame:
-        return coref.annotate_tokens(self.tokens, self.clusters, self.mentions)
+        return coref.annotate_tokens(self.tokens, self.clusters, self.mentions, self.scores())
 
     def span_annotations(self) -> DataFrame:
-        return coref.annotate_spans(self.mentions, self.clusters)
+        return coref.annotate_spans(self.mentions, self.clusters, self.scores())
 
     def document_annotations(self) -> DataFrame:
         return coref.annotate_docs(self.docs, self.clusters, self.resolved())
@@ -71,26 +75,34 @@ def run(docs: DataFrame, model: dict[str, scoring.Layers] | None = None, embeddi
     """
     p = parameters
     tokens = stash(annotate.annotate(docs) if tokens is None else tokens, "tokens")
-    found = stash(mentions.describe_mentions(mentions.extract_spans(tokens, p.profile, p.blacklist), tokens), "mentions")
-    both = pairs.with_sides(pairs.candidate_pairs(found, p.max_dist, p.max_dist_match, p.compat_unsigned), found)
-    yes, no = F.lit(True), F.lit(False)
+    found = mentions.describe_mentions(mentions.extract_spans(tokens, p.profile, p.blacklist), tokens)
+    spoken = p.profile == "training" and p.utterances is not None and "speaker_id" in p.utterances.columns
+    if spoken:
+        found = dialogue.with_speakers(found, tokens, p.utterances)
+    if p.genres is not None:
+        found = found.join(p.genres.select("doc_id", "genre"), "doc_id", "left")
+    found = stash(found, "mentions")
+    candidates = pairs.candidate_pairs(found, p.max_dist, p.max_dist_match, p.compat_unsigned)
+    if p.since is not None:
+        candidates = pairs.pairs_of_new(candidates, found, p.since)
+    both = pairs.with_sides(candidates, found.drop("text", "start_char", "end_char"))
+    a, m = F.col("a"), F.col("m")
+    flags = feat.speaker_flags(a, m) if spoken else (F.lit(True), F.lit(False), F.lit(False))
+    f = both.select("doc_id", "men_idx", "ant_idx", "a", "m", feat.compressed_pair(a, m, *flags, p.profile).alias("f"))
     if model is None:
-        f = both.select("doc_id", "men_idx", "ant_idx", feat.compressed_pair(F.col("a"), F.col("m"), yes, no, no, p.profile).alias("f"))
         scored = scoring.rule_scores(f).select("doc_id", "men_idx", "ant_idx", "score")
         single = found.select("doc_id", "m_idx", F.lit(0.0).alias("score"))
     else:
         conversions = None if p.conversions is None else embed.conversion_vectors(p.conversions, embeddings, p.width)
-        vectors = stash(embed.mention_embeddings(found, tokens, embeddings, p.width, p.profile, conversions, p.utterances), "vectors")
-        alone = lambda m: F.slice(feat.single_features(m, m["n_mentions"]), 1, 17)
-        f = feat.compressed_pair(F.col("a"), F.col("m"), yes, no, no, p.profile)
-        flags = F.transform(F.slice(f, 1, 6), lambda x: x.cast("float"))
-        distances = F.concat(feat.encoded_distance(F.get(f, F.lit(6))), feat.encoded_distance(F.get(f, F.lit(7))))
-        dense = F.concat(flags, distances, F.array(F.get(f, F.lit(8)).cast("float")), alone(F.col("a")), alone(F.col("m")), F.array(F.lit(0.0).cast("float")))
-        scored = scoring.score_pairs(both.select("doc_id", F.col("men_idx").cast("int").alias("men_idx"), F.col("ant_idx").cast("int").alias("ant_idx"), dense.alias("features")), vectors, model["pair"])
+        vectors = embed.mention_embeddings(found, tokens, embeddings, p.width, p.profile, conversions, p.utterances)
+        vectors = stash(vectors, "vectors")
+        genre = None if p.genres is None else F.col("m.genre")
+        dense = feat.pair_features(a, m, F.col("f"), genre)
+        scored = scoring.score_pairs(f.select("doc_id", "men_idx", "ant_idx", dense.alias("features")), vectors, model["pair"])
         me = F.struct(*[c for c in found.columns if c != "doc_id"])
         inputs = found.select("doc_id", "m_idx", me.alias("m")).join(vectors, ["doc_id", "m_idx"])
-        inputs = inputs.select("doc_id", "m_idx", F.concat("embedding", feat.single_features(F.col("m"), F.col("m")["n_mentions"])).alias("features"))
-        single = scoring.score_vectors(inputs, model["single"])
+        own = feat.single_features(m, m["n_mentions"], genre)
+        single = scoring.score_vectors(inputs.select("doc_id", "m_idx", F.concat("embedding", own).alias("features")), model["single"])
     scored, single = stash(scored, "pair-scores"), stash(single, "single-scores")
     roots = coref.forest_roots(coref.best_links(scored, single, p.greedyness))
     return Result(tokens, found, scored, single, stash(coref.clusters(roots, found), "clusters"), docs)

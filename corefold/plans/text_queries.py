@@ -210,14 +210,21 @@ def _spans_sql(profile: str) -> str:
       UNION SELECT doc_id, "start", "end" FROM ent)"""
 
 
-_MENTIONS = _spans_sql("inference") + """,
-    sp AS (SELECT s.doc_id, s."start", s."end", min(CASE WHEN head < s."start" OR head >= s."end" OR head = tok_idx THEN tok_idx END) AS root, min(sent_idx) AS sent_idx,
+_DESCRIBED = """,
+    sp AS (SELECT s.doc_id, s."start", s."end", min(start_char) AS start_char, min(CASE WHEN head < s."start" OR head >= s."end" OR head = tok_idx THEN tok_idx END) AS root, min(sent_idx) AS sent_idx,
       bool_or(tag IN ('CC', ',') AND ent_type IS NULL) AS is_list, lower(rtrim(string_agg(text || ws, '' ORDER BY tok_idx), ' ' || chr(10) || chr(13) || chr(9))) AS span_lower,
       list(lower ORDER BY tok_idx) FILTER (tag IN ('NN', 'NNS', 'NNP', 'NNPS')) AS words
       FROM spans AS s JOIN tok AS t ON t.doc_id = s.doc_id AND t.tok_idx >= s."start" AND t.tok_idx < s."end" GROUP BY 1, 2, 3),
-    men AS (SELECT sp.*, row_number() OVER (PARTITION BY sp.doc_id ORDER BY root, "start", "end") - 1 AS m_idx,
+    men AS (SELECT sp.*, r.tag AS root_tag, r.lower AS root_lower, row_number() OVER (PARTITION BY sp.doc_id ORDER BY root, "start", "end") - 1 AS m_idx,
       CASE WHEN is_list THEN 3 WHEN r.tag IN ('PRP', 'PRP$') THEN 0 WHEN r.ent_type IS NOT NULL OR r.tag IN ('NNP', 'NNPS') THEN 2 ELSE 1 END AS mention_type
       FROM sp JOIN tok AS r ON r.doc_id = sp.doc_id AND r.tok_idx = sp.root)"""
+_MENTIONS = _spans_sql("inference") + _DESCRIBED
+
+
+def mentions_sql(profile: str) -> str:
+    """CTEs up to ``men``, the mentions of a table ``documents`` (doc_id, text), and ``ent``, the entities."""
+    return _spans_sql(profile) + _DESCRIBED
+
 
 QUERIES = {
     "clean_tokens": clean_tokens,

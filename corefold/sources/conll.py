@@ -7,6 +7,8 @@ expressions and windows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,15 +129,23 @@ def align_tokens(pairs: DataFrame) -> DataFrame:
     """Add lookup: for each corpus token the numbers of the finer parser tokens that spell it.
 
     pairs has arrays ``conll`` and ``parsed`` that spell the same text. Both token sequences become offsets of their running
-    lengths; a parser token belongs to the corpus token whose range holds its start. Texts that differ raise an error.
+    lengths; a parser token belongs to the corpus token whose range holds its start, found by binary search. Texts that differ raise an error.
     """
-    ends = lambda c: F.aggregate(F.transform(c, F.length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    p = pairs.withColumn("c_at", ends(F.col("conll"))).withColumn("p_at", ends(F.col("parsed")))
+
+    def numbers(conll: pd.Series, parsed: pd.Series) -> pd.Series:
+        out = []
+        for words, parts in zip(conll, parsed):
+            if words is None or parts is None:
+                out.append(None)
+                continue
+            ends, begins = (np.cumsum([0, *map(len, x)]) for x in (words, parts))
+            at = np.searchsorted(begins[:-1], ends)
+            out.append([list(range(a, b)) for a, b in zip(at, at[1:])])
+        return pd.Series(out)
+
     same = F.array_join("conll", "") == F.array_join("parsed", "")
-    numbers = F.when(F.size("parsed") > 0, F.sequence(F.lit(0), F.size("parsed") - 1)).otherwise(F.array().cast("array<int>"))
-    inside = lambda i: F.filter(numbers, lambda k: (F.get("p_at", k) >= F.get("c_at", i)) & (F.get("p_at", k) < F.get("c_at", i + 1)))
-    lookup = F.when(F.size("conll") > 0, F.transform(F.sequence(F.lit(0), F.size("conll") - 1), inside)).otherwise(F.array().cast("array<array<int>>"))
-    return p.withColumn("lookup", F.when(same, lookup).otherwise(F.raise_error(F.lit("corpus and parser tokens differ")).cast("array<array<int>>"))).drop("c_at", "p_at")
+    lookup = F.pandas_udf(numbers, "array<array<int>>")("conll", "parsed")
+    return pairs.withColumn("lookup", F.when(same, lookup).otherwise(F.raise_error(F.lit("corpus and parser tokens differ")).cast("array<array<int>>")))
 
 
 def coref_column(tokens: DataFrame, spans: DataFrame) -> DataFrame:
@@ -150,6 +160,17 @@ def coref_column(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return tokens.drop("coref").join(joined, ["doc", "utt_idx", "tok_idx"], "left").withColumn("coref", F.coalesce("coref", F.lit("-")))
 
 
+def response_spans(mentions: DataFrame, clusters: DataFrame, remove_singleton: bool = False, print_all_mentions: bool = False) -> DataFrame:
+    """Mentions (doc_id, m_idx, ...) with the number ``cluster`` under which they are written, null for those left out.
+
+    clusters: (doc_id, root, m_idx) of entities with two mentions or more, numbered by their roots. print_all_mentions: mentions outside them
+    are written as entities of their own, unless remove_singleton.
+    """
+    found = mentions.join(clusters.select("doc_id", "m_idx", F.col("root").alias("__entity")), ["doc_id", "m_idx"], "left")
+    alone = F.col("m_idx") if print_all_mentions and not remove_singleton else F.lit(None).cast("int")
+    return found.withColumn("cluster", F.coalesce("__entity", alone)).drop("__entity")
+
+
 def document_texts(tokens: DataFrame, line: Column | None = None) -> DataFrame:
     """(doc, value): documents written out, one line per token, a blank line after each utterance."""
     row = F.concat_ws(" ", "name", "part", F.col("tok_idx").cast("string"), "word", "coref") if line is None else line

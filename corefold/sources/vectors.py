@@ -1,10 +1,13 @@
-"""Word vectors, model weights and feature arrays: from and to files, as tables."""
+"""Word vectors, model weights and feature arrays: from and to files, as tables.
+
+Files are read and written through Spark's file systems, so they may lie wherever the executors can read.
+"""
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,20 +15,87 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corefold.functions.lexical import UNKNOWN_WORD
+from corefold.operators.embed import check_width
 from corefold.runtime import stash
 
+_CHUNK = 4096
+
 
-def read_embeddings(spark: SparkSession, stem: str, kind: str) -> DataFrame:
-    """(kind, word, vec) from ``<stem>_vocabulary.txt`` and ``<stem>_embeddings.npy``: line i names row i of the memory-mapped matrix."""
-    words = Path(f"{stem}_vocabulary.txt").read_text(encoding="utf-8").splitlines()
-    rows = spark.createDataFrame(pd.DataFrame({"row": np.arange(len(words)), "word": [w.strip() for w in words]}))
+def read_array(spark: SparkSession, path: str) -> DataFrame:
+    """(row, values): the rows of an npy file, or of all files of a pattern, whose rows count from 0 in each. A file holds at most 2 GB."""
 
     def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = np.load(f"{stem}_embeddings.npy", mmap_mode="r")
         for frame in frames:
-            yield pd.DataFrame({"kind": kind, "word": frame["word"], "vec": [matrix[i].astype(np.float32).tolist() for i in frame["row"]]})
-
-    return rows.mapInPandas(load, "kind string, word string, vec array<float>")
+            for content in frame["content"]:
+                matrix = np.load(io.BytesIO(content))
+                matrix = matrix.reshape(len(matrix), -1)
+                for at in range(0, len(matrix), _CHUNK):
+                    part = matrix[at : at + _CHUNK].astype(np.float64)
+                    yield pd.DataFrame({"row": np.arange(at, at + len(part)), "values": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(load, "row long, values array<double>")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row, line): the lines of one text file, numbered from 0, without blanks at their ends."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n$", "").alias("value"))
+    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")).select("row", F.trim("line").alias("line"))
+
+
+def distinct_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(line): the different lines of text files, without blanks at their ends."""
+    return spark.read.text(path).select(F.rtrim("value").alias("line")).distinct()
+
+
+def read_embeddings(spark: SparkSession, stem: str, kind: str, width: int | None = None) -> DataFrame:
+    """(kind, word, vec) from ``<stem>_vocabulary.txt`` and ``<stem>_embeddings.npy``: line i names row i. With a width, vectors of another raise an error."""
+    words = read_lines(spark, f"{stem}_vocabulary.txt")
+    both = words.join(read_array(spark, f"{stem}_embeddings.npy"), "row")
+    out = both.select(F.lit(kind).alias("kind"), F.col("line").alias("word"), F.col("values").cast("array<float>").alias("vec"))
+    return out if width is None else check_width(out, width)
+
+
+def write_embeddings(table: DataFrame, stem: str) -> None:
+    """The inverse of ``read_embeddings``, in the order of the words; the vocabulary of a model, so its rows pass the driver."""
+    rows = table.select("word", "vec").orderBy("word").collect()
+    _put(table.sparkSession, f"{stem}_vocabulary.txt", "".join(r["word"] + "\n" for r in rows).encode())
+    held = io.BytesIO()
+    np.save(held, np.array([r["vec"] for r in rows], np.float32))
+    _put(table.sparkSession, f"{stem}_embeddings.npy", held.getvalue())
+
+
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+# The training arrays of a corpus and their widths.
+ARRAYS = {
+    "mentions_features": 6, "mentions_labels": 1, "mentions_pairs_length": 1, "mentions_pairs_start_index": 1, "mentions_spans": 250, "mentions_words": 8,
+    "pairs_ant_index": 1, "pairs_features": 9, "pairs_labels": 1,
+}
+
+
+def read_arrays(spark: SparkSession, folder: str, labels: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(mentions, pairs) from the npy files of ``ARRAYS`` in a folder, one row per array row; an array of another width raises an error."""
+    sides = []
+    for side in ("mentions", "pairs"):
+        out = None
+        for name, width in ARRAYS.items():
+            if not name.startswith(side) or not labels and name.endswith("labels"):
+                continue
+            rows = read_array(spark, f"{folder}/{name}.npy")
+            wrong = F.raise_error(F.lit(f"{name} has another width")).cast("array<double>")
+            rows = rows.withColumn("values", F.when(F.size("values") == width, F.col("values")).otherwise(wrong))
+            value = F.col("values")[0].cast("long") if width == 1 else F.col("values").cast("array<float>" if name.endswith("spans") else "array<int>")
+            rows = rows.select("row", value.alias(name))
+            out = rows if out is None else out.join(rows, "row")
+        sides.append(out)
+    return sides[0], sides[1]
 
 
 def tuned_from_static(static: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -36,12 +106,14 @@ def tuned_from_static(static: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return out.select(F.lit("tuned").alias("kind"), "word", F.coalesce("vec", "unk").alias("vec"))
 
 
-def read_weights(folder: str) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
-    """Both networks' layers (weights, bias) from npy files whose sorted names give the order."""
+def read_weights(spark: SparkSession, folder: str) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    """Both networks' layers (weights, bias) from npy files whose sorted names give the order; bounded by the model."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path", "content").collect()
+    held = {r["path"].rsplit("/", 1)[-1]: np.load(io.BytesIO(r["content"])) for r in files}
     out = {}
     for model, name in (("single", "single_mention"), ("pair", "pair_mentions")):
-        weights, biases = (sorted(Path(folder).glob(f"{name}_{x}*.npy")) for x in ("weights", "bias"))
-        out[model] = [(np.load(w), np.load(b).reshape(-1)) for w, b in zip(weights, biases)]
+        weights, biases = ([held[f] for f in sorted(held) if f.startswith(f"{name}_{x}")] for x in ("weights", "bias"))
+        out[model] = [(w, b.reshape(-1)) for w, b in zip(weights, biases)]
     return out
 
 

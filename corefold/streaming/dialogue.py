@@ -1,110 +1,152 @@
-"""Continuous coreference over a stream of utterances.
+"""Coreference in conversations: continuous, one-shot with context, and as a stream.
 
-State per conversation: the raw attributes of all mentions so far and the links made. A micro-batch's utterances are
-put in order, their mentions appended, and only these linked - to earlier mentions in an index band, or in a longer
-band where they share a word - so links once given out do not change. Indices and distances are taken from the state
-at each trigger. State grows with a conversation and ends after ``idle`` milliseconds without utterances, if given.
+Utterances (conv_id, utt_idx, text, speaker_id) that arrive together are annotated, their mentions extracted, paired and scored by
+the operators of the library; only mentions of new utterances are linked, to any earlier mention of the conversation
+that the candidate rules admit, so links once given out do not change. What is kept of a conversation is a table of
+its mentions in typed columns; indices, sentences and tokens of new utterances count on from there.
+
+A stream runs this once per micro-batch. Its state is a table in a folder that all executors share, one partition per
+batch, so that a batch that is repeated after a failure writes the same partition again; only conversations of
+the batch are read back. The result equals that of all utterances in one batch.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from corefold.operators.annotate import WORD_CLASSES
-
-OUTPUT = "conv_id long, utt_idx int, m_idx int, mention string, best_ant int, root int"
-_STATE = "state string"
-_WORD = re.compile(r"[^\W_]+")
-_PRONOUNS = {*WORD_CLASSES["PRP"], *WORD_CLASSES["PRP$"]}
-_CLOSED = {w for words in WORD_CLASSES.values() for w in words}
-
-
-def surface_mentions(text: str) -> list[str]:
-    """Pronouns and maximal runs of capitalised words: the mentions of an utterance that can be had without a parser."""
-    out, run = [], []
-    for match in _WORD.finditer(text or ""):
-        word = match.group()
-        if word[0].isupper() and word.lower() not in _CLOSED:
-            run.append(word)
-            continue
-        if run:
-            out.append(" ".join(run))
-            run = []
-        if word.lower() in _PRONOUNS:
-            out.append(word)
-    return out + ([" ".join(run)] if run else [])
-
-
-def link(mentions: list[str], first_new: int, links: list[int], max_dist: int | None = 50, max_dist_match: int | None = 500) -> list[int]:
-    """Extend ``links`` by the best antecedent of each new mention: the nearest equal name, else one with its last word, else for pronouns the nearest name; itself without one.
-
-    Candidates are those of ``pairs.candidate_pairs``: all mentions at most ``max_dist`` back, and those that share a word (pronouns have none)
-    at most ``max_dist_match`` back; None sets no bound. A shared word other than the last one alone makes no link, so the nearest mention
-    of each name and of each last word is all that has to be looked up.
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from corefold.functions import features as feat
+from corefold.operators import annotate, coref, dialogue, mentions, pairs, scoring
+from corefold.plans.pipeline import Parameters
+from corefold.runtime import stash
+
+_COUNTS = "n_mentions int, n_sentences int, n_tokens int"
+_STATE = (
+    "doc_id {kind}, m_idx int, utt_idx int, sent_idx int, start int, end int, root int, mention_type int, root_lower string, root_tag string, "
+    "span_lower string, content_words array<string>, nested boolean, ent_label string, speaker_id string, speaker_tokens array<string>, entity int, " + _COUNTS
+)
+
+
+def _described(utterances: DataFrame, p: Parameters, parser) -> DataFrame:
+    """The mentions of utterances, counted from 0 in each conversation, with the conversation's counts (null mentions for those without any)."""
+    speaker = F.col("speaker_id").cast("string") if "speaker_id" in utterances.columns else F.lit(None).cast("string")
+    keys = [F.col("conv_id").alias("doc_id"), F.col("utt_idx").cast("int").alias("utt_idx")]
+    # a line break ends an utterance here, so one inside an utterance becomes a blank
+    text = F.translate(F.coalesce("text", F.lit("")), "\r\n", "  ")
+    utts = utterances.where("conv_id is not null and utt_idx is not null").groupBy(*keys).agg(F.min(text).alias("text"), F.min(speaker).alias("speaker_id"))
+    utts = stash(utts, "utterances")
+    tokens = stash(parser(dialogue.conversation_text(utts.withColumnRenamed("doc_id", "conv_id"))), "tokens")
+    found = mentions.describe_mentions(mentions.extract_spans(tokens, p.profile, p.blacklist), tokens)
+    found = dialogue.utterance_of(found, utts.select("doc_id", "utt_idx", (F.length("text") + 1).alias("n_chars")))
+    parts = F.coalesce(dialogue.name_tokens(F.col("speaker_id")), F.array().cast("array<string>"))
+    found = found.join(utts.select("doc_id", "utt_idx", "speaker_id", parts.alias("speaker_tokens")), ["doc_id", "utt_idx"], "left")
+    sums = [(F.max("sent_idx") + 1).alias("n_sentences"), (F.max("tok_idx") + 1).alias("n_tokens")]
+    counts = tokens.groupBy("doc_id").agg(*sums).join(found.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_mentions")), "doc_id", "left")
+    return stash(counts.join(found.drop("n_mentions"), "doc_id", "left").na.fill(0, ["n_mentions"]), "described")
+
+
+def resolve_new(new: DataFrame, state: DataFrame | None = None, parameters: Parameters = Parameters(), parser=annotate.annotate) -> tuple[DataFrame, DataFrame]:
+    """(links, additions): (conv_id, utt_idx, m_idx, mention, best_ant, root) of the mentions in new utterances, and the rows to add to the state.
+
+    best_ant is the mention itself where it starts an entity; root is the entity's first mention. Utterances without text
+    have no mentions, null conversations and numbers are dropped, repeated rows count once, a missing speaker is null.
+    """
+    p = parameters
+    added = _described(new, p, parser)
+    kind = added.schema["doc_id"].dataType.simpleString()
+    if state is None:
+        state = new.sparkSession.createDataFrame([], _STATE.format(kind=kind))
+    state = stash(state.join(added.select("doc_id").distinct(), "doc_id", "left_semi"), "earlier")
+    behind = state.groupBy("doc_id").agg(*[F.max(c).alias(f"p_{c}") for c in ("n_mentions", "n_sentences", "n_tokens")])
+    moved = added.join(behind, "doc_id", "left").na.fill(0, ["p_n_mentions", "p_n_sentences", "p_n_tokens"])
+    for column, by in {"m_idx": "mentions", "sent_idx": "sentences", "start": "tokens", "end": "tokens", "root": "tokens"}.items():
+        moved = moved.withColumn(column, (F.col(column) + F.col(f"p_n_{by}")).cast("int"))
+    for column in ("n_mentions", "n_sentences", "n_tokens"):
+        moved = moved.withColumn(column, (F.col(column) + F.col(f"p_{column}")).cast("int"))  # of the whole conversation so far
+    moved = stash(moved, "moved")
+    fresh = moved.where("m_idx is not null")
+    columns = [c.split()[0] for c in _STATE.split(", ")]
+    side = [c for c in columns if c not in ("entity", "n_mentions", "n_sentences", "n_tokens")]
+    every = stash(state.where("m_idx is not null").select(*side, F.lit(False).alias("new")).unionByName(fresh.select(*side, F.lit(True).alias("new"))), "all")
+
+    candidates = pairs.pairs_of_new(pairs.candidate_pairs(every, p.max_dist, p.max_dist_match, p.compat_unsigned), every, F.col("new"))
+    both = pairs.with_sides(candidates, every)
+    a, m = F.col("a"), F.col("m")
+    flags = feat.speaker_flags(a, m) if p.profile == "training" else (F.lit(True), F.lit(False), F.lit(False))
+    scored = scoring.rule_scores(both.select("doc_id", "men_idx", "ant_idx", feat.compressed_pair(a, m, *flags, p.profile).alias("f")))
+    links = coref.best_links(scored.select("doc_id", "men_idx", "ant_idx", "score"), fresh.select("doc_id", "m_idx", F.lit(0.0).alias("score")), p.greedyness)
+    known = state.where("m_idx is not null").select("doc_id", F.col("m_idx").alias("men_idx"), F.col("entity").alias("best_ant"))
+    roots = coref.forest_roots(stash(links, "links").select("doc_id", "men_idx", "best_ant").unionByName(known))
+    rows = stash(fresh.join(roots.select("doc_id", "m_idx", "best_ant", F.col("root").alias("entity")), ["doc_id", "m_idx"]), "resolved")
+    out = rows.select(F.col("doc_id").alias("conv_id"), "utt_idx", "m_idx", F.col("text").alias("mention"), "best_ant", F.col("entity").alias("root"))
+    empty = moved.where("m_idx is null").withColumn("entity", F.lit(None).cast("int"))  # its counts must not be lost
+    return out, rows.select(*columns).unionByName(empty.select(*columns))
+
+
+def batch_coref(utterances: DataFrame, parameters: Parameters = Parameters(), parser=annotate.annotate) -> DataFrame:
+    """(conv_id, utt_idx, m_idx, mention, best_ant, root) for a finished table of utterances."""
+    return resolve_new(utterances, None, parameters, parser)[0]
+
+
+def one_shot(utterances: DataFrame, context: DataFrame, parameters: Parameters = Parameters(), parser=annotate.annotate) -> DataFrame:
+    """Links of the mentions in ``utterances`` only; mentions of the context utterances are antecedents, each an entity of its own.
+
+    Utterances are numbered behind those of the context.
+    """
+    _, state = resolve_new(context, None, parameters, parser)
+    return resolve_new(utterances, state.withColumn("entity", F.col("m_idx")), parameters, parser)[0]
+
+
+class Conversations:
+    """Conversations kept in a folder: utterances are appended, and their mentions linked.
+
+    append returns the links; replace forgets the conversations that occur first. Both may be called once per batch number: the
+    same number again overwrites what that batch had added.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, parameters: Parameters = Parameters(), parser=annotate.annotate) -> None:
+        self.spark, self.folder, self.parameters, self.parser = spark, folder.rstrip("/"), parameters, parser
+
+    def _table(self, name: str) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}") if found else None
+
+    def state(self, before: int) -> DataFrame | None:
+        """The mentions added by batches before this one and since the conversation was last replaced."""
+        rows, resets = self._table("state"), self._table("resets")
+        if rows is None:
+            return None
+        rows = rows.where(F.col("batch") < before)
+        if resets is not None:
+            since = resets.where(F.col("batch") <= before).groupBy("doc_id").agg(F.max("batch").alias("since"))
+            rows = rows.join(since, "doc_id", "left").where(F.coalesce(F.col("batch") >= F.col("since"), F.lit(True))).drop("since")
+        return rows.drop("batch")
+
+    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def append(self, utterances: DataFrame, batch: int) -> DataFrame:
+        links, added = resolve_new(utterances, self.state(batch), self.parameters, self.parser)
+        links = stash(links, "links")
+        self._write(added, "state", batch)
+        return links
+
+    def replace(self, utterances: DataFrame, batch: int) -> DataFrame:
+        self._write(utterances.select(F.col("conv_id").alias("doc_id")).where("doc_id is not null").distinct(), "resets", batch)
+        return self.append(utterances, batch)
+
+
+def continuous_coref(utterances: DataFrame, folder: str, parameters: Parameters = Parameters(), parser=annotate.annotate, **trigger) -> StreamingQuery:
+    """Start a query over a stream of utterances (conv_id, utt_idx, text[, speaker_id]); links go to ``<folder>/links`` as parquet, one partition per batch.
+
+    ``folder`` must be shared by all executors; it also holds the state and the stream's checkpoint. ``trigger``: see ``DataStreamWriter.trigger``.
     """
-    links = list(links)
-    matched = None if max_dist is None or max_dist_match is None else max(max_dist, max_dist_match)
-    equal, ending, name = {}, {}, None
-    for i, mention in enumerate(mentions):
-        own = mention.lower()
-        last, pronoun = own.split()[-1], own in _PRONOUNS
-        if i >= first_new:
-            reach = max_dist if pronoun else matched
-            ranked = (equal.get(own), name if pronoun else ending.get(last))
-            links.append(next((j for j in ranked if j is not None and (reach is None or i - j <= reach)), i))
-        equal[own] = ending[last] = i
-        name = name if pronoun else i
-    return links
-
-
-def step(state: dict, rows: list[tuple[int, str]], max_dist: int | None = 50, max_dist_match: int | None = 500) -> tuple[dict, list[tuple]]:
-    """Apply utterances (utt_idx, text) to a conversation's state; returns the new state and a row per new mention."""
-    mentions, where, links = list(state.get("mentions", [])), list(state.get("where", [])), list(state.get("links", []))
-    first = len(mentions)
-    for utt_idx, text in sorted(rows, key=lambda r: r[0]):
-        for mention in surface_mentions(text):
-            mentions.append(mention)
-            where.append(int(utt_idx))
-    links = link(mentions, first, links, max_dist, max_dist_match)
-    roots = list(state.get("roots", []))
-    for i in range(first, len(mentions)):
-        roots.append(i if links[i] == i else roots[links[i]])
-    out = [(where[i], i, mentions[i], links[i], roots[i]) for i in range(first, len(mentions))]
-    return {"mentions": mentions, "where": where, "links": links, "roots": roots}, out
-
-
-def continuous_coref(utterances: DataFrame, max_dist: int | None = 50, idle: int | None = None, max_dist_match: int | None = 500) -> DataFrame:
-    """Stream of (conv_id, utt_idx, m_idx, mention, best_ant, root) for a stream of (conv_id, utt_idx, text). Rows with a null id or index are dropped."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else {}
-        rows = [(u, t) for frame in frames for u, t in zip(frame["utt_idx"], frame["text"])]
-        held, out = step(held, rows, max_dist, max_dist_match)
-        state.update((json.dumps(held),))
-        if idle:
-            state.setTimeoutDuration(idle)
-        if out:
-            yield pd.DataFrame([(key[0], *row) for row in out], columns=["conv_id", "utt_idx", "m_idx", "mention", "best_ant", "root"])
-
-    kept = utterances.where("conv_id is not null and utt_idx is not null").select("conv_id", "utt_idx", "text")
-    return kept.groupBy("conv_id").applyInPandasWithState(update, OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
-
-
-def batch_coref(utterances: DataFrame, max_dist: int | None = 50, max_dist_match: int | None = 500) -> DataFrame:
-    """The same result for a finished table."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        _, out = step({}, list(zip(group["utt_idx"], group["text"])), max_dist, max_dist_match)
-        return pd.DataFrame([(group["conv_id"].iloc[0], *row) for row in out], columns=["conv_id", "utt_idx", "m_idx", "mention", "best_ant", "root"])
-
-    kept = utterances.where("conv_id is not null and utt_idx is not null").select("conv_id", "utt_idx", "text")
-    return kept.groupBy("conv_id").applyInPandas(run, OUTPUT)
+    kept = Conversations(utterances.sparkSession, folder, parameters, parser)
+
+    def step(rows: DataFrame, batch: int) -> None:
+        kept._write(kept.append(rows, batch), "links", batch)
+
+    writer = utterances.writeStream.foreachBatch(step).option("checkpointLocation", f"{kept.folder}/checkpoint")
+    return (writer.trigger(**trigger) if trigger else writer).start()

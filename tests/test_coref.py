@@ -1,10 +1,8 @@
-import random
-
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corefold.operators import coref, dialogue, pairs
+from corefold.operators import coref, dialogue, pairs, scoring
 from corefold.streaming import dialogue as stream
 
 
@@ -41,7 +39,7 @@ def test_best_links_ties_and_greedyness(spark):
     assert greedy[3] == 0
 
 
-SENTENCE = "Deepika has a dog . She loves him . The movie star has always been fond of animals".split()
+SENTENCE = "Marta owns a canoe . She paints it . The old sailor never tires of rivers".split()
 MENTIONS = [(0, 0, 1), (1, 2, 4), (2, 5, 6), (3, 7, 8), (4, 9, 12)]
 
 
@@ -56,12 +54,12 @@ def example(spark, best):
 
 def test_resolved_text_before_and_after_a_conversion(spark):
     tokens, m, found = example(spark, [0, 1, 0, 0, 0])
-    assert coref.resolve(tokens, found, m).first().resolved.strip() == "Deepika has a dog . Deepika loves Deepika . Deepika has always been fond of animals"
+    assert coref.resolve(tokens, found, m).first().resolved.strip() == "Marta owns a canoe . Marta paints Marta . Marta never tires of rivers"
     tokens, m, found = example(spark, [0, 1, 0, 1, 0])
-    assert coref.resolve(tokens, found, m).first().resolved.strip() == "Deepika has a dog . Deepika loves a dog . Deepika has always been fond of animals"
-    assert coref.resolve_utterances(tokens, found, m).first().resolved.strip() == "Deepika has a dog . deepika loves a dog . deepika has always been fond of animals"
+    assert coref.resolve(tokens, found, m).first().resolved.strip() == "Marta owns a canoe . Marta paints a canoe . Marta never tires of rivers"
+    assert coref.resolve_utterances(tokens, found, m).first().resolved.strip() == "Marta owns a canoe . marta paints a canoe . marta never tires of rivers"
     lines = {r.cluster: r.line for r in coref.cluster_lines(found, m).collect()}
-    assert lines == {0: "Deepika: [Deepika, She, The movie star]", 1: "a dog: [a dog, him]"}
+    assert lines == {0: "Marta: [Marta, She, The old sailor]", 1: "a canoe: [a canoe, it]"}
 
 
 def test_payload_and_annotations(spark):
@@ -70,14 +68,14 @@ def test_payload_and_annotations(spark):
     tokens, m, found = example(spark, [0, 1, 0, 1, 4])
     resolved = coref.resolve(tokens, found, m)
     body = json.loads(coref.payload(m, found, resolved).first().payload)
-    assert body["clusters"] == [["Deepika", "She"], ["a dog", "him"]]
-    assert body["mentions"][1] == {"start": 20, "end": 23, "text": "She", "resolved": "Deepika"}
+    assert body["clusters"] == [["Marta", "She"], ["a canoe", "it"]]
+    assert body["mentions"][1] == {"start": 21, "end": 24, "text": "She", "resolved": "Marta"}
     empty = coref.payload(m, found.limit(0), resolved).first().payload
     assert empty == "{}"
     spans = {r.m_idx: r.is_coref for r in coref.annotate_spans(m, found).collect()}
     assert spans == {0: True, 1: True, 2: True, 3: True, 4: False}
     docs = coref.annotate_docs(frame(spark, [("d", "t"), ("e", "u")], "doc_id string, text string"), found, resolved).collect()
-    assert {r.doc_id: (r.has_coref, r.n_clusters, r.resolved[:7]) for r in docs} == {"d": (True, 2, "Deepika"), "e": (False, 0, "u")}
+    assert {r.doc_id: (r.has_coref, r.n_clusters, r.resolved[:5]) for r in docs} == {"d": (True, 2, "Marta"), "e": (False, 0, "u")}
     inside = {r.tok_idx for r in coref.annotate_tokens(tokens, found, m).where("in_coref").collect()}
     assert inside == {0, 2, 3, 5, 7}
 
@@ -134,58 +132,90 @@ def test_appended_utterances_and_default_speakers(spark):
     assert told == {(1, "0"): ["ann", "lee"], (1, "1"): ["1"]}
 
 
+SAID = "conv_id long, utt_idx int, text string, speaker_id string"
+TALK = [(c, u, text, "ab"[u % 2]) for c in (1, 2) for u, text in enumerate(["Yesterday Ann Lee met Bob.", "Then she told him\nthat Bob knows.", None, "Lee left; he saw Ann Lee."])]
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select("conv_id", "utt_idx", "m_idx", "mention", "best_ant", "root").collect())
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(c, u, text) for c in (1, 2) for u, text in enumerate(["Ann Lee met Bob.", "She told him that Bob knows.", None, "Lee left; he did not."])]
-    want = sorted(map(tuple, stream.batch_coref(frame(spark, rows, "conv_id long, utt_idx int, text string")).collect()))
+    want = rows_of(stream.batch_coref(frame(spark, [*TALK, TALK[0], (None, 1, "Eve", "a"), (1, None, "Eve", "a")], SAID)))
     folder = tmp_path / "in"
     for k in (0, 1):
-        part = [r for r in rows if r[1] // 2 == k]
-        spark.createDataFrame(part, "conv_id long, utt_idx int, text string").coalesce(1).write.mode("append").parquet(str(folder))
-    source = spark.readStream.schema("conv_id long, utt_idx int, text string").option("maxFilesPerTrigger", 1).parquet(str(folder))
-    seen = []
-    query = stream.continuous_coref(source).writeStream.foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    assert query.awaitTermination(90)
-    assert sorted(seen) == want and len(want) == len({x[:3] for x in want})
-
-
-def test_incremental_steps_equal_one_step():
-    rows = [(u, t) for u, t in enumerate(["Ann met Bob", "She left", "Bob saw Ann Lee", "They went"])]
-    whole = stream.step({}, rows)[1]
-    state, parts = {}, []
-    for row in rows:
-        state, out = stream.step(state, [row])
-        parts += out
-    assert parts == whole
-    assert pd.DataFrame(whole).shape[1] == 5
-
-
-def test_links_of_a_long_conversation():
-    other = [f"Other{i} Name{i}" for i in range(600)]
-    said = ["Ann Lee", "she", *other[:60], "Ann Lee", "Mr Lee", "she", "Ann Other"]
-    assert stream.link(said, 0, [])[-4:] == [0, 62, 63, 65]  # she is within 50 of a name; the first name alone is no link
-    for gap, want in ((499, 0), (500, 501)):  # 500 and 501 back
-        assert stream.link(["Ann Lee", *other[:gap], "Bo Lee"], 0, [])[-1] == want
-        assert stream.link(["Ann Lee", *other[:gap], "Ann Lee"], 0, [])[-1] == want
-    assert stream.link(["she", *["Bo"] * 50, "she"], 0, [])[-1] == 50  # pronouns share no word
-    state, rows, parts = {}, [(u, text) for u, text in enumerate(["Ann Lee left.", *[f"{x} left." for x in other[:60]], "Bob saw Ann Lee."])], []
-    for row in rows:
-        state, out = stream.step(state, [row])
-        parts += out
-    assert parts == stream.step({}, rows)[1] and parts[-1][2:] == ("Ann Lee", 0, 0)
-
-
-@pytest.mark.parametrize(("near", "far"), [(3, 9), (3, None), (9, 3), (0, 5)])
-def test_links_are_the_best_of_the_candidate_pairs(spark, near, far):
-    draw = random.Random(5)
-    said = [draw.choice(["she", "He", "Ann", "Ann Lee", "ann lee", "Bo Lee", "Lee Ann", "Cy", "Dee Fox", "Fox"]) for _ in range(120)]
-    pronoun = lambda x: x.lower() in ("she", "he")
-    m = frame(spark, [(1, i, [] if pronoun(x) else x.lower().split()) for i, x in enumerate(said)], "doc_id int, m_idx int, content_words array<string>")
-    want = {i: (0, 0, i) for i in range(len(said))}
-    for r in pairs.candidate_pairs(m, near, far).collect() if near else pairs.match_pairs(m, far).collect():
-        a, b = said[r.ant_idx].lower(), said[r.men_idx].lower()
-        rank = 3 * (a == b) or 2 * (not pronoun(b) and a.split()[-1] == b.split()[-1]) or int(pronoun(b) and not pronoun(a))
-        want[r.men_idx] = max(want[r.men_idx], (rank, r.ant_idx, r.ant_idx) if rank else (0, 0, r.men_idx))
-    assert stream.link(said, 0, [], near, far) == [want[i][2] for i in range(len(said))]
+        frame(spark, [r for r in TALK if r[1] // 2 == k], SAID).coalesce(1).write.mode("append").parquet(str(folder))
+    source = spark.readStream.schema(SAID).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    query = stream.continuous_coref(source, str(tmp_path / "state"), availableNow=True)
+    assert query.awaitTermination(180)
+    assert rows_of(spark.read.parquet(str(tmp_path / "state" / "links"))) == want
+    assert {r[1] for r in want} == {0, 1, 3} and any(b < m for _, _, m, _, b, _ in want)
+
+
+def test_conversations_are_appended_repeated_and_replaced(spark, tmp_path):
+    kept = stream.Conversations(spark, str(tmp_path / "talk"))
+    first, second = (frame(spark, [r for r in TALK if r[1] // 2 == k], SAID) for k in (0, 1))
+    parts = rows_of(kept.append(first, 0))
+    again = rows_of(kept.append(second, 1))
+    assert rows_of(kept.append(second, 1)) == again  # a batch that is repeated sees what it saw before
+    assert sorted(parts + again) == rows_of(stream.batch_coref(frame(spark, TALK, SAID)))
+    fresh = rows_of(kept.replace(second.where("conv_id = 1"), 2))
+    assert [r[2] for r in fresh] == list(range(len(fresh))) and fresh == rows_of(stream.batch_coref(second.where("conv_id = 1")))
+    assert min(r[2] for r in rows_of(kept.append(second.where("conv_id = 2").withColumn("utt_idx", F.col("utt_idx") + 9), 3))) > 0
+
+
+def test_context_gives_antecedents_only(spark):
+    context, new = frame(spark, TALK[:1], SAID), frame(spark, [(1, 5, "Then Ann Lee left.", None)], SAID)
+    got = rows_of(stream.one_shot(new, context))
+    assert [(r[3], r[4] < r[2]) for r in got if r[3] == "Ann Lee"] == [("Ann Lee", True)] and {r[1] for r in got} == {5}
+
+
+def test_links_reach_over_the_band_where_words_meet(spark):
+    names = [chr(97 + i // 26).upper() + chr(97 + i % 26) + "o" for i in range(70)]
+    said = [(1, 0, "So Ann Lee left.", None), *((1, 1 + i, f"So {n} left.", None) for i, n in enumerate(names)), (1, 99, "So Ann Lee came.", None)]
+    last = lambda df: [r for r in rows_of(df) if r[3] == "Ann Lee"][-1]
+    far = last(stream.batch_coref(frame(spark, said, SAID)))
+    near = last(stream.batch_coref(frame(spark, said, SAID), stream.Parameters(max_dist_match=60)))
+    assert far[2] - far[4] > 60 >= near[2] - near[4]
+
+
+def test_sides_of_pairs_with_missing_numbers(spark):
+    m = frame(spark, [(1, i, f"w{i}") for i in (0, 2, 5)], "doc_id int, m_idx int, w string")
+    p = frame(spark, [(1, 2, 0), (1, 5, 2), (1, 5, 1), (2, 1, 0)], "doc_id int, men_idx int, ant_idx int")
+    assert sorted((r.men_idx, r.ant_idx, r.a.w, r.m.w) for r in pairs.with_sides(p, m).collect()) == [(2, 0, "w0", "w2"), (5, 2, "w2", "w5")]
+    assert sorted((r.men_idx, r.ant_idx) for r in pairs.self_pairs(m).collect()) == [(0, 0), (2, 2), (5, 5)]
+
+
+def test_pair_scores_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    layers, vec, dense = scoring.random_layers(2 * 3 + 2, (5,), 4), rng.random((6, 3)), rng.random((9, 2))
+    pairs_ = [(1, 3, 1, dense[0].tolist()), (1, 3, 0, dense[1].tolist()), (2, 1, 0, dense[2].tolist()), (1, 3, 2, None), (1, 4, 3, dense[3].tolist())]
+    df = frame(spark, pairs_, "doc_id int, men_idx int, ant_idx int, features array<double>")
+    vectors = frame(spark, [(d, i, vec[i].tolist()) for d in (1, 2) for i in (3, 0, 1, 2)] + [(1, 4, None)], "doc_id int, m_idx int, embedding array<float>")
+    got = {(r.doc_id, r.men_idx, r.ant_idx): r.score for r in scoring.score_pairs(df, vectors, layers, rows=1).collect()}
+    for (d, i, j, _), x in zip(pairs_[:3], dense):
+        assert got[d, i, j] == pytest.approx(scoring.forward(layers, np.r_[vec[j], vec[i], x][None])[0], rel=1e-5)
+    assert len(got) == 5 and got[1, 3, 2] is None and got[1, 4, 3] is None
+
+
+def test_scores_of_candidates_and_words(spark):
+    p = frame(spark, [(1, 2, 1, 5.0), (1, 2, 0, 4.0)], "doc_id int, men_idx int, ant_idx int, score double")
+    own = frame(spark, [(1, 2, 1.5), (1, 0, 0.5)], "doc_id int, m_idx int, score double")
+    assert {r.m_idx: r.scores for r in scoring.candidate_scores(p, own).collect()} == {0: [0.5], 2: [4.0, 5.0, 1.5]}
+    layers, matrix = scoring.random_layers(1 + 2 * 2 + 1, (4,), 7), np.arange(6.0).reshape(3, 2)
+    rows = frame(spark, [(1, [2, 0], [0.5], [0.25]), (2, None, [0.5], [0.25]), (3, [1], [0.5], [0.25])], "i int, words array<int>, spans array<double>, features array<double>")
+    got = {r.i: r.score for r in scoring.score_words(rows, layers, matrix).collect()}
+    assert got[1] == pytest.approx(scoring.forward(layers, np.array([[0.5, 4, 5, 0, 1, 0.25]]))[0]) and got[2] is None and got[3] is None
+
+
+def test_token_and_span_scores(spark):
+    tokens, m, found = example(spark, [0, 1, 0, 1, 4])
+    p = frame(spark, [("d", 2, 0, 3.0), ("d", 2, 1, 1.0)], "doc_id string, men_idx int, ant_idx int, score double")
+    maps = coref.score_map(p, frame(spark, [("d", i, 0.5) for i in range(5)], "doc_id string, m_idx int, score double"))
+    got = {r.tok_idx: [(x.m_idx, x.scores) for x in r.scores] for r in coref.annotate_tokens(tokens, found, m, maps).collect()}
+    assert got[5] == [(2, {0: 3.0, 1: 1.0, 2: 0.5})] and got[1] == [] and got[10] == [(4, {4: 0.5})]
+    spans = {r.m_idx: (r.is_coref, r.scores) for r in coref.annotate_spans(m, found, maps).collect()}
+    assert spans[4] == (False, {4: 0.5}) and spans[2][0]
 
 
 def test_unknown_profile(spark):

@@ -3,10 +3,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from corefold import runtime
 from corefold.functions import features as feat
 from corefold.functions import lexical
 from corefold.operators import annotate, embed, mentions, scoring, training
-from corefold.plans import pipeline
+from corefold.plans import corpus, evaluate, pipeline
 from corefold.sources import conll, vectors
 
 TOKENS = "doc_id string, sent_idx int, tok_idx int, text string, lower string, ws string, tag string, pos string, dep string, head int, l_edge int, r_edge int, n_lefts int, n_rights int, ent_iob int, ent_type string, is_digit boolean, start_char int, end_char int"
@@ -226,7 +227,7 @@ def test_pipeline_scores_equal_numpy_and_model_round_trip(spark, tmp_path):
 def batches_one_by_one(lengths, size):
     out, batch, num = [], [], 0
     for n, i in sorted((n, i) for i, n in enumerate(lengths)):
-        if num > size or (num == len(batch) and n):
+        if num > size or (batch and num == len(batch) and n):
             out.append(batch)
             batch, num = [], 0
         batch.append(i)
@@ -250,18 +251,187 @@ def test_padding_keeps_the_new_entity_last(spark):
     assert got == {1: ([1, 2, 9], [0.5, 0.5, 1.0], [0, 0, 0]), 2: ([0, 0, 9], [0.0, 0.0, 2.0], [1, 1, 0])}
 
 
-def test_training_lowers_the_loss(spark):
+@pytest.mark.parametrize("stage", training.STAGES)
+def test_slopes_are_derivatives(stage):
+    rng = np.random.default_rng(1)
+    layers = scoring.random_layers(3, (4,), 2)
+    x, y, costs = rng.normal(size=(5, 3)), np.array([0.0, 1, 0, 1, 0]), np.array([1.0, 0, 1, 0, 0.8])
+    flat, _ = training._backward(layers, x, stage, y, costs)
+    at = 0
+    for pair in layers:
+        for value in pair:
+            for i in np.ndindex(value.shape):
+                old, values = value[i], []
+                for step in (1e-6, -1e-6):
+                    value[i] = old + step
+                    values.append(training._slopes(stage, scoring.forward(layers, x), y, costs)[1])
+                value[i] = old
+                assert flat[at] == pytest.approx((values[0] - values[1]) / 2e-6, abs=1e-5)
+                at += 1
+
+
+def test_stages_lower_their_losses_and_keep_the_best(spark):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(200, 4))
-    rows = spark.createDataFrame([(v.tolist(), float(v[0] * v[1] > 0), 1.0) for v in x], "features array<double>, label double, weight double")
-    _, losses = training.train(rows, scoring.random_layers(4, (8,), 3), epochs=6, rate=0.05)
-    assert len(losses) == 6 and losses[-1] < losses[0]
-
-
-def test_embeddings_from_files(spark, tmp_path):
+    rows = [(m, k, rng.normal(size=4)) for m in range(40) for k in range(3)]
+    rows = [(m, k, v.tolist(), int(v[0] * v[1] > 0), 0.0 if v[0] * v[1] > 0 else 1.0) for m, k, v in rows]
+    df = training.candidates(spark.createDataFrame(rows, "mention_id int, place int, features array<double>, label int, cost double").repartition(5))
+    scores = iter([0.2, 0.9, 0.1, 0.3, 0.4, 0.2])
+    kept = []
+    done = training.train_stages(df, scoring.random_layers(4, (8,), 3), {"all_pairs": 4, "ranking": 2}, {"all_pairs": 0.05}, evaluate=lambda layers: kept.append(layers[0][0].copy()) or next(scores), fan_in=2)
+    losses = [x[2] for x in done.scalars]
+    assert [x[0] for x in done.scalars] == ["all_pairs"] * 4 + ["ranking"] * 2 and losses[3] < losses[0] and losses[5] < losses[4]
+    assert np.array_equal(done.best[0][0], kept[4])  # the ranking stage starts from the best network of the one before, and has its own best
+    assert done.table(spark).count() == 6
+    assert training.train(df.limit(0), scoring.random_layers(4, (8,), 3)).scalars == []
+    with pytest.raises(ValueError):
+        training.train(df, done.layers, "other")
+
+
+def test_batches_in_seeded_order_and_dumped(spark, tmp_path):
+    b = spark.createDataFrame([(i, i % 7, i // 3) for i in range(21)], "id int, length int, batch int")
+    one, two = ([r.batch for r in training.batch_order(b, seed).collect()] for seed in (1, 2))
+    assert sorted(one) == sorted(two) == list(range(7)) and one != two
+    training.write_batch_sizes(b, str(tmp_path / "sizes"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "sizes")).collect()][:2] == ["2\t3", "5\t3"]
+    links = spark.createDataFrame([(10, 3, 1), (11, 3, 3)], "flat_idx int, n_pairs int, choice int")
+    assert [r.linked for r in training.flat_links(links).orderBy("flat_idx").collect()] == [8, None]
+    counts = spark.createDataFrame([(1, 4, 6), (2, 3, 4)], "doc_id int, n int, p int")
+    assert [r.doc_id for r in training.array_invariants(counts).collect()] == [2]
+
+
+def test_vectors_from_and_to_files(spark, tmp_path):
     np.save(tmp_path / "static_word_embeddings.npy", np.arange(6.0).reshape(3, 2))
     (tmp_path / "static_word_vocabulary.txt").write_text("*UNK*\ndog\ncat\n")
-    static = vectors.read_embeddings(spark, str(tmp_path / "static_word"), "static")
+    static = vectors.read_embeddings(spark, str(tmp_path / "static_word"), "static", 2)
     assert {r.word: r.vec for r in static.collect()} == {"*UNK*": [0, 1], "dog": [2, 3], "cat": [4, 5]}
     tuned = vectors.tuned_from_static(static, spark.createDataFrame([("dog",), ("new",)], "word string"))
     assert {r.word: r.vec for r in tuned.collect()} == {"dog": [2, 3], "new": [0, 1]}
+    vectors.write_embeddings(tuned, str(tmp_path / "tuned"))
+    assert {r.word: r.vec for r in vectors.read_embeddings(spark, str(tmp_path / "tuned"), "tuned").collect()} == {"dog": [2, 3], "new": [0, 1]}
+    with pytest.raises(PySparkException):
+        vectors.read_embeddings(spark, str(tmp_path / "static_word"), "static", 3).collect()
+    first = {r.word: r.vec for r in embed.initial_vectors(static, 4, 1).collect()}
+    assert set(first) == {"*UNK*", "dog", "cat"} and all(len(v) == 4 and max(map(abs, v)) <= 0.5 for v in first.values()) and first["dog"] != first["cat"]
+    ids = spark.createDataFrame([("dog", 4), ("<missing>", 9)], "word string, word_id int")
+    assert {r.word: r.word_id for r in embed.word_ids(static.select("word"), ids).collect()} == {"dog": 4, "cat": 9, "*UNK*": 9}
+
+
+def test_weights_and_arrays_from_files(spark, tmp_path):
+    layers = {}
+    for name in ("single_mention", "pair_mentions"):
+        for i, shape in enumerate(((3, 2), (1, 3))):
+            layers[name, i] = np.random.default_rng(i).random(shape)
+            np.save(tmp_path / f"{name}_weights_{i}.npy", layers[name, i])
+            np.save(tmp_path / f"{name}_bias_{i}.npy", np.ones((shape[0], 1)))
+    got = vectors.read_weights(spark, str(tmp_path))
+    assert np.array_equal(got["pair"][1][0], layers["pair_mentions", 1]) and got["single"][0][1].shape == (3,)
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    for name, width in vectors.ARRAYS.items():
+        np.save(folder / f"{name}.npy", np.arange(5 * width).reshape(5, width))
+    m, p = vectors.read_arrays(spark, str(folder))
+    assert m.count() == p.count() == 5 and p.orderBy("row").collect()[1].pairs_features == list(range(9, 18))
+    np.save(folder / "pairs_features.npy", np.zeros((5, 8)))
+    with pytest.raises(PySparkException):
+        vectors.read_arrays(spark, str(folder))[1].collect()
+
+
+def test_small_string_and_file_functions(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x \ny\nx\n")
+    assert sorted(r.line for r in vectors.distinct_lines(spark, str(tmp_path / "a.txt")).collect()) == ["x", "y"]
+    assert [r.value for r in conll.read_whole(spark, str(tmp_path / "a.txt")).collect()] == ["x \ny\nx\n"]
+    row = spark.createDataFrame([('{"url": "u", "etag": "e"}', "x", [("a", " "), ("b", "")], ["ann"])], "j string, bad string, t array<struct<text:string,ws:string>>, names array<string>")
+    got = row.select(lexical.cached_source(F.col("j")).alias("c"), lexical.cached_source(F.col("bad")).alias("b"), lexical.text_with_whitespace(F.col("t")).alias("t"), lexical.contains_token(F.col("names"), F.lit("ann")).alias("n")).first()
+    assert (got.c.url, got.c.etag, got.t, got.n) == ("u", "e", "a b", True) and (got.b is None or got.b.url is None)
+
+
+def test_one_row_each(spark):
+    rows = [(i % 5 if i < 6 else i, f"w{i % 5 if i < 6 else i}") for i in range(9)] + [(None, "a"), (None, "b")]
+    df = spark.createDataFrame(rows, "k int, w string")
+    for most in (10, 0):
+        assert sorted(map(tuple, runtime.one_row_each(df, "k", most).collect()), key=str) == sorted([*{r for r in rows if r[0] is not None}, (None, "a"), (None, "b")], key=str)
+    assert runtime.one_row_each(df.limit(0), "k").collect() == []
+
+
+def test_features_of_both_layouts(spark):
+    one = dict(mention_type=2, start=1, end=4, m_idx=3, nested=True, sent_idx=1, root_lower="ann", root_tag="NNP", span_lower="ann lee", content_words=["ann", "lee"], ent_label="PERSON", speaker_id="x", speaker_tokens=["bob"], n_mentions=9, genre=2)
+    two = dict(one, m_idx=7, start=6, end=7, mention_type=0, nested=False, sent_idx=3, root_lower="bob", span_lower="bob", content_words=["bob"], speaker_id="y", speaker_tokens=["ann", "lee"])
+    schema = "struct<mention_type:int,start:int,end:int,m_idx:int,nested:boolean,sent_idx:int,root_lower:string,root_tag:string,span_lower:string,content_words:array<string>,ent_label:string,speaker_id:string,speaker_tokens:array<string>,n_mentions:int,genre:int>"
+    df = spark.createDataFrame([(one, two)], f"a {schema}, m {schema}")
+    a, m = F.col("a"), F.col("m")
+    df = df.withColumn("f", feat.compressed_pair(a, m, *feat.speaker_flags(a, m), "training"))
+    codes = [feat.compressed_mention(x, x["n_mentions"], x["genre"]) for x in (a, m)]
+    row = df.select("f", feat.pair_features(a, m, F.col("f"), m["genre"]).alias("dense"), feat.decode_pair(F.col("f"), *codes).alias("decoded"), feat.single_features(m, m["n_mentions"], m["genre"]).alias("own"), feat.decode_mention(codes[1]).alias("own2")).first()
+    assert row.f == [0, 1, 1, 0, 0, 0, 2, 3, 0] and row.dense == row.decoded and len(row.dense) == 70 and row.own == row.own2 and len(row.own) == 24
+    assert row.dense[:6] == [0, 1, 1, 0, 0, 0] and row.dense[6 + 2] == 1 and row.dense[16] == 2 / 64 and row.dense[17 + 3] == 1
+
+
+CORPUS = """#begin document (bc/x/00/x_0000); part 000
+bc/x/00/x_0000 0 0 Then - - - - - Ann_Lee - -
+bc/x/00/x_0000 0 1 Mary - - - - - Ann_Lee - (0
+bc/x/00/x_0000 0 2 O'Neil - - - - - Ann_Lee - 0)
+bc/x/00/x_0000 0 3 left - - - - - Ann_Lee - -
+bc/x/00/x_0000 0 4 /. - - - - - Ann_Lee - -
+
+bc/x/00/x_0000 0 0 She - - - - - Bob - (0)
+bc/x/00/x_0000 0 1 saw - - - - - Bob - -
+bc/x/00/x_0000 0 2 Ann - - - - - Bob - (1)
+bc/x/00/x_0000 0 3 /. - - - - - Bob - -
+
+#end document
+"""
+
+
+def test_corpus_from_files_to_arrays(spark, tmp_path):
+    (tmp_path / "x.v4_gold_conll").write_text(CORPUS)
+    c = corpus.read_corpus(spark, str(tmp_path / "x.v4_gold_conll"))
+    words = {(r.start, r.end): r.label for r in c.gold.collect()}
+    text = [r.text for r in c.tokens.orderBy("tok_idx").collect()]
+    assert {(" ".join(text[a:b]), label) for (a, b), label in words.items()} == {("Mary O ' Neil", "0"), ("She", "0"), ("Ann", "1")}
+    m = {r.text: r for r in c.mentions.collect()}
+    assert m["She"].utt_idx == 1 and m["She"].speaker_id == "Bob" and m["She"].genre == 0 and m["Ann"].gold_label == "1"
+    pairs_ = c.pair_arrays.collect()
+    n = len(m)
+    assert len(pairs_) == n * (n - 1) // 2 and sorted(r.pair_row for r in pairs_) == list(range(len(pairs_)))
+    gold = corpus.read_corpus(spark, str(tmp_path / "x.v4_gold_conll"), use_gold_mentions=True)
+    assert gold.undetected().count() == 0 and {r.text for r in gold.mentions.collect()} == {"Mary O'Neil", "She", "Ann"}
+    got = sorted((r.men_idx, r.ant_idx, r.label, r.features[0]) for r in gold.pair_arrays.collect())
+    assert got == [(1, 0, 1, 0), (2, 0, 0, 0), (2, 1, 0, 1)]
+    scores = gold.pair_arrays.select("doc_id", "men_idx", "ant_idx", (F.col("label") * 2.0 - 1).alias("score"))
+    single = gold.mentions.select("doc_id", "m_idx", F.lit(0.0).alias("score"))
+    best = {r.metric: r.f1 for r in evaluate.evaluate(gold, scores, single).collect()}
+    assert best["muc"] == 1.0 and best["bcub"] == pytest.approx(0.8)  # the single gold mention is no entity of the response
+    written = conll.response_spans(gold.mentions, spark.createDataFrame([], "doc_id string, root int, m_idx int"), print_all_mentions=True)
+    assert sorted(r.cluster for r in written.collect()) == [0, 1, 2]
+    assert conll.response_spans(gold.mentions, spark.createDataFrame([], "doc_id string, root int, m_idx int"), True, True).where("cluster is not null").count() == 0
+
+
+def test_corpus_of_nothing_and_of_awkward_utterances(spark):
+    schema = "doc_id long, utt_idx int, words array<string>, speaker string, tokens string"
+    gold = spark.createDataFrame([(1, 1, 0, 9, "0"), (1, 1, 0, 1, None), (1, 0, 0, 1, "1"), (1, 2, 0, 1, "1")], "doc_id long, utt_idx int, start int, end int, label string")
+    rows = spark.createDataFrame([(1, 0, [], None, ""), (1, 1, None, "-", ""), (1, 2, ["%", None, "*x", "She"], None, ""), (2, 0, [], None, "")], schema)
+    c = corpus.prepare(rows, gold)
+    assert {(r.start, r.end, r.label) for r in c.gold.collect()} == {(0, 1, "1")} and {r.utt_idx for r in c.tokens.collect()} == {2}
+    empty = corpus.prepare(rows.limit(0), gold.limit(0))
+    assert empty.mention_arrays.count() == 0 and empty.pair_arrays.count() == 0
+
+
+def test_entity_of_a_whole_span_and_shown_mentions(spark, capsys):
+    words = [("Ann", "NNP", "PROPN", "compound", 1, "PERSON"), ("Lee", "NNP", "PROPN", "nsubj", 3, "PERSON"), ("Ltd", "NNP", "PROPN", "appos", 1, ""), ("left", "VBD", "VERB", "ROOT", 3, "")]
+    tokens = parsed(spark, words).withColumn("ent_iob", F.when(F.col("tok_idx") == 1, 1).otherwise(F.col("ent_iob")))
+    m = mentions.describe_mentions(spark.createDataFrame([("d", 0, 2), ("d", 0, 3), ("d", 1, 2)], "doc_id string, start int, end int"), tokens)
+    assert {(r.start, r.end): r.span_ent for r in m.collect()} == {(0, 2): "PERSON", (0, 3): None, (1, 2): "PERSON"}
+    mentions.show_mentions(tokens)
+    assert "Ann Lee" in capsys.readouterr().out
+
+
+def test_rules_for_markers_labels_and_pronoun_phrases(spark):
+    """The rules that the stand-in annotation cannot trigger: a marker's span, an organisation, a possessive, the blacklist."""
+    words = [("Acme", "NNP", "PROPN", "nsubj", 1, "ORG"), ("knows", "VBZ", "VERB", "ROOT", 1, ""), ("that", "IN", "ADP", "mark", 5, ""), ("the", "DT", "DET", "det", 4, ""), ("boat", "NN", "NOUN", "nsubj", 5, ""), ("sank", "VBD", "VERB", "ccomp", 1, "")]
+    got, training_ = spans(spark, words), spans(spark, words, "training")
+    assert (0, 1) in got and (3, 5) in got and (0, 1) in training_
+    other = [(*w[:5], "CARDINAL" if w[5] else "") for w in words]
+    assert spans(spark, other) == got  # the name is a subject as well
+    tokens = parsed(spark, words)
+    m = {r.span_lower: r for r in mentions.describe_mentions(mentions.extract_spans(tokens), tokens).collect()}
+    assert m["acme"].mention_type == feat.PROPER and m["acme"].ent_label == "ORG" and m["the boat"].mention_type == feat.NOMINAL
