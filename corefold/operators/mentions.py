@@ -1,13 +1,18 @@
 """Mention extraction and attributes over annotated tokens, for both rule profiles.
 
-The rules that walk tokens one by one elsewhere are closed forms here. A span's trimmed ends are the
-nearest tokens that may stay, which two windows give for all tokens at once; children's outer edges
-are one aggregation by head. What remains per token is arithmetic on one array of its sentence.
+The rules that walk tokens one by one elsewhere are index arithmetic here, over the tokens of many sentences at a time:
+a span's trimmed ends are the nearest tokens that may stay, which running maxima give for all tokens at once, and
+children's outer edges are minima and maxima by head. Only a possessive mark's climb to its subject goes step by step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Word, tag and dependency lists of the mention rules.
@@ -24,71 +29,169 @@ CONJUNCT_DEPS = ["conj", "prep"]
 REMOVE_POS = ["CCONJ", "SCONJ", "INTJ", "ADP"]
 REMOVE_WORDS = ["'s", ",", ".", "!", "?", ":", ";"]
 ENTITY_LABELS = ["PERSON", "NORP", "FACILITY", "ORG", "GPE", "LOC", "PRODUCT", "EVENT", "WORK_OF_ART", "LANGUAGE"]
-POSSESSIVE, SPAN_FACTOR, MOST_CLIMBS = "'s", 4, 100
-
-
-def with_rule_columns(tokens: DataFrame) -> DataFrame:
-    """Add sentence bounds, the nearest tokens that may end or begin a span, and children's edges."""
-    sent = Window.partitionBy("doc_id", "sent_idx").orderBy("tok_idx")
-    stays = ~(F.col("pos").isin(REMOVE_POS) | F.col("lower").isin(REMOVE_WORDS))
-    kept = F.when(stays, F.col("tok_idx"))
-    whole = Window.partitionBy("doc_id", "sent_idx")
-    t = tokens.withColumn("prev_stay", F.max(kept).over(sent.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next_stay", F.min(kept).over(sent.rowsBetween(0, Window.unboundedFollowing)))
-    t = t.withColumn("s_first", F.min("tok_idx").over(whole)).withColumn("s_last", F.max("tok_idx").over(whole))
-    child = tokens.where(F.col("head") != F.col("tok_idx")).groupBy("doc_id", F.col("head").alias("tok_idx"))
-    subject, plain = F.col("dep").isin(SUBJECT_DEPS), ~F.col("dep").isin(CONJUNCT_DEPS)
-    edges = child.agg(
-        F.min("l_edge").alias("c_min"), F.max("r_edge").alias("c_max"), F.min(F.when(subject, F.col("l_edge"))).alias("n_min"), F.max(F.when(subject, F.col("r_edge"))).alias("n_max"),
-        F.min(F.when(plain, F.col("l_edge"))).alias("q_min"), F.max(F.when(plain, F.col("r_edge"))).alias("q_max"),
-    )
-    return t.join(edges, ["doc_id", "tok_idx"], "left")
-
-
-def _at(i: Column, array: str = "s") -> Column:
-    """The entry of a sentence's array for the token with index i."""
-    return F.get(array, i - F.col("s_first"))
-
-
-def _trim(lo: Column, hi: Column, guarded: bool) -> Column:
-    """struct(start, end): the inclusive range lo..hi without words that cannot begin or end a mention. guarded: never past the sentence's ends."""
-    last = F.least(hi, F.greatest(_at(hi)["prev_stay"], lo - 1, F.col("s_first") if guarded else lo - 1))
-    first = F.least(_at(lo)["next_stay"], last + 1, F.col("s_last") if guarded else last + 1)
-    return F.struct(F.greatest(lo, first).cast("int").alias("start"), (last + 1).cast("int").alias("end"))
-
-
-def _edges(t: Column, guarded: bool) -> Column:
-    """struct(lo, hi, q_lo, q_hi): a token's range with its children, and with those that are no conjuncts or prepositions."""
-    i = t["tok_idx"]
-    low, high = t["c_min"], t["c_max"]
-    if not guarded:  # a marker without children takes its head's
-        mark = (t["tag"] == "IN") & (t["dep"] == "mark") & low.isNull()
-        low, high = F.when(mark, _at(t["head"])["c_min"]).otherwise(low), F.when(mark, _at(t["head"])["c_max"]).otherwise(high)
-    pairs = {"lo": F.least(low, i), "hi": F.greatest(high, i), "q_lo": F.least(t["q_min"], i), "q_hi": F.greatest(t["q_max"], i)}
-    return F.struct(*[c.alias(name) for name, c in pairs.items()])
+POSSESSIVE, MOST_CLIMBS = "'s", 100
 
 
 def extract_spans(tokens: DataFrame, profile: str = "inference", blacklist: bool = True) -> DataFrame:
     """(doc_id, start, end): distinct candidate spans of the rules and of named entities.
 
     profile: ``inference`` or ``training``, which differ in the token filter, the possessive and the
-    conjunct rules. blacklist: leave out first and second person words. Spans never leave their sentence.
+    conjunct rules. blacklist: leave out first and second person words. Spans never leave their sentence. Tokens of a sentence are numbered
+    without gaps, and their heads lie in it. A token gives rise to two spans at most, so that a cap of four for each never binds.
     """
     if profile not in ("inference", "training"):
         raise ValueError(profile)
-    guarded = profile == "inference"
-    fields = ["tok_idx", "lower", "tag", "dep", "head", "l_edge", "r_edge", "n_lefts", "n_rights", "prev_stay", "next_stay", "c_min", "c_max", "n_min", "n_max", "q_min", "q_max"]
-    rows = with_rule_columns(tokens).groupBy("doc_id", "sent_idx", "s_first", "s_last").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
-    # Stage by stage, so that no expression is evaluated more than once per token.
-    rows = rows.withColumn("edges", F.transform("s", lambda t: _edges(t, guarded)))
-    rows = rows.withColumn("np", F.transform("edges", lambda e: _trim(e["lo"], e["hi"], guarded)))
-    plain = F.transform("edges", lambda e: _trim(e["q_lo"], e["q_hi"], guarded)) if not guarded else F.col("np")
-    rows = rows.withColumn("plain", plain)
-    found = F.flatten(F.transform("s", lambda t: _candidates(t, guarded, blacklist)))
-    capped = F.slice(found, 1, SPAN_FACTOR * F.size("s"))
-    spans = rows.select("doc_id", F.explode(capped).alias("x")).select("doc_id", "x.start", "x.end")
+    order = Window.partitionBy("doc_id", "sent_idx").orderBy("tok_idx")
+    # The window puts the tokens of each sentence together, in order; a document's partitioning is reused.
+    rows = tokens.select("doc_id", "sent_idx", *_FIELDS).withColumn("first", F.first("tok_idx").over(order))
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    spans = rows.mapInArrow(_span_rows(profile == "inference", blacklist), f"doc_id {kind}, start int, end int")
     return spans.unionByName(entities(tokens).select("doc_id", "start", "end")).where("end > start").distinct()
 
 
+_FIELDS = ["tok_idx", "lower", "tag", "pos", "dep", "head", "l_edge", "r_edge", "n_lefts", "n_rights"]
+_FAR = 1 << 40  # stands for "none" in minima, with a minus in maxima
+
+
+def _span_rows(guarded: bool, blacklist: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            starts = np.flatnonzero(table["tok_idx"].to_numpy() == table["first"].to_numpy())
+            last = int(starts[-1]) if len(starts) else 0  # the last sentence may go on in the next batch
+            held = table.slice(last)
+            if last:
+                yield _Sentences(table.slice(0, last), guarded).spans(blacklist)
+        if held is not None and held.num_rows:
+            yield _Sentences(held, guarded).spans(blacklist)
+
+    return run
+
+
+class _Sentences:
+    """The tokens of whole sentences as arrays. guarded: the inference profile, in which no trim goes past the ends of a sentence."""
+
+    def __init__(self, table: pa.Table, guarded: bool) -> None:
+        table = table.combine_chunks()
+        self.guarded, self.doc = guarded, table["doc_id"].combine_chunks()
+        self.i, self.head, self.l_edge, self.r_edge, first = (table[c].to_numpy().astype(np.int64) for c in ("tok_idx", "head", "l_edge", "r_edge", "first"))
+        self.kids = (table["n_lefts"].to_numpy() > 0) | (table["n_rights"].to_numpy() > 0)
+        self.text = {c: table[c].combine_chunks() for c in ("lower", "tag", "pos", "dep")}
+        n = len(self.i)
+        begins = np.flatnonzero(self.i == first)
+        sentence = np.cumsum(self.i == first) - 1
+        self.begin, self.end = begins[sentence], np.r_[begins[1:], n][sentence]
+        self.first, self.last = first, self.i[self.end - 1]
+        stays = ~(self._in("pos", REMOVE_POS) | self._in("lower", REMOVE_WORDS)) & self.text["pos"].is_valid().to_numpy(zero_copy_only=False)
+        at = np.arange(n)
+        before = np.maximum.accumulate(np.where(stays, at, -1))
+        after = np.minimum.accumulate(np.where(stays, at, n)[::-1])[::-1]
+        self.prev = np.where(before >= self.begin, self.i[np.maximum(before, 0)], -_FAR)
+        self.next = np.where(after < self.end, self.i[np.minimum(after, n - 1)], _FAR)
+        child = self.head != self.i
+        self.c = self._edges(child)
+        self.n = self._edges(child & self._in("dep", SUBJECT_DEPS))
+        self.q = self._edges(child & ~self._in("dep", CONJUNCT_DEPS) & self.text["dep"].is_valid().to_numpy(zero_copy_only=False))
+
+    def _in(self, column: str, words: list[str]) -> np.ndarray:
+        return pc.is_in(self.text[column], pa.array(words)).to_numpy(zero_copy_only=False)
+
+    def _like(self, column: str, pattern: str) -> np.ndarray:
+        return pc.fill_null(pc.match_substring_regex(self.text[column], pattern), False).to_numpy(zero_copy_only=False)
+
+    def _place(self, rows: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Where the tokens with these numbers lie, in the sentences of ``rows``."""
+        return np.clip(self.begin[rows] + token - self.first[rows], self.begin[rows], self.end[rows] - 1)
+
+    def _edges(self, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.full(len(self.i), _FAR), np.full(len(self.i), -_FAR)
+        rows = np.flatnonzero(children)
+        heads = self._place(rows, self.head[rows])
+        np.minimum.at(low, heads, self.l_edge[rows])
+        np.maximum.at(high, heads, self.r_edge[rows])
+        return low, high
+
+    def _trim(self, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the ranges lo..hi, inclusive, without words that cannot begin or end a mention."""
+        keep = np.maximum(self.prev[self._place(rows, hi)], lo - 1)
+        last = np.minimum(hi, np.maximum(keep, self.first[rows]) if self.guarded else keep)
+        start = np.minimum(self.next[self._place(rows, lo)], last + 1)
+        return np.maximum(lo, np.minimum(start, self.last[rows]) if self.guarded else start), last + 1
+
+    def spans(self, blacklist: bool) -> pa.RecordBatch:
+        every = np.arange(len(self.i))
+        leave, keep = self._in("dep", LEAVE_DEPS), self._in("dep", KEEP_DEPS)
+        if self.guarded:
+            pronoun, skip = self._in("tag", PRONOUN_TAGS), ~self._in("tag", KEEP_TAGS) | (leave & ~keep)
+        else:
+            pronoun, skip = self._like("tag", "^PRP"), (~self._like("tag", "^(N|PRP|DT|IN)") | leave) & ~keep
+        for column in ("tag", "dep", "lower"):
+            skip |= self.text[column].is_null().to_numpy(zero_copy_only=False)
+        if blacklist:
+            skip |= self._in("lower", NO_COREF_WORDS)
+        mark = self._in("tag", ["IN"]) & self._in("dep", ["mark"])
+        over = self._place(every, self.head)
+        low, high = self.c
+        if not self.guarded:  # a marker without children takes its head's
+            bare = mark & (low == _FAR)
+            low, high = np.where(bare, low[over], low), np.where(bare, high[over], high)
+        start, end = self._trim(every, np.minimum(low, self.i), np.maximum(high, self.i))
+        if self.guarded:  # a marker whose span is empty takes its head's
+            empty = mark & (start == end)
+            start, end = np.where(empty, start[over], start), np.where(empty, end[over], end)
+        possessive = self._in("lower", [POSSESSIVE])
+        plain = ~skip & ~pronoun & ~possessive
+        good = plain & (end > start) & ~possessive[self._place(every, start)]
+        rows, begins, ends = [], [], []
+
+        def add(which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+            rows.append(which)
+            begins.append(lo)
+            ends.append(hi)
+
+        alone = np.flatnonzero(~skip & pronoun)
+        add(alone, self.i[alone], self.i[alone] + 1)
+        tree = alone[self.kids[alone]]
+        add(tree, self.l_edge[tree], self.r_edge[tree] + 1)
+        own = np.flatnonzero(good)
+        add(own, start[own], end[own])
+        if not self.guarded:
+            joins = np.r_[0, np.cumsum(self._in("dep", CONJUNCT_DEPS))]
+            inside = own[joins[self._place(own, end[own] - 1) + 1] > joins[self._place(own, start[own])]]
+            lo, hi = self._trim(inside, np.minimum(self.q[0][inside], self.i[inside]), np.maximum(self.q[1][inside], self.i[inside]))
+            add(inside, lo, hi)
+        held = [x for x in map(self._possessor, np.flatnonzero(~skip & ~pronoun & possessive).tolist()) if x]
+        if held:
+            add(*(np.array(x, np.int64) for x in zip(*held)))
+        rows, begins, ends = map(np.concatenate, (rows, begins, ends))
+        real = ends > begins
+        columns = [self.doc.take(pa.array(rows[real])), pa.array(begins[real].astype(np.int32)), pa.array(ends[real].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end"])
+
+    def _possessor(self, row: int) -> tuple[int, int, int] | None:
+        """(row, start, end) of the span around the first subject that is met climbing the heads from a possessive mark."""
+        at = np.array([row])
+        place = lambda token: int(self._place(at, np.array([token]))[0])
+        top = int(self.head[row])
+        for _ in range(min(int(self.end[row] - self.begin[row]), MOST_CLIMBS)):
+            here = place(top)
+            if self.text["dep"][here].as_py() == "nsubj" or self.head[here] == top or (self.guarded and top == 0):
+                break
+            top = int(self.head[here])
+        here = place(top)
+        if self.text["dep"][here].as_py() != "nsubj" or (top == 0 if self.guarded else self.head[here] == top):
+            return None
+        if self.guarded:
+            lo, hi = np.array([min(self.n[0][here], top)]), np.array([max(self.n[1][here], top)])
+            start, end = (int(x[0]) for x in self._trim(at, lo, hi))
+            return row, start, min(end + 1, int(self.last[row]) + 1)
+        over = place(self.head[here])
+        low, high = self.n[0][over], self.n[1][over]
+        return row, int(low if low != _FAR else self.i[row]), int(high if high != -_FAR else self.i[row]) + 1
+
+
 def entities(tokens: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, start, end, label): the named entities with an accepted label."""
     doc = Window.partitionBy("doc_id").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -96,54 +199,6 @@ def entities(tokens: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id", "e").agg(F.min("tok_idx").alias("start"), (F.max("tok_idx") + 1).alias("end"), F.min("ent_type").alias("label"), F.min("sent_idx").alias("sent_idx")).drop("e")
 
 
-_NONE = "array<struct<start:int,end:int>>"
-
-
-def _span(start: Column, end: Column) -> Column:
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-
-
-def _candidates(t: Column, guarded: bool, blacklist: bool) -> Column:
-    """The spans that one token gives rise to, in order."""
-    none = F.array().cast(_NONE)
-    if guarded:
-        pronoun = t["tag"].isin(PRONOUN_TAGS)
-        skip = ~t["tag"].isin(KEEP_TAGS) | (t["dep"].isin(LEAVE_DEPS) & ~t["dep"].isin(KEEP_DEPS))
-    else:
-        pronoun = t["tag"].startswith("PRP")
-        skip = (~t["tag"].rlike("^(N|PRP|DT|IN)") | t["dep"].isin(LEAVE_DEPS)) & ~t["dep"].isin(KEEP_DEPS)
-    if blacklist:
-        skip = skip | t["lower"].isin(NO_COREF_WORDS)
-    alone = F.array(_span(t["tok_idx"], t["tok_idx"] + 1))
-    subtree = F.when((t["n_lefts"] > 0) | (t["n_rights"] > 0), F.array(_span(t["l_edge"], t["r_edge"] + 1))).otherwise(none)
-    own = _at(t["tok_idx"], "np")
-    if guarded:  # a marker whose span is empty takes its head's
-        mark = (t["tag"] == "IN") & (t["dep"] == "mark") & (own["start"] == own["end"])
-        own = F.when(mark, _at(t["head"], "np")).otherwise(own)
-    good = (own["end"] > own["start"]) & (_at(own["start"])["lower"] != POSSESSIVE)
-    phrase = F.array(own)
-    if not guarded:
-        inside = F.exists(F.slice("s", own["start"] - F.col("s_first") + 1, own["end"] - own["start"]), lambda x: x["dep"].isin(CONJUNCT_DEPS))
-        rest = _at(t["tok_idx"], "plain")
-        phrase = F.concat(phrase, F.when(inside & (rest["end"] > rest["start"]), F.array(rest)).otherwise(none))
-    rule = F.when(t["lower"] == POSSESSIVE, _possessor(t, guarded)).when(good, phrase).otherwise(none)
-    return F.when(F.coalesce(skip, F.lit(True)), none).when(pronoun, F.concat(alone, subtree)).otherwise(rule)
-
-
-def _possessor(t: Column, guarded: bool) -> Column:
-    """The span around the first subject that is met climbing the heads from a possessive mark."""
-    step = lambda i, _: F.when((_at(i)["dep"] == "nsubj") | (_at(i)["head"] == i) | (F.lit(guarded) & (i == 0)), i).otherwise(_at(i)["head"])
-    top = F.aggregate(F.sequence(F.lit(1), F.least(F.size("s"), F.lit(MOST_CLIMBS))), t["head"], step)
-    found = (_at(top)["dep"] == "nsubj") & ((top != 0) if guarded else (_at(top)["head"] != top))
-    if guarded:
-        around = _trim(F.least(_at(top)["n_min"], top), F.greatest(_at(top)["n_max"], top), guarded)
-        out = _span(around["start"], F.least(around["end"] + 1, F.col("s_last") + 1))
-    else:
-        over = _at(_at(top)["head"])
-        out = _span(F.coalesce(over["n_min"], t["tok_idx"]), F.coalesce(over["n_max"], t["tok_idx"]) + 1)
-    return F.when(found, F.array(out)).otherwise(F.array().cast(_NONE))
-
-
 def describe_mentions(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     """Spans with index and attributes: the mentions table.
 
