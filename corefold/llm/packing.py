@@ -32,8 +32,8 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "id", size_col: str = "n
     rows of an id are one item (of the largest size, should they differ), null ids are dropped, and an item of size 0 or null is one
     piece that needs no container (null). Containers are numbered from 0. The result depends on ids and sizes only.
     """
-    if capacity < 1:
-        raise ValueError("capacity must be positive")
+    if not 1 <= capacity < 1 << 23:
+        raise ValueError("capacity must be positive and below 2 ** 23, as lengths are coded with ranks")
     items = sizes.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.coalesce(F.max(size_col), F.lit(0)).cast("long").alias("size"))
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("long")
     pieces = items.select("id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))

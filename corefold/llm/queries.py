@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corefold.functions.lexical import PLAIN_FORMS, STRAY_CHARACTERS
 from corefold.llm import groups, mixing, overlap, packing, pieces, spans
 from corefold.llm.tokens import with_token_counts
-from corefold.runtime import table
+from corefold.runtime import stash, table
 
 
 def p1_found(spark, d):
@@ -92,6 +92,26 @@ def p5_fill(spark, d):
     return packing.fill_report(p5_containers(spark, d), _limit(spark, d, "container_tokens"))
 
 
+CHAR_CAPACITY = 16_384
+
+
+def p5_invariants(spark, d):
+    """What must hold of any packing, for the texts sized in characters: all items whole, no container overfull, at most one in a hundred too many."""
+    sizes = table(spark, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_tokens"))
+    packed = stash(packing.pack(sizes, CHAR_CAPACITY, "doc_id"), "packed")
+    items = packed.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.min("piece_start").alias("lo"), F.max("piece_end").alias("hi"),
+        F.sum((F.col("piece_start") != F.col("piece") * CHAR_CAPACITY).cast("int")).alias("misplaced"),
+    )
+    whole = (F.col("lo") == 0) & (F.col("hi") == F.col("n")) & (F.col("misplaced") == 0)
+    of_items = items.agg(F.count(F.lit(1)).alias("items"), F.sum("pieces").alias("pieces"), F.sum("n").alias("total"), F.sum((~whole).cast("long")).alias("broken"))
+    load = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    used = load.agg(F.count(F.lit(1)).alias("used"), (F.max("container_id") + 1).alias("numbered"), F.sum((F.col("load") > CHAR_CAPACITY).cast("long")).alias("overfull"))
+    both = of_items.crossJoin(F.broadcast(used))  # one row each
+    tight = F.col("used") <= F.ceil(F.col("total") / CHAR_CAPACITY) * 1.01 + 1
+    return both.select("items", "pieces", "total", "broken", "overfull", (F.col("used") == F.col("numbered")).alias("dense"), tight.alias("tight"))
+
+
 def _p6(spark, d, **options):
     targets = table(spark, d, "mix_targets")
     few = F.broadcast(targets.select("source").distinct())  # one row per target
@@ -113,6 +133,24 @@ def p6_reachable(spark, d):
     return _p6(spark, d, total=mixing.REACHABLE)[1]
 
 
+def p6_invariants(spark, d):
+    """What must hold of any mix, for the texts sized in characters, by source: the quota, no text used too often or for a source it is not of,
+    no more than the quota and one text, and whether the source can fill its quota.
+    """
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    rows = documents.where("text is not null").select(F.col("doc_id").alias("id"), "source", F.xxhash64("text").alias("f"), F.xxhash64(F.lit(1), "text").alias("g"), F.length("text").alias("size"))
+    selection, report = mixing.mix(rows, targets)
+    selection = stash(selection, "selection")
+    held = selection.join(documents.select(F.col("doc_id").alias("id"), F.col("source").alias("own"), F.md5("text").alias("text")).distinct(), "id")
+    caps = documents.join(targets.select("source", "max_repeats"), "source").groupBy(F.md5("text").alias("text")).agg(F.min("max_repeats").alias("cap"))
+    per_text = held.groupBy("text").agg(F.sum("uses").alias("uses"), F.min("source").alias("source")).join(caps, "text")
+    over = per_text.groupBy("source").agg(F.sum((F.col("uses") > F.col("cap")).cast("long")).alias("overused"))
+    of = held.groupBy("source").agg(F.sum((F.col("source") != F.col("own")).cast("long")).alias("stray"), F.max("size").alias("longest"), F.sum(F.col("uses") * F.col("size")).alias("sum"))
+    out = report.join(of, "source", "left").join(over, "source", "left").na.fill(0)
+    right = (F.col("sum") == F.col("reached")) & (F.col("reached") <= F.col("quota") + F.col("longest"))
+    return out.select("source", "quota", "stray", "overused", right.alias("within"), "short")
+
+
 # Greedy cuts over base(id, n, b1, ..., b4): n units, and the boundaries of each level from coarse to fine.
 _CUTS_SQL = """
 cuts(id, piece, begin, stop, carried, level) AS (
@@ -210,9 +248,11 @@ QUERIES = {
     "p3_contained": p3_contained,
     "p5_containers": p5_containers,
     "p5_fill": p5_fill,
+    "p5_invariants": p5_invariants,
     "p6_mix": p6_mix,
     "p6_shares": p6_shares,
     "p6_reachable": p6_reachable,
+    "p6_invariants": p6_invariants,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
 }
@@ -245,6 +285,14 @@ FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(span_end - span_star
     "p3_report": _P3_SQL + """
 SELECT split, source, count(*) AS records, count(p) AS overlapping, coalesce(sum(p), 0)::BIGINT AS pairs
 FROM d LEFT JOIN (SELECT a AS id, count(*) AS p FROM hit GROUP BY 1) USING (id) WHERE split IN ('dev', 'test') GROUP BY 1, 2""",
+    "p5_invariants": f"""WITH d AS (SELECT doc_id, max(length(coalesce(text, ''))) AS n FROM documents GROUP BY 1)
+SELECT count(*) AS items, sum(greatest(1, ceil(n / {CHAR_CAPACITY})))::BIGINT AS pieces, sum(n)::BIGINT AS total, 0::BIGINT AS broken, 0::BIGINT AS overfull, true AS dense, true AS tight FROM d""",
+    "p6_invariants": """WITH t AS (SELECT source, text, max(length(text)) AS n FROM documents JOIN mix_targets USING (source) WHERE length(text) > 0 GROUP BY 1, 2),
+c AS (SELECT text, min(max_repeats) AS cap FROM t JOIN mix_targets USING (source) GROUP BY 1),
+total AS (SELECT sum(n) AS total FROM (SELECT text, max(n) AS n FROM t GROUP BY 1)),
+a AS (SELECT source, sum(n * cap) AS most, max(n) AS longest FROM t JOIN c USING (text) GROUP BY 1)
+SELECT source, round(target_share * total)::BIGINT AS quota, 0::BIGINT AS stray, 0::BIGINT AS overused, true AS within,
+  coalesce(most, 0) + greatest(coalesce(longest, 0), 1) <= round(target_share * total) AS short FROM mix_targets LEFT JOIN a USING (source), total""",
     "p2_pieces": _P2_PIECES_SQL,
     "p2_text_pieces": _P2_TEXT_SQL,
     "p2_found": """SELECT DISTINCT conll_doc_id FROM feature_docs
