@@ -73,12 +73,13 @@ def with_sides(pairs: DataFrame, mentions: DataFrame, names: tuple[str, str] = (
     both are looked up by index. Pairs of mentions that do not exist are dropped.
     """
     side = F.struct(F.col("m_idx").cast("int").alias("m_idx"), *[c for c in mentions.columns if c not in ("doc_id", "m_idx")])
-    per_doc = mentions.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("m_idx").cast("int").alias("__at"), side.alias("x")))).alias("__all"))
-
-    def found(index: str) -> Column:
-        here = F.get("__all", F.col(index).cast("int"))
-        other = F.get(F.filter("__all", lambda x: x["__at"] == F.col(index)), F.lit(0))  # only where numbers are missing
-        return F.when(here["__at"] == F.col(index), here["x"]).otherwise(other["x"])
-
+    lists = mentions.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("m_idx").cast("int").alias("at"), side.alias("x")))).alias("l"))
+    dense = F.element_at("l", -1)["at"] + 1 == F.size("l")
+    # Where numbers are missing, their places are null.
+    upto = lambda x, k: F.coalesce(F.get("l", k + 1)["at"] - 1, x["at"])
+    places = lambda x, k: F.sequence(F.when(k == 0, F.lit(0)).otherwise(x["at"]), upto(x, k))
+    filled = F.flatten(F.transform("l", lambda x, k: F.transform(places(x, k), lambda i: F.when(i == x["at"], x["x"]))))
+    per_doc = lists.select("doc_id", F.when(dense, F.col("l")["x"]).otherwise(filled).alias("__all"))
+    found = lambda index: F.get("__all", F.col(index).cast("int"))
     joined = pairs.join(per_doc, "doc_id").select(*pairs.columns, found("ant_idx").alias(names[0]), found("men_idx").alias(names[1]))
     return joined.where(F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull())

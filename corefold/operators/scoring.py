@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,18 +41,27 @@ def score_vectors(rows: DataFrame, layers: Layers, features: str = "features", o
     """Replace the feature array by the network's score. A null or short array gives a null score."""
     width = layers[0][0].shape[1]
     model = rows.sparkSession.sparkContext.broadcast(layers)  # bounded by the model
-    keep = [c for c in rows.columns if c != features]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != features), f"{out} double"])
+    kept = [f for f in rows.schema.fields if f.name not in (features, out)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"{out} double"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            good = np.array([v is not None and len(v) == width for v in frame[features]], bool)
-            scores = np.full(len(frame), np.nan)
-            if good.any():
-                scores[good] = forward(model.value, np.stack(frame.loc[good, features].to_numpy()).astype(np.float64))
-            yield frame[keep].assign(**{out: scores})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, matrix = _matrix(batch[features], width)
+            scores = np.full(batch.num_rows, np.nan)
+            scores[good] = forward(model.value, matrix)
+            columns = [*(batch[f.name] for f in kept), pa.array(scores, pa.float64(), mask=np.isnan(scores))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), out])
 
-    return rows.mapInPandas(run, schema).withColumn(out, F.when(F.isnan(out), None).otherwise(F.col(out)))
+    return rows.select(*[F.col(f.name) for f in kept], features).mapInArrow(run, schema)
+
+
+def _matrix(lists: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a column of lists have ``width`` numbers (by default, as many as the longest), and these as a matrix."""
+    sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    width = int(sizes.max(initial=0)) if width is None else width
+    good = sizes == width
+    values = lists.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return good, values.reshape(int(good.sum()), width)
 
 
 def score_pairs(pairs: DataFrame, vectors: DataFrame, layers: Layers, rows: int = 20_000) -> DataFrame:
@@ -62,25 +73,28 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, layers: Layers, rows: int
     model = pairs.sparkSession.sparkContext.broadcast(layers)  # bounded by the model
     kind = pairs.schema["doc_id"].dataType.simpleString()
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[["doc_id", "men_idx", "ant_idx"]].assign(score=np.nan)
-        right = right[right["embedding"].notna()].sort_values("m_idx")
-        if not len(left) or not len(right):
-            return out
-        known, matrix = right["m_idx"].to_numpy(), np.stack(right["embedding"].to_numpy()).astype(np.float64)
-        places = [np.minimum(np.searchsorted(known, left[c].to_numpy()), len(known) - 1) for c in ("ant_idx", "men_idx")]
-        whole = (known[places[0]] == left["ant_idx"]) & (known[places[1]] == left["men_idx"]) & left["features"].notna()
-        good, scores = np.flatnonzero(whole), out["score"].to_numpy().copy()
-        for at in range(0, len(good), rows):
-            part = good[at : at + rows]
-            dense = np.stack(left["features"].to_numpy()[part]).astype(np.float64)
-            scores[part] = forward(model.value, np.hstack([matrix[places[0][part]], matrix[places[1][part]], dense]))
-        return out.assign(score=scores)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        scores = np.full(left.num_rows, np.nan)
+        if left.num_rows and right.num_rows:
+            order = np.argsort(right["m_idx"].to_numpy(), kind="stable")
+            held, matrix = _matrix(right["embedding"].take(pa.array(order)).combine_chunks())
+            known = right["m_idx"].to_numpy()[order][held]
+            good, dense = _matrix(left["features"].combine_chunks())
+            sides = [left[c].to_numpy() for c in ("ant_idx", "men_idx")]
+            if len(known):
+                places = [np.minimum(np.searchsorted(known, x), len(known) - 1) for x in sides]
+                whole = good & (known[places[0]] == sides[0]) & (known[places[1]] == sides[1])
+                at = np.cumsum(good) - 1  # the row of ``dense`` of each good pair
+                wanted = np.flatnonzero(whole)
+                for k in range(0, len(wanted), rows):
+                    part = wanted[k : k + rows]
+                    scores[part] = forward(model.value, np.hstack([matrix[places[0][part]], matrix[places[1][part]], dense[at[part]]]))
+        out = pa.array(scores, pa.float64(), mask=np.isnan(scores))
+        return pa.table([left["doc_id"], left["men_idx"], left["ant_idx"], out], names=["doc_id", "men_idx", "ant_idx", "score"])
 
     asked = pairs.select("doc_id", F.col("men_idx").cast("int").alias("men_idx"), F.col("ant_idx").cast("int").alias("ant_idx"), "features")
     given = vectors.select(F.col("doc_id").alias("doc"), F.col("m_idx").cast("int").alias("m_idx"), "embedding")
-    scored = asked.groupBy("doc_id").cogroup(given.groupBy("doc")).applyInPandas(run, f"doc_id {kind}, men_idx int, ant_idx int, score double")
-    return scored.withColumn("score", F.when(F.isnan("score"), None).otherwise(F.col("score")))
+    return asked.groupBy("doc_id").cogroup(given.groupBy("doc")).applyInArrow(run, f"doc_id {kind}, men_idx int, ant_idx int, score double")
 
 
 def score_words(rows: DataFrame, layers: Layers, vectors: np.ndarray, out: str = "score") -> DataFrame:
