@@ -202,23 +202,25 @@ def entities(tokens: DataFrame) -> DataFrame:
 def describe_mentions(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     """Spans with index and attributes: the mentions table.
 
-    A span's tokens are joined by position, and its root is the token whose head lies outside the span. Mentions
+    A span's tokens are cut from the document's array, and its root is the token whose head lies outside the span. Mentions
     are numbered from 0 in each document by (root, start, end). ``nested`` tells whether another mention of the
     sentence holds this one. ``ent_label`` is the label of the first accepted entity that contains the span, ``span_ent`` that of
-    the one entity, of any label, that all its tokens belong to.
+    the one entity, of any label, that all its tokens belong to. Tokens are numbered from 0 in each document, without gaps.
     """
-    covered = spans.select("doc_id", "start", "end", F.explode(F.sequence("start", F.col("end") - 1)).alias("tok_idx"))
-    t = covered.join(tokens, ["doc_id", "tok_idx"])
-    outside = (F.col("head") < F.col("start")) | (F.col("head") >= F.col("end")) | (F.col("head") == F.col("tok_idx"))
-    words = F.array_sort(F.collect_list(F.struct("tok_idx", "text", "ws", "lower", "tag")))
-    m = t.groupBy("doc_id", "start", "end").agg(
-        F.min(F.when(outside, F.col("tok_idx"))).alias("root"), F.min("sent_idx").alias("sent_idx"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"),
-        (F.max((F.col("ent_iob").isin(0, 2)) | ((F.col("ent_iob") == 3) & (F.col("tok_idx") > F.col("start"))))).alias("not_one"), F.min_by("ent_type", "tok_idx").alias("first_ent"),
-        F.max(F.col("tag").isin(CONJUNCTION_TAGS) & ~F.coalesce(F.col("ent_type").isin(ENTITY_LABELS), F.lit(False))).alias("is_list"), words.alias("w"),
+    fields = ["tok_idx", "text", "ws", "lower", "tag", "head", "sent_idx", "start_char", "end_char", "ent_type", "ent_iob"]
+    per_doc = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("all"))
+    # One row for each span and document; the slice is a column of its own, so that the array is not carried along.
+    m = spans.join(per_doc, "doc_id").select("doc_id", "start", "end", F.slice("all", F.col("start") + 1, F.col("end") - F.col("start")).alias("w"))
+    outside = lambda x: (x["head"] < F.col("start")) | (x["head"] >= F.col("end")) | (x["head"] == x["tok_idx"])
+    first, last = F.get("w", F.lit(0)), F.element_at("w", -1)
+    split = lambda x: x["ent_iob"].isin(0, 2) | ((x["ent_iob"] == 3) & (x["tok_idx"] > F.col("start")))
+    joint = lambda x: x["tag"].isin(CONJUNCTION_TAGS) & ~F.coalesce(x["ent_type"].isin(ENTITY_LABELS), F.lit(False))
+    m = m.where(F.size("w") > 0).select(
+        "doc_id", "start", "end", "w", F.coalesce(F.get(F.filter("w", outside), F.lit(0)), first).alias("r"), first["sent_idx"].alias("sent_idx"),
+        first["start_char"].alias("start_char"), last["end_char"].alias("end_char"), F.exists("w", split).alias("not_one"), first["ent_type"].alias("first_ent"),
+        F.exists("w", joint).alias("is_list"),
     )
-    m = m.withColumn("root", F.coalesce("root", "start"))
-    roots = tokens.select("doc_id", F.col("tok_idx").alias("root"), F.col("tag").alias("root_tag"), F.col("lower").alias("root_lower"), F.col("ent_type").alias("root_ent"))
-    m = m.join(roots, ["doc_id", "root"])
+    m = m.select("*", F.col("r.tok_idx").alias("root"), F.col("r.tag").alias("root_tag"), F.col("r.lower").alias("root_lower"), F.col("r.ent_type").alias("root_ent"))
     kind = F.when(F.col("is_list"), 3).when(F.col("root_tag").isin(PRONOUN_TAGS), 0).when(F.col("root_ent").isin(ENTITY_LABELS) | F.col("root_tag").isin(PROPER_TAGS), 2).otherwise(1)
     content = F.array_distinct(F.transform(F.filter("w", lambda x: x["tag"].isin(CONTENT_TAGS)), lambda x: x["lower"]))
     # The text of a span has the whitespace between its tokens but none after the last one.

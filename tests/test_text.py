@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from corefold import runtime
 from corefold.functions import features as feat
 from corefold.functions import lexical
-from corefold.operators import annotate, embed, mentions, scoring, training
+from corefold.operators import annotate, dialogue, embed, mentions, scoring, training
 from corefold.plans import corpus, evaluate, pipeline
 from corefold.sources import conll, vectors
+from corefold.streaming import documents
 
 TOKENS = "doc_id string, sent_idx int, tok_idx int, text string, lower string, ws string, tag string, pos string, dep string, head int, l_edge int, r_edge int, n_lefts int, n_rights int, ent_iob int, ent_type string, is_digit boolean, start_char int, end_char int"
 
@@ -406,6 +407,26 @@ def test_corpus_from_files_to_arrays(spark, tmp_path):
     assert conll.response_spans(gold.mentions, spark.createDataFrame([], "doc_id string, root int, m_idx int"), True, True).where("cluster is not null").count() == 0
 
 
+def test_plain_sentences_and_new_mentions(spark, tmp_path):
+    (tmp_path / "x").write_text(CORPUS)
+    rows = conll.document_tokens(conll.read_documents(spark, str(tmp_path / "x")))
+    got = conll.sentence_texts(conll.utterances(rows)).first().value
+    assert got == "#begin document (bc/x/00/x_0000); part 000\nThen Mary O'Neil left . \nShe saw Ann . \n#end document"
+    u = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "conv_id int, utt_idx int, text string")
+    added = spark.createDataFrame([(1, 1), (1, 1), (3, 0)], "conv_id int, utt_idx int")
+    assert [r.text for r in dialogue.last_utterances(u, added).collect()] == ["b"]
+    assert [r.text for r in dialogue.new_mentions(u, F.col("utt_idx") > 0).collect()] == ["b"]
+
+
+def test_a_stream_of_documents_equals_a_table(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Yesterday Ann Lee left. Then she saw Ann Lee."), (2, "")], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+    assert documents.resolve_documents(source, str(tmp_path / "out"), availableNow=True).awaitTermination(180)
+    got = spark.read.parquet(str(tmp_path / "out" / "documents")).drop("batch")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pipeline.run(docs).document_annotations().select(got.columns).collect()))
+
+
 def test_corpus_of_nothing_and_of_awkward_utterances(spark):
     schema = "doc_id long, utt_idx int, words array<string>, speaker string, tokens string"
     gold = spark.createDataFrame([(1, 1, 0, 9, "0"), (1, 1, 0, 1, None), (1, 0, 0, 1, "1"), (1, 2, 0, 1, "1")], "doc_id long, utt_idx int, start int, end int, label string")
