@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corefold.runtime import estimated_partitions
-
 TOKEN_COLUMNS = ["doc_id", "sent_idx", "tok_idx", "text", "lower", "ws", "tag", "pos", "dep", "head", "l_edge", "r_edge", "n_lefts", "n_rights", "ent_iob", "ent_type", "is_digit", "start_char", "end_char"]
 TOKEN_PATTERN = r"('s|’s|[\p{L}\p{N}]+|[^\s\p{L}\p{N}])(\s*)"
 # Closed word classes of the stand-in tagger.
@@ -35,11 +33,12 @@ _CHUNK_TAGS = ["DT", "NN", "NNP"]
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per token. Null ids and null or empty texts give no tokens; positions count from 0 in each document.
 
-    partitions: of the documents; by default one for every 4 MB of the input as Spark estimates it.
+    partitions: of the documents; by default one for every two million characters, which are counted in a pass over the texts: what Spark
+    expects of a join is the product of its sides, and of compressed tables a part of their size.
     """
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     # Tokens are many times the size of the texts, by which adaptive execution would coalesce; so the number is given.
-    texts = texts.repartition(partitions or estimated_partitions(docs, 4 << 20), "doc_id")
+    texts = texts.repartition(partitions or _partitions(texts), "doc_id")
     parts = texts.select("doc_id", F.regexp_extract_all("t", F.lit(TOKEN_PATTERN), F.lit(1)).alias("w"), F.regexp_extract_all("t", F.lit(TOKEN_PATTERN), F.lit(2)).alias("ws"), F.length(F.regexp_extract("t", r"^\s*", 0)).alias("lead"))
     flat = parts.select("doc_id", "lead", F.posexplode(F.arrays_zip("w", "ws")).alias("tok_idx", "x")).select("doc_id", "lead", "tok_idx", F.col("x.w").alias("text"), F.col("x.ws").alias("ws"))
     doc = Window.partitionBy("doc_id").orderBy("tok_idx")
@@ -53,6 +52,11 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     return _parse(tokens.withColumn("tag", tag))
 
 
+def _partitions(texts: DataFrame, characters: int = 2_000_000) -> int:
+    total = texts.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
+    return max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // characters))
+
+
 def _parse(tokens: DataFrame) -> DataFrame:
     """Flat noun chunks: the last token is the head; chunk heads and all other tokens hang on the sentence's last token."""
     sent = Window.partitionBy("doc_id", "sent_idx").orderBy("tok_idx")

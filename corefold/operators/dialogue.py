@@ -43,16 +43,18 @@ def speakers(utterances: DataFrame, names: DataFrame | None = None, compat_chara
     return out.withColumn("tokens", F.flatten(F.transform("names", name_tokens)))
 
 
-def utterance_of(mentions: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Add utt_idx to mentions (doc_id, start_char, ...): the utterance in whose characters they start. sizes: (doc_id, utt_idx, n_chars) of all utterances, in order."""
+def utterance_of(mentions: DataFrame, sizes: DataFrame, *also: str) -> DataFrame:
+    """Add utt_idx to mentions (doc_id, start_char, ...): the utterance in whose characters they start. sizes: (doc_id, utt_idx, n_chars) of all utterances, in
+    order. also: columns of the utterances that are added too.
+    """
     before = Window.partitionBy("doc_id").orderBy("utt_idx").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum("n_chars").over(before), F.lit(0)).cast("long")
     nothing = F.lit(None).cast(mentions.drop("doc_id").schema)
-    starts = sizes.select("doc_id", begin.alias("at"), "utt_idx", nothing.alias("x"))
-    rows = mentions.select("doc_id", F.col("start_char").cast("long").alias("at"), F.lit(None).cast("int").alias("utt_idx"), F.struct(*[c for c in mentions.columns if c != "doc_id"]).alias("x"))
+    starts = sizes.select("doc_id", begin.alias("at"), F.struct(F.col("utt_idx").cast("int").alias("utt_idx"), *also).alias("u"), nothing.alias("x"))
+    rows = mentions.select("doc_id", F.col("start_char").cast("long").alias("at"), F.lit(None).cast(starts.schema["u"].dataType).alias("u"), F.struct(*[c for c in mentions.columns if c != "doc_id"]).alias("x"))
     order = Window.partitionBy("doc_id").orderBy("at", F.col("x").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = starts.unionByName(rows).withColumn("utt_idx", F.last("utt_idx", ignorenulls=True).over(order))
-    return placed.where("x is not null").select("doc_id", "utt_idx", "x.*")
+    placed = starts.unionByName(rows).withColumn("u", F.last("u", ignorenulls=True).over(order))
+    return placed.where("x is not null").select("doc_id", "u.*", "x.*")
 
 
 def with_speakers(mentions: DataFrame, tokens: DataFrame, utterances: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -121,6 +121,12 @@ class _Sentences:
         return np.maximum(lo, np.minimum(start, self.last[rows]) if self.guarded else start), last + 1
 
     def spans(self, blacklist: bool) -> pa.RecordBatch:
+        rows, begins, ends = self.found(blacklist)
+        columns = [self.doc.take(pa.array(rows)), pa.array(begins.astype(np.int32)), pa.array(ends.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end"])
+
+    def found(self, blacklist: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of a token in the span's sentence, start, end) of the rules' spans."""
         every = np.arange(len(self.i))
         leave, keep = self._in("dep", LEAVE_DEPS), self._in("dep", KEEP_DEPS)
         if self.guarded:
@@ -167,8 +173,7 @@ class _Sentences:
             add(*(np.array(x, np.int64) for x in zip(*held)))
         rows, begins, ends = map(np.concatenate, (rows, begins, ends))
         real = ends > begins
-        columns = [self.doc.take(pa.array(rows[real])), pa.array(begins[real].astype(np.int32)), pa.array(ends[real].astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end"])
+        return rows[real], begins[real], ends[real]
 
     def _possessor(self, row: int) -> tuple[int, int, int] | None:
         """(row, start, end) of the span around the first subject that is met climbing the heads from a possessive mark."""
@@ -232,6 +237,126 @@ def describe_mentions(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     return with_nested(number_mentions(m))
 
 
+def detect_mentions(tokens: DataFrame, profile: str = "inference", blacklist: bool = True) -> DataFrame:
+    """``describe_mentions`` of ``extract_spans``: the same table in one pass over whole documents, many at a time.
+
+    Tokens are put together by document, in order, and only mentions leave; a partitioning by document is reused.
+    """
+    if profile not in ("inference", "training"):
+        raise ValueError(profile)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx"))
+    rows = tokens.select("doc_id", "sent_idx", *_FIELDS, *_MORE_FIELDS).withColumn("row", place)
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(_mention_rows(profile == "inference", blacklist), f"doc_id {kind}, {_MENTION}")
+    at = found.columns.index("text")
+    return found.select(*found.columns[:at], F.lower("text").alias("span_lower"), *found.columns[at:])
+
+
+_MORE_FIELDS = ["text", "ws", "start_char", "end_char", "ent_type", "ent_iob"]
+_MENTION = (
+    "start int, end int, root int, sent_idx int, start_char int, end_char int, mention_type int, root_lower string, root_tag string, text string, "
+    "content_words array<string>, span_ent string, ent_label string, m_idx int, n_mentions int, nested boolean"
+)
+
+
+def _mention_rows(guarded: bool, blacklist: bool, least: int = 50_000):
+    """Batches of tokens in the order of documents to mentions; ``least`` tokens and the rest of their last document at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            starts = np.flatnonzero(batch["row"].to_numpy() == 1)
+            if len(starts) and n + starts[-1] >= least:  # the last document may go on in the next batch
+                last = int(starts[-1])
+                yield _described_batch(pa.Table.from_batches([*held, batch.slice(0, last)]), guarded, blacklist)
+                held, n, batch = [], 0, batch.slice(last)
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield _described_batch(pa.Table.from_batches(held), guarded, blacklist)
+
+    return run
+
+
+def _described_batch(table: pa.Table, guarded: bool, blacklist: bool) -> pa.RecordBatch:
+    table = table.combine_chunks()
+    column = {c: table[c].combine_chunks() for c in table.column_names}
+    number = lambda c: pc.fill_null(column[c], -1).to_numpy().astype(np.int64)
+    within = lambda c, words: pc.fill_null(pc.is_in(column[c], pa.array(words)), False).to_numpy(zero_copy_only=False)
+    n, i, head, sent, iob = table.num_rows, number("tok_idx"), number("head"), number("sent_idx"), number("ent_iob")
+    opens = number("row") == 1
+    doc = np.cumsum(opens) - 1
+    doc_row = np.flatnonzero(opens)[doc]  # of a document's first token
+    begins = opens | np.r_[True, sent[1:] != sent[:-1]]
+    sentence = np.cumsum(begins) - 1
+    sentences = _Sentences(table.append_column("first", pa.array(i[begins][sentence])), guarded)
+
+    # Named entities: runs of marked tokens with one number of beginnings so far.
+    labels = sorted(ENTITY_LABELS)
+    accepted = within("ent_type", labels)
+    marked = np.flatnonzero(np.isin(iob, (1, 3)) & accepted)
+    run = np.cumsum(iob == 3)
+    turns = np.flatnonzero(np.r_[True, (run[marked][1:] != run[marked][:-1]) | (doc[marked][1:] != doc[marked][:-1])]) if len(marked) else marked
+    code = pc.fill_null(pc.index_in(column["ent_type"], pa.array(labels)), -1).to_numpy().astype(np.int64)
+    ent_lo, ent_hi = marked[turns], marked[np.r_[turns[1:], len(marked)] - 1] + 1 if len(marked) else marked
+    ent_code, ent_sent = (np.minimum.reduceat(x[marked], turns) if len(marked) else marked for x in (code, sent))
+
+    row, start, end = sentences.found(blacklist)
+    base = doc_row[row]
+    key = np.unique(np.r_[(base + start) * (n + 1) + base + end, ent_lo * (n + 1) + ent_hi])
+    lo, hi = key // (n + 1), key % (n + 1)
+    start, end, size, m = i[lo], i[hi - 1] + 1, hi - lo, len(lo)
+    span = np.repeat(np.arange(m), size)
+    at = np.arange(len(span)) + np.repeat(lo - (np.cumsum(size) - size), size)  # all spans' tokens, one after the other
+    some = lambda flags: np.bincount(span[flags], minlength=m) > 0
+
+    outside = np.flatnonzero((head[at] < start[span]) | (head[at] >= end[span]) | (head[at] == i[at]))[::-1]
+    root = lo.copy()
+    root[span[outside]] = at[outside]  # the first of a span is written last
+    parted = some((iob[at] == -1) | (iob[at] == 0) | (iob[at] == 2) | ((iob[at] == 3) & (i[at] > start[span])))
+    is_list = some((within("tag", CONJUNCTION_TAGS) & ~accepted)[at])
+    kind = np.where(is_list, 3, np.where(within("tag", PRONOUN_TAGS)[root], 0, np.where(accepted[root] | within("tag", PROPER_TAGS)[root], 2, 1)))
+
+    telling = np.flatnonzero(within("tag", CONTENT_TAGS)[at])
+    words = pc.fill_null(pc.dictionary_encode(column["lower"]).indices, n).to_numpy().astype(np.int64)
+    _, firsts = np.unique(span[telling] * (n + 1) + words[at[telling]], return_index=True)
+    telling = telling[np.sort(firsts)]
+    offsets = np.r_[0, np.cumsum(np.bincount(span[telling], minlength=m))].astype(np.int32)
+    content = pa.ListArray.from_arrays(pa.array(offsets), column["lower"].take(pa.array(at[telling])))
+
+    # The text of a span has the whitespace between its tokens but none after the last one.
+    text, ws = column["text"].to_pylist(), column["ws"].to_pylist()
+    parts = [t + w if t is not None and w is not None else "" for t, w in zip(text, ws)]
+    place = np.r_[0, np.cumsum([len(x) for x in parts])]
+    whole = "".join(parts)
+    texts = [None if text[z] is None else whole[a:b] + text[z] for a, b, z in zip(place[lo].tolist(), place[hi - 1].tolist(), (hi - 1).tolist())]
+
+    held = np.searchsorted(ent_lo, lo, "right") - 1
+    label = pa.nulls(m, pa.string())
+    if len(ent_lo):
+        inside = (held >= 0) & (hi <= ent_hi[held]) & (ent_sent[held] == sent[lo])
+        label = pa.array(labels).take(pa.array(ent_code[held], mask=~inside))
+
+    order = np.lexsort((hi, lo, root, doc[lo]))
+    each = np.bincount(doc[lo], minlength=int(doc[-1]) + 1)
+    number_in = np.empty(m, np.int64)
+    number_in[order] = np.arange(m) - np.repeat(np.cumsum(each) - each, each)
+    order = np.lexsort((-hi, lo, sentence[lo]))
+    reach = np.r_[-1, np.maximum.accumulate(sentence[lo][order] * (n + 1) + hi[order])[:-1]] if m else order
+    nested = np.empty(m, bool)
+    nested[order] = reach >= sentence[lo][order] * (n + 1) + hi[order]
+
+    ints = lambda x: pa.array(x.astype(np.int32))
+    take = lambda c, rows: column[c].take(pa.array(rows))
+    as_int = lambda c, rows: take(c, rows).cast(pa.int32())
+    first_ent = column["ent_type"].take(pa.array(lo, mask=parted))
+    columns = [
+        take("doc_id", lo), ints(start), ints(end), ints(i[root]), as_int("sent_idx", lo), as_int("start_char", lo), as_int("end_char", hi - 1), ints(kind),
+        take("lower", root), take("tag", root), pa.array(texts, pa.string()), content, first_ent, label, ints(number_in), ints(each[doc[lo]]), pa.array(nested),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", *(x.split()[0] for x in _MENTION.split(", "))])
+
+
 def number_mentions(mentions: DataFrame) -> DataFrame:
     """Add m_idx and n_mentions."""
     order = Window.partitionBy("doc_id").orderBy("root", "start", "end")

@@ -1,7 +1,8 @@
 """Candidate pairs of mentions: an index band, shared content words, or all earlier mentions.
 
 A mentions table has doc_id and m_idx (0, 1, ... in each document). Bands are generated from the index, not
-joined. The word join is bucketed by index, so that its size follows the band and not the document.
+joined, and word matches from the list of a word's mentions, as far back as they may reach. Mentions are partitioned by document
+before their pairs are made, by the same rule here and in ``with_sides``; so pairs, the largest table, are never sent.
 """
 
 from __future__ import annotations
@@ -9,42 +10,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corefold.runtime import by_document
+
 
 def band_pairs(mentions: DataFrame, max_dist: int | None = 50) -> DataFrame:
     """(doc_id, men_idx, ant_idx) of all antecedents at most ``max_dist`` back; of all earlier ones with None."""
-    lowest = F.lit(0) if max_dist is None else F.greatest(F.lit(0), F.col("m_idx") - max_dist)
+    lowest = F.col("m_idx") - band_length(max_dist)
     return mentions.where("m_idx > 0").select("doc_id", F.col("m_idx").alias("men_idx"), F.explode(F.sequence(lowest, F.col("m_idx") - 1)).alias("ant_idx"))
 
 
-def match_pairs(mentions: DataFrame, max_dist_match: int | None = 500, beyond: int = 0, compat_unsigned: bool = False) -> DataFrame:
+def band_length(max_dist: int | None) -> Column:
+    """How many antecedents ``band_pairs`` gives a mention, where all earlier numbers are there."""
+    return F.col("m_idx") if max_dist is None else F.least(F.col("m_idx"), F.lit(max_dist))
+
+
+def match_pairs(mentions: DataFrame, max_dist_match: int | None = 500, beyond: int = 0, compat_unsigned: bool = False, new: Column | None = None) -> DataFrame:
     """Pairs that share a content word, between ``beyond`` + 1 and ``max_dist_match`` back.
 
-    compat_unsigned leaves out mentions before index ``max_dist_match``, as unsigned index arithmetic does.
+    compat_unsigned leaves out mentions before index ``max_dist_match``, as unsigned index arithmetic does. new: a condition on the later mention.
     """
-    words = mentions.select("doc_id", F.col("m_idx").cast("int").alias("i"), F.explode(F.array_distinct("content_words")).alias("word"))
-    keys = ["doc_id", "word"]
-    left, right = words, words
-    if max_dist_match is not None:
-        block = F.floor(F.col("i") / max_dist_match)
-        left = words.withColumn("block", block)
-        right = words.withColumn("block", F.explode(F.array(block, block + 1)))
-        keys.append("block")
-    left = left.withColumnRenamed("i", "men_idx")
-    right = right.withColumnRenamed("i", "ant_idx")
+    # The mentions of a word in a document are one list, in order; those at most so far back are among as many places before.
+    one = F.struct(F.col("m_idx").cast("int").alias("i"), (F.lit(True) if new is None else new).alias("new"))
+    words = by_document(mentions, "doc_id", "content_words", one.alias("m")).select("doc_id", "m", F.explode(F.array_distinct("content_words")).alias("word"))
+    lists = words.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("m")).alias("l")).where(F.size("l") > 1)
+    later = lists.select("doc_id", F.col("l")["i"].alias("l"), F.posexplode("l").alias("k", "m")).where("m.new")
+    behind = F.col("k") if max_dist_match is None else F.least("k", F.lit(max_dist_match))
+    pairs = later.select("doc_id", F.col("m.i").alias("men_idx"), F.explode(F.slice("l", F.col("k") - behind + 1, behind)).alias("ant_idx"))
     far = F.col("men_idx") - F.col("ant_idx")
-    near = far > beyond if max_dist_match is None else far.between(beyond + 1, max_dist_match)
-    pairs = left.join(right, keys).where(near)
+    pairs = pairs.where(far > beyond if max_dist_match is None else far.between(beyond + 1, max_dist_match))
     if compat_unsigned and max_dist_match is not None:
         pairs = pairs.where(F.col("men_idx") >= max_dist_match)
-    return pairs.select("doc_id", "men_idx", "ant_idx").distinct()
+    return pairs.distinct()
 
 
-def candidate_pairs(mentions: DataFrame, max_dist: int | None = 50, max_dist_match: int | None = 500, compat_unsigned: bool = False) -> DataFrame:
-    """The union of the band and the word matches. Matches are made beyond the band only, so the union needs no distinct."""
-    band = band_pairs(mentions, max_dist)
+def candidate_pairs(mentions: DataFrame, max_dist: int | None = 50, max_dist_match: int | None = 500, compat_unsigned: bool = False, new: Column | None = None) -> DataFrame:
+    """The union of the band and the word matches. Matches are made beyond the band only, so the union needs no distinct.
+
+    new: a condition on the later mention of a pair. All pairs of a document are made where its mentions are.
+    """
+    band = band_pairs(by_document(mentions, "doc_id", "m_idx", *([] if new is None else [new.alias("new")])).where(F.lit(True) if new is None else F.col("new")), max_dist)
     if max_dist is None or max_dist_match is not None and max_dist_match <= max_dist:
         return band
-    return band.unionByName(match_pairs(mentions, max_dist_match, max_dist, compat_unsigned))
+    return band.unionByName(match_pairs(mentions, max_dist_match, max_dist, compat_unsigned, new))
 
 
 def pairs_of_new(pairs: DataFrame, mentions: DataFrame, is_new: Column) -> DataFrame:
@@ -69,11 +76,11 @@ def self_pairs(mentions: DataFrame) -> DataFrame:
 def with_sides(pairs: DataFrame, mentions: DataFrame, names: tuple[str, str] = ("a", "m")) -> DataFrame:
     """Add both mentions as structs ``a`` (antecedent) and ``m``.
 
-    The pairs, the largest table, are partitioned once, by document: a document's mentions are one array, in which
-    both are looked up by index. Pairs of mentions that do not exist are dropped.
+    A document's mentions are one array, in which both are looked up by index. The mentions are partitioned as ``candidate_pairs`` of
+    as many are, so that these are not sent. Pairs of mentions that do not exist are dropped.
     """
     side = F.struct(F.col("m_idx").cast("int").alias("m_idx"), *[c for c in mentions.columns if c not in ("doc_id", "m_idx")])
-    lists = mentions.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("m_idx").cast("int").alias("at"), side.alias("x")))).alias("l"))
+    lists = by_document(mentions, "doc_id", "m_idx", side.alias("x")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("m_idx").cast("int").alias("at"), "x"))).alias("l"))
     dense = F.element_at("l", -1)["at"] + 1 == F.size("l")
     # Where numbers are missing, their places are null.
     upto = lambda x, k: F.coalesce(F.get("l", k + 1)["at"] - 1, x["at"])
@@ -81,5 +88,6 @@ def with_sides(pairs: DataFrame, mentions: DataFrame, names: tuple[str, str] = (
     filled = F.flatten(F.transform("l", lambda x, k: F.transform(places(x, k), lambda i: F.when(i == x["at"], x["x"]))))
     per_doc = lists.select("doc_id", F.when(dense, F.col("l")["x"]).otherwise(filled).alias("__all"))
     found = lambda index: F.get("__all", F.col(index).cast("int"))
-    joined = pairs.join(per_doc, "doc_id").select(*pairs.columns, found("ant_idx").alias(names[0]), found("men_idx").alias(names[1]))
+    # A partition's arrays are those of ``each`` mentions or of one document; hashed, they spare a sort of the pairs.
+    joined = pairs.join(per_doc.hint("shuffle_hash"), "doc_id").select(*pairs.columns, found("ant_idx").alias(names[0]), found("men_idx").alias(names[1]))
     return joined.where(F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull())

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corefold.functions.features import clipped_sigmoid
@@ -29,9 +29,13 @@ def pair_labels(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def mention_labels(mentions: DataFrame) -> DataFrame:
     """(doc_id, m_idx, label): 1 for a mention without an earlier one of its gold label or without a label; else 0. No pairs are needed."""
+    return mentions.select("doc_id", "m_idx", new_entity().alias("label"))
+
+
+def new_entity() -> Column:
+    """The label of ``mention_labels`` as a column over mentions."""
     order = Window.partitionBy("doc_id", "gold_label").orderBy("m_idx")
-    new = F.col("gold_label").isNull() | (F.row_number().over(order) == 1)
-    return mentions.select("doc_id", "m_idx", new.cast("int").alias("label"))
+    return (F.col("gold_label").isNull() | (F.row_number().over(order) == 1)).cast("int")
 
 
 def ranking_targets(labelled: DataFrame, costs: dict[str, float] = COSTS) -> DataFrame:

@@ -7,30 +7,42 @@ features are those of ``pipeline``. Corpus words and parser tokens are aligned b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corefold.functions import features as feat
 from corefold.functions.lexical import clean_token, genre
 from corefold.operators import annotate, dialogue, embed, mentions, pairs, training
-from corefold.runtime import stash
+from corefold.runtime import by_document, stash
 from corefold.sources import conll
-from corefold.sources.vectors import global_rows
+from corefold.sources.vectors import document_offsets
 
 
 @dataclass
 class Corpus:
-    """tokens: annotated, with utt_idx. mentions: ``describe_mentions`` with gold_label, speaker and genre. gold: spans of parser tokens.
-    mention_arrays and pair_arrays: the training arrays, see ``arrays``.
+    """mentions: ``describe_mentions`` with gold_label, speaker and genre. mention_arrays and pair_arrays: the training arrays, see ``arrays``.
+    annotated: the parser's tokens; utterances: (doc_id, utt_idx, words, speaker_id); places: gold spans in characters of the document's text.
+
+    What the arrays do not need is made when first asked for: tokens, annotated, with utt_idx; gold, the spans of parser tokens.
     """
 
-    tokens: DataFrame
+    annotated: DataFrame
+    utterances: DataFrame
+    places: DataFrame
     mentions: DataFrame
-    gold: DataFrame
     mention_arrays: DataFrame
     pair_arrays: DataFrame
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return stash(_with_utterances(self.annotated, self.utterances), "tokens")
+
+    @cached_property
+    def gold(self) -> DataFrame:
+        return stash(_gold_tokens(self.places, self.annotated), "gold")
+
     def undetected(self) -> DataFrame:
         return mentions.undetected_gold(self.mentions, self.gold)
 
@@ -64,15 +76,23 @@ def prepare(
     """
     clean = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: clean_token(w))
     utts = stash(utterances.select("doc_id", "utt_idx", clean.alias("words"), F.col("speaker").alias("speaker_id")), "utterances")
-    tokens = stash(_with_utterances(parser(document_texts(utts)), utts), "tokens")
-    spans = stash(_gold_spans(gold, utts, tokens), "gold")
-    found = spans.select("doc_id", "start", "end").distinct() if use_gold_mentions else mentions.extract_spans(tokens, profile, blacklist)
-    described = mentions.link_gold(mentions.describe_mentions(found, tokens), spans)
-    described = dialogue.with_speakers(described, tokens, utts)
+    tokens = parser(stash(document_texts(utts), "texts"))
+    places = stash(_gold_places(gold, utts), "places")
+    if use_gold_mentions:
+        tokens = stash(tokens, "tokens")
+        described = mentions.describe_mentions(_gold_tokens(places, tokens).select("doc_id", "start", "end").distinct(), tokens)
+    else:
+        described = mentions.detect_mentions(tokens, profile, blacklist)
+    # Tokens do not share their first or last characters, so a span's characters stand for its tokens.
+    labels = places.groupBy("doc_id", "start_char", "end_char").agg(F.min("label").alias("gold_label"))
+    described = described.join(labels, ["doc_id", "start_char", "end_char"], "left")
+    parts = F.coalesce(dialogue.name_tokens(F.col("speaker_id").cast("string")), F.array().cast("array<string>"))
+    said = utts.select("doc_id", "utt_idx", _characters().alias("n_chars"), F.col("speaker_id").cast("string").alias("speaker_id"), parts.alias("speaker_tokens"))
+    described = dialogue.utterance_of(described, said, "speaker_id", "speaker_tokens")
     codes = None if names is None else names.groupBy("doc_id").agg(F.min(genre(F.col("name"))).alias("genre"))
     described = described.withColumn("genre", F.lit(None).cast("int")) if codes is None else described.join(codes, "doc_id", "left")
     described = stash(described, "mentions")
-    return Corpus(tokens, described, spans, *arrays(described, max_dist, profile))
+    return Corpus(tokens, utts, places, described, *arrays(described, max_dist, profile))
 
 
 def document_texts(utts: DataFrame) -> DataFrame:
@@ -82,9 +102,14 @@ def document_texts(utts: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("u", lambda u: u["t"]), "\n").alias("text"))
 
 
+def _characters() -> Column:
+    """Of an utterance in the document's text, with the line break."""
+    return F.aggregate("words", F.lit(1), lambda acc, w: acc + F.length(w) + 1)
+
+
 def _words(utts: DataFrame) -> DataFrame:
     """(doc_id, utt_idx, i, start_char, end_char) of the corpus words in the document's text."""
-    sizes = utts.select("doc_id", "utt_idx", "words", F.aggregate("words", F.lit(1), lambda acc, w: acc + F.length(w) + 1).alias("n"))
+    sizes = utts.select("doc_id", "utt_idx", "words", _characters().alias("n"))
     before = Window.partitionBy("doc_id").orderBy("utt_idx").rowsBetween(Window.unboundedPreceding, -1)
     based = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     words = based.select("doc_id", "utt_idx", "base", F.posexplode("words").alias("i", "w"))
@@ -100,16 +125,26 @@ def _with_utterances(tokens: DataFrame, utts: DataFrame) -> DataFrame:
     return tokens.join(starts, ["doc_id", "start_char"], "left").withColumn("utt_idx", F.last("utt_idx", ignorenulls=True).over(order)).select(*tokens.columns, "utt_idx")
 
 
-def _gold_spans(gold: DataFrame, utts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, end, label) in parser tokens of the gold spans (in words) that lie inside their utterance."""
-    words = stash(_words(utts), "words")
-    first = words.select("doc_id", "utt_idx", F.col("i").alias("start"), "start_char")
-    last = words.select("doc_id", "utt_idx", (F.col("i") + 1).alias("end"), "end_char")
-    spans = gold.where("label is not null and end > start").select("doc_id", "utt_idx", "start", "end", "label").distinct()
-    placed = spans.join(first, ["doc_id", "utt_idx", "start"]).join(last, ["doc_id", "utt_idx", "end"]).select("doc_id", "start_char", "end_char", "label")
-    begin = tokens.select("doc_id", "start_char", F.col("tok_idx").alias("start"))
-    stop = tokens.select("doc_id", "end_char", (F.col("tok_idx") + 1).alias("end"))
-    return placed.join(begin, ["doc_id", "start_char"]).join(stop, ["doc_id", "end_char"]).select("doc_id", "start", "end", "label")
+def _gold_places(gold: DataFrame, utts: DataFrame) -> DataFrame:
+    """(doc_id, start_char, end_char, label) in the document's text of the gold spans (in words) that lie inside their utterance."""
+    before = Window.partitionBy("doc_id").orderBy("utt_idx").rowsBetween(Window.unboundedPreceding, -1)
+    based = utts.select("doc_id", "utt_idx", "words", F.coalesce(F.sum(_characters()).over(before), F.lit(0)).alias("base"))
+    spans = gold.where("label is not null and end > start and start >= 0").select("doc_id", "utt_idx", "start", "end", "label").distinct()
+    size = lambda lo, n: F.aggregate(F.slice("words", lo, n), F.lit(0), lambda acc, w: acc + F.length(w) + 1)
+    first = F.col("base") + size(1, F.col("start").cast("int"))
+    placed = spans.join(based, ["doc_id", "utt_idx"]).where(F.col("end") <= F.size("words"))
+    placed = placed.withColumn("first", first).withColumn("last", F.col("first") + size(F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")) - 1)
+    return placed.select("doc_id", F.col("first").cast("int").alias("start_char"), F.col("last").cast("int").alias("end_char"), "label")
+
+
+def _gold_tokens(places: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(doc_id, start, end, label) in parser tokens of the spans that begin and end where tokens do."""
+    # Tokens are passed once: a document's positions are two arrays, in which its few spans are looked up.
+    held = tokens.select("doc_id", F.struct("tok_idx", "start_char", "end_char").alias("t"))
+    per_doc = held.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("t")).select("doc_id", F.col("t.tok_idx").alias("i"), F.col("t.start_char").alias("s"), F.col("t.end_char").alias("e"))
+    at = places.join(per_doc, "doc_id").select("doc_id", "label", "i", F.array_position("s", F.col("start_char")).cast("int").alias("a"), F.array_position("e", F.col("end_char")).cast("int").alias("b"))
+    at = at.where("a > 0 and b > 0")
+    return at.select("doc_id", F.element_at("i", F.col("a")).alias("start"), (F.element_at("i", F.col("b")) + 1).alias("end"), "label")
 
 
 def arrays(described: DataFrame, max_dist: int | None = None, profile: str = "training") -> tuple[DataFrame, DataFrame]:
@@ -118,21 +153,26 @@ def arrays(described: DataFrame, max_dist: int | None = None, profile: str = "tr
     mentions: (doc_id, m_idx, flat_idx, features (6), label, pairs_length, pairs_start, location (start, end, utterance, mention));
     pairs: (doc_id, men_idx, ant_idx, pair_row, pairs_ant_index, features (9), label).
     """
-    both = pairs.with_sides(pairs.band_pairs(described, max_dist), described.drop("text", "start_char", "end_char"))
-    flags = feat.speaker_flags(F.col("a"), F.col("m"))
-    same = F.coalesce(F.col("a.gold_label") == F.col("m.gold_label"), F.lit(False)).cast("int")
-    rows = both.select("doc_id", "men_idx", "ant_idx", feat.compressed_pair(F.col("a"), F.col("m"), *flags, profile).alias("features"), same.alias("label"))
-    rows = stash(rows, "pairs")
-    m = F.struct(*[c for c in described.columns if c not in ("doc_id", "genre")])
+    length = pairs.band_length(max_dist)
+    sizes = described.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("p"))
+    # A mention's pairs start behind those of the document's earlier mentions: 0 + 1 + 2 + ..., from max_dist on always as many.
+    start = F.col("p_base") + length * (length - 1) / 2 + (F.col("m_idx") - length) * (0 if max_dist is None else max_dist)
+    place = described.join(document_offsets(sizes), "doc_id").withColumn("pairs_length", length.cast("long")).withColumn("pairs_start", start.cast("long")).drop("p_base")
+    place = stash(place, "placed")
+    both = pairs.with_sides(pairs.band_pairs(by_document(place, "doc_id", "m_idx"), max_dist), place.drop("text", "start_char", "end_char"))
+    a, m = F.col("a"), F.col("m")
+    flags = feat.speaker_flags(a, m)
+    same = F.coalesce(a["gold_label"] == m["gold_label"], F.lit(False)).cast("int")
+    row = m["pairs_start"] + F.col("ant_idx") - F.col("men_idx") + m["pairs_length"]
+    rows = both.select("doc_id", "men_idx", "ant_idx", feat.compressed_pair(a, m, *flags, profile).alias("features"), same.alias("label"), row.alias("pair_row"), (m["m_base"] + F.col("ant_idx")).alias("pairs_ant_index"))
     code = F.coalesce("genre", F.lit(-1))  # an unknown genre has no place in the one-hot code
-    own = described.select("doc_id", "m_idx", m.alias("m"), code.alias("genre"))
-    place = F.struct("m.start", "m.end", F.col("m.utt_idx").alias("utterance"), F.col("m_idx").alias("mention"))
-    features = feat.compressed_mention(F.col("m"), F.col("m.n_mentions"), F.col("genre"))
-    mine = own.select("doc_id", "m_idx", features.alias("features"), place.alias("location"))
-    mine = mine.join(training.mention_labels(described), ["doc_id", "m_idx"])
-    counts = rows.groupBy("doc_id", F.col("men_idx").alias("m_idx")).agg(F.count(F.lit(1)).alias("pairs_length"))
-    mine = mine.join(counts, ["doc_id", "m_idx"], "left").na.fill(0, ["pairs_length"])
-    return global_rows(mine, rows)
+    me = F.struct("mention_type", "start", "end", "m_idx", "nested")
+    where = F.struct("start", "end", F.col("utt_idx").alias("utterance"), F.col("m_idx").alias("mention"))
+    mine = place.withColumn("m", me).select(
+        "doc_id", "m_idx", feat.compressed_mention(F.col("m"), F.col("n_mentions"), code).alias("features"), where.alias("location"),
+        training.new_entity().alias("label"), "pairs_length", (F.col("m_base") + F.col("m_idx")).alias("flat_idx"), "pairs_start",
+    )
+    return mine, rows
 
 
 def embedded(corpus: Corpus, embeddings: DataFrame, width: int = 50, utterances: DataFrame | None = None, profile: str = "training") -> DataFrame:

@@ -75,16 +75,14 @@ def run(docs: DataFrame, model: dict[str, scoring.Layers] | None = None, embeddi
     """
     p = parameters
     tokens = stash(annotate.annotate(docs) if tokens is None else tokens, "tokens")
-    found = mentions.describe_mentions(mentions.extract_spans(tokens, p.profile, p.blacklist), tokens)
+    found = mentions.detect_mentions(tokens, p.profile, p.blacklist)
     spoken = p.profile == "training" and p.utterances is not None and "speaker_id" in p.utterances.columns
     if spoken:
         found = dialogue.with_speakers(found, tokens, p.utterances)
     if p.genres is not None:
         found = found.join(p.genres.select("doc_id", "genre"), "doc_id", "left")
     found = stash(found, "mentions")
-    candidates = pairs.candidate_pairs(found, p.max_dist, p.max_dist_match, p.compat_unsigned)
-    if p.since is not None:
-        candidates = pairs.pairs_of_new(candidates, found, p.since)
+    candidates = pairs.candidate_pairs(found, p.max_dist, p.max_dist_match, p.compat_unsigned, p.since)
     both = pairs.with_sides(candidates, found.drop("text", "start_char", "end_char"))
     a, m = F.col("a"), F.col("m")
     flags = feat.speaker_flags(a, m) if spoken else (F.lit(True), F.lit(False), F.lit(False))

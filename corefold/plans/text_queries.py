@@ -86,18 +86,17 @@ def _spans(profile):
 
 
 def document_mentions(spark, d):
-    """The mentions table of the documents, written once for the queries that read it twice."""
-    tokens = stash(annotate.annotate(table(spark, d, "documents")), "tokens")
-    return tokens, stash(mentions.describe_mentions(mentions.extract_spans(tokens), tokens), "mentions")
+    """The mentions table of the documents. Their tokens are not written."""
+    return mentions.detect_mentions(annotate.annotate(table(spark, d, "documents")))
 
 
 def mention_attributes(spark, d):
-    _, m = document_mentions(spark, d)
+    m = document_mentions(spark, d)
     return m.select("doc_id", "m_idx", "start", "end", "root", "sent_idx", "mention_type", "span_lower", F.array_join("content_words", " ").alias("content"), "nested", "ent_label")
 
 
 def candidate_counts(spark, d):
-    _, m = document_mentions(spark, d)
+    m = stash(document_mentions(spark, d).select("doc_id", "m_idx", "content_words"), "mentions")
     p = pairs.candidate_pairs(m, 50, 500)
     return p.groupBy("doc_id", "men_idx").agg(F.count(F.lit(1)).alias("n"), F.min("ant_idx").alias("first"), F.sum("ant_idx").alias("total"))
 

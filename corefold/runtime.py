@@ -116,13 +116,10 @@ def one_row_each(df: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
     return df.join(few, key, "left_anti").unionByName(repeats).select(df.columns)
 
 
-def estimated_partitions(df: DataFrame, size: int) -> int:
-    """One partition for every ``size`` bytes that the optimizer expects of ``df``, at least one for each core; the session's default where it cannot tell."""
-    least = df.sparkSession.sparkContext.defaultParallelism
-    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if expected > 1 << 50:  # the optimizer's word for "unknown"
-        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(least, -(-expected // size))
+def by_document(rows: DataFrame, *columns, each: int = 200_000) -> DataFrame:
+    """``columns`` of the rows, partitioned by doc_id, one partition for every ``each`` rows: tables of as many rows are partitioned alike."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.select(*columns).repartition(max(least, -(-rows.count() // each)), "doc_id")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

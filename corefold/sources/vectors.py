@@ -132,15 +132,9 @@ def load_model(spark: SparkSession, path: str) -> tuple[dict[str, list[tuple[np.
     return out, json.loads(spark.read.text(f"{path}/config").first()["value"])
 
 
-def global_rows(mentions: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per-document tables with global row numbers, as the training arrays have them.
-
-    mentions (doc_id, m_idx) gains flat_idx and pairs_start; pairs (doc_id, men_idx, ant_idx) gains pair_row and pairs_ant_index. The
-    offsets are running sums over one row per document; rows themselves are never put in one global order. Documents
-    without mentions have no rows.
-    """
-    n_pairs = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("p"))
-    sizes = stash(mentions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(n_pairs, "doc_id", "left").na.fill(0, ["p"]), "sizes")
+def document_offsets(sizes: DataFrame) -> DataFrame:
+    """(doc_id, m_base, p_base): how many mentions and pairs the documents before have, from (doc_id, n, p)."""
+    sizes = stash(sizes, "sizes")
     before = Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     # Two-level running sum: inside range blocks of documents, then over the blocks.
     block = sizes.repartitionByRange("doc_id").withColumn("block", F.spark_partition_id())
@@ -148,9 +142,20 @@ def global_rows(mentions: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataF
     per_block = block.groupBy("block").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
     over = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = per_block.select("block", F.coalesce(F.sum("bn").over(over), F.lit(0)).alias("n0"), F.coalesce(F.sum("bp").over(over), F.lit(0)).alias("p0"))
-    offsets = block.join(starts, "block").select(
+    return block.join(starts, "block").select(
         "doc_id", (F.col("n0") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("m_base"), (F.col("p0") + F.coalesce(F.sum("p").over(before), F.lit(0))).alias("p_base")
     )
+
+
+def global_rows(mentions: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per-document tables with global row numbers, as the training arrays have them.
+
+    mentions (doc_id, m_idx) gains flat_idx and pairs_start; pairs (doc_id, men_idx, ant_idx) gains pair_row and pairs_ant_index. The
+    offsets are running sums over one row per document; rows themselves are never put in one global order. Documents
+    without mentions have no rows.
+    """
+    n_pairs = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("p"))
+    offsets = document_offsets(mentions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(n_pairs, "doc_id", "left").na.fill(0, ["p"]))
     in_doc = Window.partitionBy("doc_id").orderBy("men_idx", "ant_idx")
     numbered = pairs.join(offsets, "doc_id").withColumn("pair_row", F.col("p_base") + F.row_number().over(in_doc) - 1).withColumn("pairs_ant_index", F.col("m_base") + F.col("ant_idx"))
     starts_of = numbered.groupBy("doc_id", F.col("men_idx").alias("m_idx")).agg(F.min("pair_row").alias("first"))

@@ -37,7 +37,7 @@ def _described(utterances: DataFrame, p: Parameters, parser) -> DataFrame:
     utts = utterances.where("conv_id is not null and utt_idx is not null").groupBy(*keys).agg(F.min(text).alias("text"), F.min(speaker).alias("speaker_id"))
     utts = stash(utts, "utterances")
     tokens = stash(parser(dialogue.conversation_text(utts.withColumnRenamed("doc_id", "conv_id"))), "tokens")
-    found = mentions.describe_mentions(mentions.extract_spans(tokens, p.profile, p.blacklist), tokens)
+    found = mentions.detect_mentions(tokens, p.profile, p.blacklist)
     found = dialogue.utterance_of(found, utts.select("doc_id", "utt_idx", (F.length("text") + 1).alias("n_chars")))
     parts = F.coalesce(dialogue.name_tokens(F.col("speaker_id")), F.array().cast("array<string>"))
     found = found.join(utts.select("doc_id", "utt_idx", "speaker_id", parts.alias("speaker_tokens")), ["doc_id", "utt_idx"], "left")
@@ -70,7 +70,7 @@ def resolve_new(new: DataFrame, state: DataFrame | None = None, parameters: Para
     side = [c for c in columns if c not in ("entity", "n_mentions", "n_sentences", "n_tokens")]
     every = stash(state.where("m_idx is not null").select(*side, F.lit(False).alias("new")).unionByName(fresh.select(*side, F.lit(True).alias("new"))), "all")
 
-    candidates = pairs.pairs_of_new(pairs.candidate_pairs(every, p.max_dist, p.max_dist_match, p.compat_unsigned), every, F.col("new"))
+    candidates = pairs.candidate_pairs(every, p.max_dist, p.max_dist_match, p.compat_unsigned, F.col("new"))
     both = pairs.with_sides(candidates, every)
     a, m = F.col("a"), F.col("m")
     flags = feat.speaker_flags(a, m) if p.profile == "training" else (F.lit(True), F.lit(False), F.lit(False))
