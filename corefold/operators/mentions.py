@@ -244,10 +244,25 @@ def detect_mentions(tokens: DataFrame, profile: str = "inference", blacklist: bo
     """
     if profile not in ("inference", "training"):
         raise ValueError(profile)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx"))
-    rows = tokens.select("doc_id", "sent_idx", *_FIELDS, *_MORE_FIELDS).withColumn("row", place)
+    return _in_one_pass(tokens.select("doc_id", "sent_idx", *_FIELDS, *_MORE_FIELDS), _mention_rows(profile == "inference", blacklist))
+
+
+def located_mentions(places: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``describe_mentions`` of the spans (doc_id, start_char, end_char) that begin and end where tokens do, in one pass as in ``detect_mentions``.
+
+    A document's spans are a map from their first characters, looked up at every token; tokens are neither sent nor put into arrays.
+    """
+    ends = places.groupBy("doc_id", "start_char").agg(F.collect_set("end_char").alias("ends"))
+    per_doc = ends.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("start_char", "ends"))).alias("held"))
+    fields = ["tok_idx", "lower", "tag", "head", *_MORE_FIELDS]
+    rows = tokens.select("doc_id", "sent_idx", *fields).join(per_doc.hint("shuffle_hash"), "doc_id")
+    return _in_one_pass(rows.select("doc_id", "sent_idx", *fields, F.col("held")[F.col("start_char")].alias("ends")), _mention_rows(False, False))
+
+
+def _in_one_pass(tokens: DataFrame, run) -> DataFrame:
+    rows = tokens.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx")))
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(_mention_rows(profile == "inference", blacklist), f"doc_id {kind}, {_MENTION}")
+    found = rows.mapInArrow(run, f"doc_id {kind}, {_MENTION}")
     at = found.columns.index("text")
     return found.select(*found.columns[:at], F.lower("text").alias("span_lower"), *found.columns[at:])
 
@@ -260,7 +275,10 @@ _MENTION = (
 
 
 def _mention_rows(guarded: bool, blacklist: bool, least: int = 50_000):
-    """Batches of tokens in the order of documents to mentions; ``least`` tokens and the rest of their last document at a time."""
+    """Batches of tokens in the order of documents to mentions; ``least`` tokens and the rest of their last document at a time.
+
+    With a column ``ends`` the mentions are the spans from each token to those that end at these characters, instead of those of the rules.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -289,7 +307,6 @@ def _described_batch(table: pa.Table, guarded: bool, blacklist: bool) -> pa.Reco
     doc_row = np.flatnonzero(opens)[doc]  # of a document's first token
     begins = opens | np.r_[True, sent[1:] != sent[:-1]]
     sentence = np.cumsum(begins) - 1
-    sentences = _Sentences(table.append_column("first", pa.array(i[begins][sentence])), guarded)
 
     # Named entities: runs of marked tokens with one number of beginnings so far.
     labels = sorted(ENTITY_LABELS)
@@ -301,9 +318,13 @@ def _described_batch(table: pa.Table, guarded: bool, blacklist: bool) -> pa.Reco
     ent_lo, ent_hi = marked[turns], marked[np.r_[turns[1:], len(marked)] - 1] + 1 if len(marked) else marked
     ent_code, ent_sent = (np.minimum.reduceat(x[marked], turns) if len(marked) else marked for x in (code, sent))
 
-    row, start, end = sentences.found(blacklist)
-    base = doc_row[row]
-    key = np.unique(np.r_[(base + start) * (n + 1) + base + end, ent_lo * (n + 1) + ent_hi])
+    if "ends" in column:
+        lo, hi = _located(column["ends"], doc, number("end_char"))
+        key = np.unique(lo * (n + 1) + hi)
+    else:
+        row, start, end = _Sentences(table.append_column("first", pa.array(i[begins][sentence])), guarded).found(blacklist)
+        base = doc_row[row]
+        key = np.unique(np.r_[(base + start) * (n + 1) + base + end, ent_lo * (n + 1) + ent_hi])
     lo, hi = key // (n + 1), key % (n + 1)
     start, end, size, m = i[lo], i[hi - 1] + 1, hi - lo, len(lo)
     span = np.repeat(np.arange(m), size)
@@ -357,6 +378,19 @@ def _described_batch(table: pa.Table, guarded: bool, blacklist: bool) -> pa.Reco
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", *(x.split()[0] for x in _MENTION.split(", "))])
 
 
+def _located(ends: pa.Array, doc: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, row behind the last) of the spans from each row to the rows of its document at whose ``last`` characters they end."""
+    sizes = pc.fill_null(pc.list_value_length(ends), 0).to_numpy().astype(np.int64)
+    lo = np.repeat(np.arange(len(doc)), sizes)
+    wanted = ends.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    far = max(int(last.max(initial=0)), int(wanted.max(initial=0))) + 2
+    places, asked = doc * far + last + 1, doc[lo] * far + wanted + 1
+    order = np.argsort(places, kind="stable")
+    at = order[np.minimum(np.searchsorted(places[order], asked), len(places) - 1)]
+    real = (places[at] == asked) & (at >= lo)
+    return lo[real], at[real] + 1
+
+
 def number_mentions(mentions: DataFrame) -> DataFrame:
     """Add m_idx and n_mentions."""
     order = Window.partitionBy("doc_id").orderBy("root", "start", "end")

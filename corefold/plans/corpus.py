@@ -22,18 +22,31 @@ from corefold.sources.vectors import document_offsets
 
 @dataclass
 class Corpus:
-    """mentions: ``describe_mentions`` with gold_label, speaker and genre. mention_arrays and pair_arrays: the training arrays, see ``arrays``.
+    """mentions: ``describe_mentions`` with gold_label, speaker and genre.
     annotated: the parser's tokens; utterances: (doc_id, utt_idx, words, speaker_id); places: gold spans in characters of the document's text.
 
-    What the arrays do not need is made when first asked for: tokens, annotated, with utt_idx; gold, the spans of parser tokens.
+    Made when first asked for: mention_arrays and pair_arrays, the training arrays, see ``arrays``; tokens, annotated, with utt_idx; gold, the
+    spans of parser tokens.
     """
 
     annotated: DataFrame
     utterances: DataFrame
     places: DataFrame
     mentions: DataFrame
-    mention_arrays: DataFrame
-    pair_arrays: DataFrame
+    max_dist: int | None = None
+    profile: str = "training"
+
+    @cached_property
+    def _arrays(self) -> tuple[DataFrame, DataFrame]:
+        return arrays(self.mentions, self.max_dist, self.profile)
+
+    @property
+    def mention_arrays(self) -> DataFrame:
+        return self._arrays[0]
+
+    @property
+    def pair_arrays(self) -> DataFrame:
+        return self._arrays[1]
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -79,8 +92,7 @@ def prepare(
     tokens = parser(stash(document_texts(utts), "texts"))
     places = stash(_gold_places(gold, utts), "places")
     if use_gold_mentions:
-        tokens = stash(tokens, "tokens")
-        described = mentions.describe_mentions(_gold_tokens(places, tokens).select("doc_id", "start", "end").distinct(), tokens)
+        described = mentions.located_mentions(places, tokens)
     else:
         described = mentions.detect_mentions(tokens, profile, blacklist)
     # Tokens do not share their first or last characters, so a span's characters stand for its tokens.
@@ -92,7 +104,7 @@ def prepare(
     codes = None if names is None else names.groupBy("doc_id").agg(F.min(genre(F.col("name"))).alias("genre"))
     described = described.withColumn("genre", F.lit(None).cast("int")) if codes is None else described.join(codes, "doc_id", "left")
     described = stash(described, "mentions")
-    return Corpus(tokens, utts, places, described, *arrays(described, max_dist, profile))
+    return Corpus(tokens, utts, places, described, max_dist, profile)
 
 
 def document_texts(utts: DataFrame) -> DataFrame:

@@ -50,6 +50,19 @@ def test_arrays_are_made_without_writing_tokens_or_pairs(spark, monkeypatch):
     assert not {"tokens", "words", "gold", "pairs"} & set(written)
 
 
+def test_gold_mentions_are_made_without_writing_tokens(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(corpus, "stash", lambda df, label: written.append(label) or stash(df, label))
+    c = corpus_queries.prepared(spark, SMALL, use_gold_mentions=True)
+    assert "placed" not in written  # arrays nobody asked for
+    assert c.mention_arrays.count() > 0 and "tokens" not in written
+    tokens = stash(c.annotated, "tokens")
+    want = mentions.describe_mentions(corpus._gold_tokens(c.places, tokens).select("doc_id", "start", "end").distinct(), tokens)
+    got = c.mentions.select(want.columns)
+    assert got.dtypes == want.dtypes and want.count() > 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_array_rows_with_a_band(spark):
     c = corpus_queries.prepared(spark, SMALL, max_dist=3)
     rows = {r["pair_row"]: r for r in c.pair_arrays.collect()}
