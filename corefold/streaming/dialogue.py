@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corefold.functions import features as feat
-from corefold.operators import annotate, coref, dialogue, mentions, pairs, scoring
+from corefold.operators import annotate, candidates, coref, dialogue, mentions
 from corefold.plans.pipeline import Parameters
 from corefold.runtime import stash
 
-_COUNTS = "n_mentions int, n_sentences int, n_tokens int"
-_STATE = (
-    "doc_id {kind}, m_idx int, utt_idx int, sent_idx int, start int, end int, root int, mention_type int, root_lower string, root_tag string, "
-    "span_lower string, content_words array<string>, nested boolean, ent_label string, speaker_id string, speaker_tokens array<string>, entity int, " + _COUNTS
-)
+_COUNTS = ["n_mentions", "n_sentences", "n_tokens"]
+_SIDE = [
+    "doc_id", "m_idx", "utt_idx", "sent_idx", "start", "end", "root", "mention_type", "root_lower", "root_tag", "span_lower", "content_words", "nested", "ent_label",
+    "speaker_id", "speaker_tokens",
+]
+_STATE = [*_SIDE, "entity", *_COUNTS]
 
 
 def _described(utterances: DataFrame, p: Parameters, parser) -> DataFrame:
@@ -36,14 +36,13 @@ def _described(utterances: DataFrame, p: Parameters, parser) -> DataFrame:
     text = F.translate(F.coalesce("text", F.lit("")), "\r\n", "  ")
     utts = utterances.where("conv_id is not null and utt_idx is not null").groupBy(*keys).agg(F.min(text).alias("text"), F.min(speaker).alias("speaker_id"))
     utts = stash(utts, "utterances")
-    tokens = stash(parser(dialogue.conversation_text(utts.withColumnRenamed("doc_id", "conv_id"))), "tokens")
-    found = mentions.detect_mentions(tokens, p.profile, p.blacklist)
-    found = dialogue.utterance_of(found, utts.select("doc_id", "utt_idx", (F.length("text") + 1).alias("n_chars")))
+    # Tokens are made twice, for the mentions and for the counts, which need few of their columns, but never written or sent.
+    tokens = parser(stash(dialogue.conversation_text(utts.withColumnRenamed("doc_id", "conv_id")), "texts"))
     parts = F.coalesce(dialogue.name_tokens(F.col("speaker_id")), F.array().cast("array<string>"))
-    found = found.join(utts.select("doc_id", "utt_idx", "speaker_id", parts.alias("speaker_tokens")), ["doc_id", "utt_idx"], "left")
+    said = utts.select("doc_id", "utt_idx", (F.length("text") + 1).alias("n_chars"), "speaker_id", parts.alias("speaker_tokens"))
+    found = dialogue.utterance_of(mentions.detect_mentions(tokens, p.profile, p.blacklist), said, "speaker_id", "speaker_tokens")
     sums = [(F.max("sent_idx") + 1).alias("n_sentences"), (F.max("tok_idx") + 1).alias("n_tokens")]
-    counts = tokens.groupBy("doc_id").agg(*sums).join(found.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_mentions")), "doc_id", "left")
-    return stash(counts.join(found.drop("n_mentions"), "doc_id", "left").na.fill(0, ["n_mentions"]), "described")
+    return stash(tokens.groupBy("doc_id").agg(*sums).join(found, "doc_id", "left").na.fill(0, ["n_mentions"]), "described")
 
 
 def resolve_new(new: DataFrame, state: DataFrame | None = None, parameters: Parameters = Parameters(), parser=annotate.annotate) -> tuple[DataFrame, DataFrame]:
@@ -54,34 +53,35 @@ def resolve_new(new: DataFrame, state: DataFrame | None = None, parameters: Para
     """
     p = parameters
     added = _described(new, p, parser)
-    kind = added.schema["doc_id"].dataType.simpleString()
     if state is None:
-        state = new.sparkSession.createDataFrame([], _STATE.format(kind=kind))
+        return _linked(added, None, p)
     state = stash(state.join(added.select("doc_id").distinct(), "doc_id", "left_semi"), "earlier")
-    behind = state.groupBy("doc_id").agg(*[F.max(c).alias(f"p_{c}") for c in ("n_mentions", "n_sentences", "n_tokens")])
+    behind = state.groupBy("doc_id").agg(*[F.max(c).alias(f"p_{c}") for c in _COUNTS])
     moved = added.join(behind, "doc_id", "left").na.fill(0, ["p_n_mentions", "p_n_sentences", "p_n_tokens"])
     for column, by in {"m_idx": "mentions", "sent_idx": "sentences", "start": "tokens", "end": "tokens", "root": "tokens"}.items():
         moved = moved.withColumn(column, (F.col(column) + F.col(f"p_n_{by}")).cast("int"))
-    for column in ("n_mentions", "n_sentences", "n_tokens"):
+    for column in _COUNTS:
         moved = moved.withColumn(column, (F.col(column) + F.col(f"p_{column}")).cast("int"))  # of the whole conversation so far
-    moved = stash(moved, "moved")
+    return _linked(stash(moved, "moved"), state, p)
+
+
+def _linked(moved: DataFrame, state: DataFrame | None, p: Parameters) -> tuple[DataFrame, DataFrame]:
+    """The results of ``resolve_new`` from described mentions that are numbered behind those of the state."""
     fresh = moved.where("m_idx is not null")
-    columns = [c.split()[0] for c in _STATE.split(", ")]
-    side = [c for c in columns if c not in ("entity", "n_mentions", "n_sentences", "n_tokens")]
-    every = stash(state.where("m_idx is not null").select(*side, F.lit(False).alias("new")).unionByName(fresh.select(*side, F.lit(True).alias("new"))), "all")
-
-    candidates = pairs.candidate_pairs(every, p.max_dist, p.max_dist_match, p.compat_unsigned, F.col("new"))
-    both = pairs.with_sides(candidates, every)
-    a, m = F.col("a"), F.col("m")
-    flags = feat.speaker_flags(a, m) if p.profile == "training" else (F.lit(True), F.lit(False), F.lit(False))
-    scored = scoring.rule_scores(both.select("doc_id", "men_idx", "ant_idx", feat.compressed_pair(a, m, *flags, p.profile).alias("f")))
-    links = coref.best_links(scored.select("doc_id", "men_idx", "ant_idx", "score"), fresh.select("doc_id", "m_idx", F.lit(0.0).alias("score")), p.greedyness)
-    known = state.where("m_idx is not null").select("doc_id", F.col("m_idx").alias("men_idx"), F.col("entity").alias("best_ant"))
-    roots = coref.forest_roots(stash(links, "links").select("doc_id", "men_idx", "best_ant").unionByName(known))
+    every = fresh.select(*_SIDE, F.lit(True).alias("new"))
+    if state is not None:
+        every = stash(state.where("m_idx is not null").select(*_SIDE, F.lit(False).alias("new")).unionByName(every), "all")
+    # The rule score has no part for speakers.
+    scored = candidates.score_rule(every, p.profile, p.max_dist, p.max_dist_match, p.compat_unsigned, F.col("new"))
+    links = coref.best_links(scored, fresh.select("doc_id", "m_idx", F.lit(0.0).alias("score")), p.greedyness)
+    links = stash(links, "links").select("doc_id", "men_idx", "best_ant")
+    if state is not None:
+        links = links.unionByName(state.where("m_idx is not null").select("doc_id", F.col("m_idx").alias("men_idx"), F.col("entity").alias("best_ant")))
+    roots = coref.forest_roots(links)
     rows = stash(fresh.join(roots.select("doc_id", "m_idx", "best_ant", F.col("root").alias("entity")), ["doc_id", "m_idx"]), "resolved")
     out = rows.select(F.col("doc_id").alias("conv_id"), "utt_idx", "m_idx", F.col("text").alias("mention"), "best_ant", F.col("entity").alias("root"))
     empty = moved.where("m_idx is null").withColumn("entity", F.lit(None).cast("int"))  # its counts must not be lost
-    return out, rows.select(*columns).unionByName(empty.select(*columns))
+    return out, rows.select(*_STATE).unionByName(empty.select(*_STATE))
 
 
 def batch_coref(utterances: DataFrame, parameters: Parameters = Parameters(), parser=annotate.annotate) -> DataFrame:

@@ -9,6 +9,7 @@ from corefold.functions import features as feat
 from corefold.operators import annotate, candidates, mentions, pairs, scoring
 from corefold.plans import corpus, corpus_queries
 from corefold.runtime import stash, table
+from corefold.streaming import dialogue
 
 
 def _plan(df):
@@ -116,3 +117,10 @@ def test_rule_scores_where_the_mentions_are(spark, profile):
     new = F.col("m_idx") % 2 == 0
     want = _pair_scores(scoring.rule_scores(_features(found, 5, 50, profile, new)))
     assert _pair_scores(candidates.score_rule(found, profile, 5, 50, new=new)) == want and want
+
+
+def test_conversations_are_linked_without_writing_tokens_or_mentions_again(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(dialogue, "stash", lambda df, label: written.append(label) or stash(df, label))
+    assert corpus_queries.dialogue_links(spark, SMALL).count() > 0
+    assert not {"tokens", "moved", "all"} & set(written)
