@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corefold.functions import features as feat
-from corefold.operators import annotate, coref, dialogue, embed, mentions, pairs, scoring
+from corefold.operators import annotate, candidates, coref, dialogue, embed, mentions, pairs, scoring
 from corefold.runtime import stash
 
 
@@ -82,15 +82,14 @@ def run(docs: DataFrame, model: dict[str, scoring.Layers] | None = None, embeddi
     if p.genres is not None:
         found = found.join(p.genres.select("doc_id", "genre"), "doc_id", "left")
     found = stash(found, "mentions")
-    candidates = pairs.candidate_pairs(found, p.max_dist, p.max_dist_match, p.compat_unsigned, p.since)
-    both = pairs.with_sides(candidates, found.drop("text", "start_char", "end_char"))
-    a, m = F.col("a"), F.col("m")
-    flags = feat.speaker_flags(a, m) if spoken else (F.lit(True), F.lit(False), F.lit(False))
-    f = both.select("doc_id", "men_idx", "ant_idx", "a", "m", feat.compressed_pair(a, m, *flags, p.profile).alias("f"))
     if model is None:
-        scored = scoring.rule_scores(f).select("doc_id", "men_idx", "ant_idx", "score")
+        scored = candidates.score_rule(found, p.profile, p.max_dist, p.max_dist_match, p.compat_unsigned, p.since)
         single = found.select("doc_id", "m_idx", F.lit(0.0).alias("score"))
     else:
+        both = pairs.with_sides(pairs.candidate_pairs(found, p.max_dist, p.max_dist_match, p.compat_unsigned, p.since), found.drop("text", "start_char", "end_char"))
+        a, m = F.col("a"), F.col("m")
+        flags = feat.speaker_flags(a, m) if spoken else (F.lit(True), F.lit(False), F.lit(False))
+        f = both.select("doc_id", "men_idx", "ant_idx", "a", "m", feat.compressed_pair(a, m, *flags, p.profile).alias("f"))
         conversions = None if p.conversions is None else embed.conversion_vectors(p.conversions, embeddings, p.width)
         vectors = embed.mention_embeddings(found, tokens, embeddings, p.width, p.profile, conversions, p.utterances)
         vectors = stash(vectors, "vectors")
