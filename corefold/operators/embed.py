@@ -6,10 +6,14 @@ broadcast is left to its measured size.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corefold.functions.lexical import MISSING_WORD, UNKNOWN_WORD, normalise_inference, normalise_training
+from corefold.operators.mentions import whole_documents
 from corefold.runtime import stash
 
 PUNCTUATION = [".", "!", "?"]
@@ -142,6 +146,92 @@ def mention_embeddings(mentions: DataFrame, tokens: DataFrame, embeddings: DataF
     return out.select("doc_id", "m_idx", F.concat(*blocks).cast("array<float>").alias("embedding"))
 
 
+_BLOCKS = [f"b{i}" for i in range(13)]
+
+
+def block_weights(mentions: DataFrame, tokens: DataFrame, utterances: DataFrame) -> DataFrame:
+    """(profile, key, b0 .. b12): how much of each word's vector the embeddings of all mentions hold, block by block, in both profiles.
+
+    A block's sum over mentions is linear in the words' vectors, so that only numbers leave the batches of whole documents, one row for a
+    word and batch. The blocks are those of ``mention_embeddings``; a null key stands for the missing word. utterances: (doc_id, utt_idx,
+    n_chars) of all utterances; a token's is the one in whose characters it starts. Tokens are numbered from 0 in each document, without gaps.
+    """
+    order = Window.partitionBy("doc_id").orderBy("utt_idx").rowsBetween(Window.unboundedPreceding, -1)
+    starts = utterances.select("doc_id", F.coalesce(F.sum("n_chars").over(order), F.lit(0)).cast("long").alias("at")).groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("u"))
+    each = mentions.groupBy("doc_id").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("start", "end", "root")])).alias("m"))
+    held = each.join(starts, "doc_id", "left")
+    rows = tokens.select("doc_id", "sent_idx", "tok_idx", "head", "start_char", F.col("text").isin(PUNCTUATION).alias("mark"), normalise_inference(F.col("text")).alias("inference"), normalise_training(F.col("text")).alias("training"))
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx"))).join(held.hint("shuffle_hash"), "doc_id")
+    # A document's mentions and utterances go with its first token only.
+    first = lambda c: F.when(F.col("row") == 1, F.col(c)).alias(c)
+    found = rows.select(*rows.columns[1:-2], first("m"), first("u")).mapInArrow(whole_documents(_weighed_batch), "profile string, key string, " + ", ".join(f"{b} double" for b in _BLOCKS))
+    return found.groupBy("profile", "key").agg(*[F.sum(b).alias(b) for b in _BLOCKS])
+
+
+def _weighed_batch(table: pa.Table) -> pa.RecordBatch:
+    column = {c: table[c].combine_chunks() for c in table.column_names}
+    number = lambda c: pc.fill_null(column[c], -1).to_numpy().astype(np.int64)
+    n, opens, sent, head = table.num_rows, number("row") == 1, number("sent_idx"), number("head")
+    doc, doc_row = np.cumsum(opens) - 1, np.flatnonzero(opens)
+    begins = np.flatnonzero(opens | np.r_[True, sent[1:] != sent[:-1]])
+    sentence = np.zeros(n, np.int64)
+    sentence[begins[1:]] = 1
+    sentence = np.cumsum(sentence)
+    s0, s1 = begins, np.r_[begins[1:], n]
+    lists = lambda c: (pc.fill_null(pc.list_value_length(column[c].take(pa.array(doc_row))), 0).to_numpy().astype(np.int64), column[c].take(pa.array(doc_row)).flatten())
+    per_doc, flat = lists("m")
+    base = np.repeat(doc_row, per_doc)
+    start, end, root = (base + flat.field(c).to_numpy() for c in ("start", "end", "root"))
+    low, high = s0[sentence[start]], s1[sentence[start]]
+
+    n_utts, starts = lists("u")
+    far = max(int(starts.to_numpy().max(initial=0)), int(number("start_char").max(initial=0))) + 1
+    firsts = np.repeat(np.arange(len(doc_row)), n_utts) * far + starts.to_numpy()
+    utt = np.searchsorted(firsts, doc * far + number("start_char"), "right") - 1
+
+    ranges = [(start, end), (np.maximum(start - 5, low), start), (end, np.minimum(end + 5, high)), (low, high)]
+    words = [root, start, end - 1, start - 1, end, start - 2, end + 1, base + head[root]]
+    mark = pc.fill_null(column["mark"], False).to_numpy(zero_copy_only=False)
+    out = []
+    for profile in ("inference", "training"):
+        counts = ~mark if profile == "training" else np.ones(n, bool)
+        before = np.r_[0, np.cumsum(counts)]
+        keys = column[profile].dictionary_encode()
+        # The last code is that of the missing word.
+        code, missing = pc.fill_null(keys.indices, len(keys.dictionary)).to_numpy().astype(np.int64), len(keys.dictionary)
+        total = np.zeros((13, missing + 1))
+        for block, (lo, hi) in enumerate(ranges):
+            real = hi > lo
+            share = 1 / np.maximum(before[hi] - before[lo], 1)
+            steps = np.bincount(lo[real], share[real], n + 1) - np.bincount(hi[real], share[real], n + 1)
+            total[block] = np.bincount(code, np.where(counts, np.cumsum(steps)[:n], 0), missing + 1)
+        if profile == "training":
+            told = np.flatnonzero(counts & (n_utts[doc] > 0))
+            share = per_doc[doc[told]] / n_utts[doc[told]] / np.bincount(utt[told], minlength=len(firsts))[utt[told]]
+            total[4] = np.bincount(code[told], share, missing + 1)
+        for block, at in enumerate(words, 5):
+            inside = (at >= low) & (at < high)
+            total[block] = np.bincount(np.where(inside, code[np.clip(at, 0, n - 1)], missing), minlength=missing + 1)
+        names = pa.concat_arrays([keys.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+        out.append(pa.RecordBatch.from_arrays([pa.array([profile] * (missing + 1)), names, *map(pa.array, total)], names=["profile", "key", *_BLOCKS]))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+
+def block_sums(weights: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(profile, block, first, total) from ``block_weights``: over all mentions, the sums of each block's first position and of all its positions."""
+    known = embeddings if "static" in embeddings.columns else vocabulary(embeddings)
+    both = lambda v: F.array(F.get(v, F.lit(0)).cast("double"), F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x))
+    known = known.select("word", *[F.when(F.col(c).isNotNull(), both(c)).alias(c) for c in ("static", "tuned")])
+    of = lambda word, *kinds: F.first(F.when(F.col("word") == word, F.coalesce(*kinds)), ignorenulls=True)
+    reserved = known.where(F.col("word").isin(UNKNOWN_WORD, MISSING_WORD)).agg(of(UNKNOWN_WORD, "static", "tuned").alias("us"), of(UNKNOWN_WORD, "tuned", "static").alias("ut"), of(MISSING_WORD, "tuned", "static").alias("missing"))
+    rows = weights.join(known, F.col("key") == F.col("word"), "left").join(F.broadcast(reserved), F.lit(True), "left")  # one row
+    zero = F.array(F.lit(0.0), F.lit(0.0))
+    static = F.coalesce("static", "us", zero)
+    word = F.when(F.col("key").isNull(), F.coalesce("missing", zero)).otherwise(F.coalesce("tuned", "static", "ut", "missing", zero))
+    cells = [F.struct(F.lit(i).alias("block"), *[(F.col(b) * F.get(static if i < 5 else word, F.lit(k))).alias(name) for k, name in enumerate(("first", "total"))]) for i, b in enumerate(_BLOCKS)]
+    return rows.select("profile", F.explode(F.array(*cells)).alias("x")).groupBy("profile", "x.block").agg(F.sum("x.first").alias("first"), F.sum("x.total").alias("total"))
+
+
 def words_outside(words: DataFrame, embeddings: DataFrame, kind: str = "static") -> DataFrame:
     """Rows whose word has no vector of that kind."""
     known = stash(embeddings.where(F.col("kind") == kind).select("word").distinct(), "known")  # so that a hot word can be split

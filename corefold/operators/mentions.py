@@ -7,7 +7,7 @@ children's outer edges are minima and maxima by head. Only a possessive mark's c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -274,11 +274,16 @@ _MENTION = (
 )
 
 
-def _mention_rows(guarded: bool, blacklist: bool, least: int = 50_000):
-    """Batches of tokens in the order of documents to mentions; ``least`` tokens and the rest of their last document at a time.
+def _mention_rows(guarded: bool, blacklist: bool):
+    """Batches of tokens in the order of documents to mentions.
 
     With a column ``ends`` the mentions are the spans from each token to those that end at these characters, instead of those of the rules.
     """
+    return whole_documents(lambda table: _described_batch(table, guarded, blacklist))
+
+
+def whole_documents(work: Callable[[pa.Table], pa.RecordBatch], least: int = 50_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over batches of tokens in the order of documents, numbered by ``row``; ``least`` tokens and the rest of their last document at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -286,12 +291,12 @@ def _mention_rows(guarded: bool, blacklist: bool, least: int = 50_000):
             starts = np.flatnonzero(batch["row"].to_numpy() == 1)
             if len(starts) and n + starts[-1] >= least:  # the last document may go on in the next batch
                 last = int(starts[-1])
-                yield _described_batch(pa.Table.from_batches([*held, batch.slice(0, last)]), guarded, blacklist)
+                yield work(pa.Table.from_batches([*held, batch.slice(0, last)]))
                 held, n, batch = [], 0, batch.slice(last)
             held.append(batch)
             n += batch.num_rows
         if n:
-            yield _described_batch(pa.Table.from_batches(held), guarded, blacklist)
+            yield work(pa.Table.from_batches(held))
 
     return run
 

@@ -99,7 +99,7 @@ def prepare(
     labels = places.groupBy("doc_id", "start_char", "end_char").agg(F.min("label").alias("gold_label"))
     described = described.join(labels, ["doc_id", "start_char", "end_char"], "left")
     parts = F.coalesce(dialogue.name_tokens(F.col("speaker_id").cast("string")), F.array().cast("array<string>"))
-    said = utts.select("doc_id", "utt_idx", _characters().alias("n_chars"), F.col("speaker_id").cast("string").alias("speaker_id"), parts.alias("speaker_tokens"))
+    said = utts.select("doc_id", "utt_idx", characters().alias("n_chars"), F.col("speaker_id").cast("string").alias("speaker_id"), parts.alias("speaker_tokens"))
     described = dialogue.utterance_of(described, said, "speaker_id", "speaker_tokens")
     codes = None if names is None else names.groupBy("doc_id").agg(F.min(genre(F.col("name"))).alias("genre"))
     described = described.withColumn("genre", F.lit(None).cast("int")) if codes is None else described.join(codes, "doc_id", "left")
@@ -114,14 +114,14 @@ def document_texts(utts: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("u", lambda u: u["t"]), "\n").alias("text"))
 
 
-def _characters() -> Column:
+def characters() -> Column:
     """Of an utterance in the document's text, with the line break."""
     return F.aggregate("words", F.lit(1), lambda acc, w: acc + F.length(w) + 1)
 
 
 def _words(utts: DataFrame) -> DataFrame:
     """(doc_id, utt_idx, i, start_char, end_char) of the corpus words in the document's text."""
-    sizes = utts.select("doc_id", "utt_idx", "words", _characters().alias("n"))
+    sizes = utts.select("doc_id", "utt_idx", "words", characters().alias("n"))
     before = Window.partitionBy("doc_id").orderBy("utt_idx").rowsBetween(Window.unboundedPreceding, -1)
     based = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     words = based.select("doc_id", "utt_idx", "base", F.posexplode("words").alias("i", "w"))
@@ -140,7 +140,7 @@ def _with_utterances(tokens: DataFrame, utts: DataFrame) -> DataFrame:
 def _gold_places(gold: DataFrame, utts: DataFrame) -> DataFrame:
     """(doc_id, start_char, end_char, label) in the document's text of the gold spans (in words) that lie inside their utterance."""
     before = Window.partitionBy("doc_id").orderBy("utt_idx").rowsBetween(Window.unboundedPreceding, -1)
-    based = utts.select("doc_id", "utt_idx", "words", F.coalesce(F.sum(_characters()).over(before), F.lit(0)).alias("base"))
+    based = utts.select("doc_id", "utt_idx", "words", F.coalesce(F.sum(characters()).over(before), F.lit(0)).alias("base"))
     spans = gold.where("label is not null and end > start and start >= 0").select("doc_id", "utt_idx", "start", "end", "label").distinct()
     size = lambda lo, n: F.aggregate(F.slice("words", lo, n), F.lit(0), lambda acc, w: acc + F.length(w) + 1)
     first = F.col("base") + size(1, F.col("start").cast("int"))

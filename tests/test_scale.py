@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from helpers import SMALL
 
 from corefold.functions import features as feat
-from corefold.operators import annotate, candidates, mentions, pairs, scoring
-from corefold.plans import corpus, corpus_queries
+from corefold.operators import annotate, candidates, embed, mentions, pairs, scoring
+from corefold.plans import corpus, corpus_queries, pair_queries
 from corefold.runtime import stash, table
 from corefold.streaming import dialogue
 
@@ -124,3 +124,18 @@ def test_conversations_are_linked_without_writing_tokens_or_mentions_again(spark
     monkeypatch.setattr(dialogue, "stash", lambda df, label: written.append(label) or stash(df, label))
     assert corpus_queries.dialogue_links(spark, SMALL).count() > 0
     assert not {"tokens", "moved", "all"} & set(written)
+
+
+def test_embedding_sums_are_made_without_writing_tokens_or_vectors(spark, monkeypatch):
+    written = []
+    for module in (corpus, embed):
+        monkeypatch.setattr(module, "stash", lambda df, label: written.append(label) or stash(df, label))
+    got = {(r["profile"], r["block"]): (r["first"], r["total"]) for r in corpus_queries.mention_vectors(spark, SMALL).collect()}
+    assert not {"tokens", "static", "words"} & set(written)
+    c = corpus_queries.prepared(spark, SMALL)
+    voc = embed.vocabulary(pair_queries.corpus_vocabulary(spark, SMALL))
+    for profile in ("inference", "training"):
+        rows = embed.mention_embeddings(c.mentions, c.tokens, voc, 64, profile, utterances=c.utterances).collect()
+        sums = np.array([r["embedding"] for r in rows]).reshape(-1, 13, 64).sum(axis=0)
+        for block in range(13):
+            assert np.allclose(got[profile, block], (sums[block, 0], sums[block].sum()), atol=0.06)
