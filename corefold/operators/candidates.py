@@ -67,10 +67,30 @@ def score_rule(mentions: DataFrame, profile: str = "inference", max_dist: int |
     return _run(mentions, [*(["ent_label"] if profile == "training" else []), *flag], run, "men_idx int, ant_idx int, score double")
 
 
+def count_pairs(mentions: DataFrame, max_dist: int | None = 50, max_dist_match: int | None = 500) -> DataFrame:
+    """(doc_id, men_idx, n, first, total): of each mention's candidate antecedents their number, the first one and the sum of their indices.
+
+    Each document's mentions are in one partition, as ``mentions.detect_mentions`` leaves them: they are neither written nor sent. Bands are counted in closed form.
+    """
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        docs = _Documents(table, max_dist, max_dist_match)
+        for rows, *counts in docs.counts():
+            numbers = [pa.array(x, kind) for x, kind in zip((docs.number["m_idx"][rows], *counts), (pa.int32(), pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([docs.column["doc_id"].take(pa.array(rows)), *numbers], names=["doc_id", "men_idx", "n", "first", "total"])
+
+    rows = mentions.select("doc_id", F.col("m_idx").cast("int").alias("m_idx"), "content_words")
+    return _in_order(rows, run, "men_idx int, n long, first int, total long")
+
+
 def _run(mentions: DataFrame, more: list, run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    kind = mentions.schema["doc_id"].dataType.simpleString()
     numbers = [F.col(c).cast("int").alias(c) for c in _FIELDS[:4]]
-    rows = by_document(mentions, "doc_id", *numbers, *_FIELDS[4:], *more).sortWithinPartitions("doc_id", "m_idx")
+    return _in_order(by_document(mentions, "doc_id", *numbers, *_FIELDS[4:], *more), run, schema)
+
+
+def _in_order(placed: DataFrame, run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    kind = placed.schema["doc_id"].dataType.simpleString()
+    rows = placed.sortWithinPartitions("doc_id", "m_idx")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -140,31 +160,60 @@ class _Documents:
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows of mentions, rows of antecedents, whether content words meet), each pair once."""
-        cost = self.bands + np.bincount(self.same, weights=self.earlier, minlength=self.n).astype(np.int64)
-        part = np.cumsum(cost) // _PAIRS
-        cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), self.n]
-        for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+        for lo, hi in self._parts(self.bands):
             bands = self.bands[lo:hi]
             base = np.cumsum(bands) - bands
             men = np.repeat(np.arange(lo, hi), bands)
             ant = np.arange(len(men)) - np.repeat(base - self.low[lo:hi], bands)
             relaxed = np.zeros(len(men), bool)
-            at = self.by_mention[self.from_[lo] : self.from_[hi]]
-            times = self.earlier[at]
-            later = np.repeat(self.same[at], times)
-            step = np.arange(len(later)) - np.repeat(np.cumsum(times) - times, times) + 1
-            sooner = self.same[np.repeat(at, times) - step]
-            near = sooner >= self.low[later]
+            later, sooner, near = self._sharing(lo, hi)
             relaxed[base[later[near] - lo] + sooner[near] - self.low[later[near]]] = True
             if self.match is not None:
-                later, sooner = later[~near], sooner[~near]
-                m_idx = self.number["m_idx"]
-                fits = (m_idx[later] - m_idx[sooner] <= self.match) & (m_idx[later] >= self.least)
-                more = np.unique(later[fits] * self.n + sooner[fits])
-                men, ant, relaxed = np.r_[men, more // self.n], np.r_[ant, more % self.n], np.r_[relaxed, np.ones(len(more), bool)]
+                later, sooner = self._far(later[~near], sooner[~near])
+                men, ant, relaxed = np.r_[men, later], np.r_[ant, sooner], np.r_[relaxed, np.ones(len(later), bool)]
             if len(men):
                 yield men, ant, relaxed
 
+    def counts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows of mentions, number of antecedents, the first one's index, sum of their indices) of the mentions with antecedents."""
+        m_idx = self.number["m_idx"]
+        before = np.r_[0, np.cumsum(m_idx)]
+        for lo, hi in self._parts(0 * self.bands):
+            rows = np.arange(lo, hi)
+            low = rows - self.bands[lo:hi]
+            n, first, total = self.bands[lo:hi].copy(), m_idx[low], before[rows] - before[low]
+            if self.match is not None:
+                later, sooner, near = self._sharing(lo, hi)
+                later, sooner = self._far(later[~near], sooner[~near])
+                n += np.bincount(later - lo, minlength=hi - lo)
+                np.add.at(total, later - lo, m_idx[sooner])
+                np.minimum.at(first, later - lo, m_idx[sooner])
+            some = n > 0
+            yield rows[some], n[some], first[some], total[some]
+
+    def _parts(self, bands: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of mentions with about ``_PAIRS`` pairs in their bands and by shared words."""
+        cost = bands + np.bincount(self.same, weights=self.earlier, minlength=self.n).astype(np.int64)
+        part = np.cumsum(cost) // _PAIRS
+        cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), self.n]
+        return zip(cuts.tolist(), cuts[1:].tolist())
+
+    def _sharing(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of mentions from lo to hi, rows of earlier ones with the same word, whether these lie in the band), once for each shared word."""
+        at = self.by_mention[self.from_[lo] : self.from_[hi]]
+        times = self.earlier[at]
+        later = np.repeat(self.same[at], times)
+        step = np.arange(len(later)) - np.repeat(np.cumsum(times) - times, times) + 1
+        sooner = self.same[np.repeat(at, times) - step]
+        return later, sooner, sooner >= self.low[later]
+
+    def _far(self, later: np.ndarray, sooner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each pair beyond the bands once, as far back as word matches may reach."""
+        m_idx = self.number["m_idx"]
+        fits = (m_idx[later] - m_idx[sooner] <= self.match) & (m_idx[later] >= self.least)
+        more = np.unique(later[fits] * self.n + sooner[fits])
+        return more // self.n, more % self.n
+
     def equal(self, column: str, men: np.ndarray, ant: np.ndarray) -> np.ndarray:
         """1 and 0, no number where one is null."""
         a, b = self.codes[column][ant], self.codes[column][men]

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corefold.functions import lexical
-from corefold.operators import annotate, embed, mentions, pairs
-from corefold.runtime import stash, table
+from corefold.operators import annotate, candidates, embed, mentions
+from corefold.runtime import table
 from corefold.sources import conll
 
 
@@ -96,9 +96,7 @@ def mention_attributes(spark, d):
 
 
 def candidate_counts(spark, d):
-    m = stash(document_mentions(spark, d).select("doc_id", "m_idx", "content_words"), "mentions")
-    p = pairs.candidate_pairs(m, 50, 500)
-    return p.groupBy("doc_id", "men_idx").agg(F.count(F.lit(1)).alias("n"), F.min("ant_idx").alias("first"), F.sum("ant_idx").alias("total"))
+    return candidates.count_pairs(document_mentions(spark, d), 50, 500)
 
 
 def undetected_gold(spark, d):

@@ -7,7 +7,7 @@ from helpers import SMALL
 
 from corefold.functions import features as feat
 from corefold.operators import annotate, candidates, embed, mentions, pairs, scoring
-from corefold.plans import corpus, corpus_queries, pair_queries
+from corefold.plans import corpus, corpus_queries, pair_queries, text_queries
 from corefold.runtime import stash, table
 from corefold.streaming import dialogue
 
@@ -139,3 +139,18 @@ def test_embedding_sums_are_made_without_writing_tokens_or_vectors(spark, monkey
         sums = np.array([r["embedding"] for r in rows]).reshape(-1, 13, 64).sum(axis=0)
         for block in range(13):
             assert np.allclose(got[profile, block], (sums[block, 0], sums[block].sum()), atol=0.06)
+
+
+def test_candidates_are_counted_where_the_mentions_are(spark, monkeypatch):
+    counted = text_queries.candidate_counts(spark, SMALL)
+    assert _plan(counted).count("Exchange hashpartitioning") + _plan(counted).count("Exchange(") <= 1 and "corefold-" not in "".join(counted.inputFiles())  # texts only
+    monkeypatch.setattr(candidates, "_PAIRS", 100)
+    monkeypatch.setattr(candidates, "_MENTIONS", 200)
+    found = stash(mentions.detect_mentions(annotate.annotate(table(spark, SMALL, "documents").limit(40))), "mentions")
+    found = stash(found.where("m_idx % 11 <> 4 and m_idx > 0").coalesce(1), "some")  # with missing numbers
+    for max_dist, match in [(5, 50), (50, 500), (None, 500), (3, None), (50, 5), (0, 9)]:
+        ant = {}
+        for r in candidates.score_rule(found, "inference", max_dist, match).collect():
+            ant.setdefault((r["doc_id"], r["men_idx"]), []).append(r["ant_idx"])
+        got = {(r["doc_id"], r["men_idx"]): (r["n"], r["first"], r["total"]) for r in candidates.count_pairs(found, max_dist, match).collect()}
+        assert got == {k: (len(v), min(v), sum(v)) for k, v in ant.items()} and got
