@@ -259,6 +259,30 @@ def located_mentions(places: DataFrame, tokens: DataFrame) -> DataFrame:
     return _in_one_pass(rows.select("doc_id", "sent_idx", *fields, F.col("held")[F.col("start_char")].alias("ends")), _mention_rows(False, False))
 
 
+def missed_places(places: DataFrame, tokens: DataFrame, profile: str = "training", blacklist: bool = True) -> DataFrame:
+    """(doc_id, start, end, label): the spans (doc_id, start_char, end_char, label) that begin and end where tokens do and that the rules do not find, each once.
+
+    The rules' spans are compared where they are found: neither tokens nor mentions leave the batches.
+    """
+    kind, label = (places.schema[c].dataType.simpleString() for c in ("doc_id", "label"))
+    rows = _with_places(places, tokens, "start_char", "end_char", "label")
+    return rows.mapInArrow(whole_documents(lambda table: _missed_batch(table, profile == "inference", blacklist)), f"doc_id {kind}, start int, end int, label {label}")
+
+
+def count_places(places: DataFrame, tokens: DataFrame, profile: str = "training", blacklist: bool = True) -> DataFrame:
+    """(places, mentions, both), one row for each batch: spans as in ``missed_places`` without regard to labels, the rules' spans in their documents, and those that are both."""
+    rows = _with_places(places, tokens, "start_char", "end_char")
+    return rows.mapInArrow(whole_documents(lambda table: _counted_batch(table, profile == "inference", blacklist)), "places long, mentions long, both long")
+
+
+def _with_places(places: DataFrame, tokens: DataFrame, *columns: str) -> DataFrame:
+    """The tokens of documents with places, in order; a document's places go with its first token only."""
+    per_doc = places.groupBy("doc_id").agg(F.collect_set(F.struct(*columns)).alias("places"))
+    fields = ["doc_id", "sent_idx", *_FIELDS, "start_char", "end_char", "ent_type", "ent_iob"]
+    rows = tokens.select(*fields).withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx")))
+    return rows.join(per_doc.hint("shuffle_hash"), "doc_id").select(*rows.columns, F.when(F.col("row") == 1, F.col("places")).alias("places"))
+
+
 def _in_one_pass(tokens: DataFrame, run) -> DataFrame:
     rows = tokens.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx")))
     kind = tokens.schema["doc_id"].dataType.simpleString()
@@ -301,35 +325,85 @@ def whole_documents(work: Callable[[pa.Table], pa.RecordBatch], least: int = 50_
     return run
 
 
-def _described_batch(table: pa.Table, guarded: bool, blacklist: bool) -> pa.RecordBatch:
-    table = table.combine_chunks()
-    column = {c: table[c].combine_chunks() for c in table.column_names}
-    number = lambda c: pc.fill_null(column[c], -1).to_numpy().astype(np.int64)
-    within = lambda c, words: pc.fill_null(pc.is_in(column[c], pa.array(words)), False).to_numpy(zero_copy_only=False)
-    n, i, head, sent, iob = table.num_rows, number("tok_idx"), number("head"), number("sent_idx"), number("ent_iob")
-    opens = number("row") == 1
-    doc = np.cumsum(opens) - 1
-    doc_row = np.flatnonzero(opens)[doc]  # of a document's first token
-    begins = opens | np.r_[True, sent[1:] != sent[:-1]]
-    sentence = np.cumsum(begins) - 1
-
-    # Named entities: runs of marked tokens with one number of beginnings so far.
-    labels = sorted(ENTITY_LABELS)
-    accepted = within("ent_type", labels)
-    marked = np.flatnonzero(np.isin(iob, (1, 3)) & accepted)
-    run = np.cumsum(iob == 3)
-    turns = np.flatnonzero(np.r_[True, (run[marked][1:] != run[marked][:-1]) | (doc[marked][1:] != doc[marked][:-1])]) if len(marked) else marked
-    code = pc.fill_null(pc.index_in(column["ent_type"], pa.array(labels)), -1).to_numpy().astype(np.int64)
-    ent_lo, ent_hi = marked[turns], marked[np.r_[turns[1:], len(marked)] - 1] + 1 if len(marked) else marked
-    ent_code, ent_sent = (np.minimum.reduceat(x[marked], turns) if len(marked) else marked for x in (code, sent))
+class _Tokens:
+    """The tokens of whole documents as arrays. Named entities are runs of marked tokens with one number of beginnings so far."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.table = table.combine_chunks()
+        self.column = {c: self.table[c].combine_chunks() for c in self.table.column_names}
+        self.n, self.i, self.sent, self.iob = self.table.num_rows, self.number("tok_idx"), self.number("sent_idx"), self.number("ent_iob")
+        self.opens = self.number("row") == 1
+        self.doc = np.cumsum(self.opens) - 1
+        self.first_rows = np.flatnonzero(self.opens)  # of documents
+        self.begins = self.opens | np.r_[True, self.sent[1:] != self.sent[:-1]]
+        self.sentence = np.cumsum(self.begins) - 1
+        labels = sorted(ENTITY_LABELS)
+        self.accepted = self.within("ent_type", labels)
+        marked = np.flatnonzero(np.isin(self.iob, (1, 3)) & self.accepted)
+        run = np.cumsum(self.iob == 3)
+        turns = np.flatnonzero(np.r_[True, (run[marked][1:] != run[marked][:-1]) | (self.doc[marked][1:] != self.doc[marked][:-1])]) if len(marked) else marked
+        code = pc.fill_null(pc.index_in(self.column["ent_type"], pa.array(labels)), -1).to_numpy().astype(np.int64)
+        self.ent_lo, self.ent_hi = marked[turns], marked[np.r_[turns[1:], len(marked)] - 1] + 1 if len(marked) else marked
+        self.ent_code, self.ent_sent = (np.minimum.reduceat(x[marked], turns) if len(marked) else marked for x in (code, self.sent))
+
+    def number(self, column: str) -> np.ndarray:
+        return pc.fill_null(self.column[column], -1).to_numpy().astype(np.int64)
+
+    def within(self, column: str, words: list[str]) -> np.ndarray:
+        return pc.fill_null(pc.is_in(self.column[column], pa.array(words)), False).to_numpy(zero_copy_only=False)
+
+    def found(self, guarded: bool, blacklist: bool) -> np.ndarray:
+        """The spans of the rules and of entities, each once and in order: first row * (n + 1) + row behind the last."""
+        row, start, end = _Sentences(self.table.append_column("first", pa.array(self.i[self.begins][self.sentence])), guarded).found(blacklist)
+        base = self.first_rows[self.doc][row]
+        return np.unique(np.r_[(base + start) * (self.n + 1) + base + end, self.ent_lo * (self.n + 1) + self.ent_hi])
+
+    def placed(self) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+        """(documents, spans as in ``found``, places) of the places that begin and end where tokens do."""
+        lists = self.column["places"].take(pa.array(self.first_rows))
+        places = lists.flatten()
+        doc = np.repeat(np.arange(len(self.first_rows)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))
+        lo, hi = (self._row_of(c, doc, places.field(c)) for c in ("start_char", "end_char"))
+        real = np.flatnonzero((lo >= 0) & (hi >= lo))
+        return doc[real], lo[real] * (self.n + 1) + hi[real] + 1, places.take(pa.array(real))
+
+    def _row_of(self, column: str, doc: np.ndarray, wanted: pa.Array) -> np.ndarray:
+        """The rows of the documents' tokens with these numbers, -1 without one."""
+        wanted, own = wanted.to_numpy(zero_copy_only=False).astype(np.int64), self.number(column)
+        far = max(int(own.max()), int(wanted.max(initial=0))) + 2
+        held, asked = self.doc * far + own + 1, doc * far + wanted + 1
+        order = np.argsort(held, kind="stable")
+        at = order[np.minimum(np.searchsorted(held[order], asked), self.n - 1)]
+        return np.where(held[at] == asked, at, -1)
+
+
+def _missed_batch(table: pa.Table, guarded: bool, blacklist: bool) -> pa.RecordBatch:
+    t = _Tokens(table)
+    _, spans, places = t.placed()
+    missed = np.flatnonzero(~np.isin(spans, t.found(guarded, blacklist)))
+    lo, hi = spans[missed] // (t.n + 1), spans[missed] % (t.n + 1)
+    columns = [t.column["doc_id"].take(pa.array(lo)), *(pa.array(x.astype(np.int32)) for x in (t.i[lo], t.i[hi - 1] + 1)), places.field("label").take(pa.array(missed))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "label"])
+
+
+def _counted_batch(table: pa.Table, guarded: bool, blacklist: bool) -> pa.RecordBatch:
+    t = _Tokens(table)
+    doc, spans, _ = t.placed()
+    spans, found = np.unique(spans), t.found(guarded, blacklist)
+    asked = np.bincount(doc, minlength=len(t.first_rows)) > 0
+    counts = [len(spans), int(asked[t.doc[found // (t.n + 1)]].sum()), int(np.isin(spans, found).sum())]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in counts], names=["places", "mentions", "both"])
 
+
+def _described_batch(table: pa.Table, guarded: bool, blacklist: bool) -> pa.RecordBatch:
+    own = _Tokens(table)
+    column, number, within, n, i, sent, iob, doc, sentence, accepted = own.column, own.number, own.within, own.n, own.i, own.sent, own.iob, own.doc, own.sentence, own.accepted
+    head = number("head")
     if "ends" in column:
         lo, hi = _located(column["ends"], doc, number("end_char"))
         key = np.unique(lo * (n + 1) + hi)
     else:
-        row, start, end = _Sentences(table.append_column("first", pa.array(i[begins][sentence])), guarded).found(blacklist)
-        base = doc_row[row]
-        key = np.unique(np.r_[(base + start) * (n + 1) + base + end, ent_lo * (n + 1) + ent_hi])
+        key = own.found(guarded, blacklist)
     lo, hi = key // (n + 1), key % (n + 1)
     start, end, size, m = i[lo], i[hi - 1] + 1, hi - lo, len(lo)
     span = np.repeat(np.arange(m), size)
@@ -357,11 +431,11 @@ def _described_batch(table: pa.Table, guarded: bool, blacklist: bool) -> pa.Reco
     whole = "".join(parts)
     texts = [None if text[z] is None else whole[a:b] + text[z] for a, b, z in zip(place[lo].tolist(), place[hi - 1].tolist(), (hi - 1).tolist())]
 
-    held = np.searchsorted(ent_lo, lo, "right") - 1
+    held = np.searchsorted(own.ent_lo, lo, "right") - 1
     label = pa.nulls(m, pa.string())
-    if len(ent_lo):
-        inside = (held >= 0) & (hi <= ent_hi[held]) & (ent_sent[held] == sent[lo])
-        label = pa.array(labels).take(pa.array(ent_code[held], mask=~inside))
+    if len(own.ent_lo):
+        inside = (held >= 0) & (hi <= own.ent_hi[held]) & (own.ent_sent[held] == sent[lo])
+        label = pa.array(sorted(ENTITY_LABELS)).take(pa.array(own.ent_code[held], mask=~inside))
 
     order = np.lexsort((hi, lo, root, doc[lo]))
     each = np.bincount(doc[lo], minlength=int(doc[-1]) + 1)

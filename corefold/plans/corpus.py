@@ -87,10 +87,9 @@ def prepare(
     candidates with None. parser: from (doc_id, text) to ``annotate.TOKEN_COLUMNS``. Utterances count from 0, null words and utterances
     without words are kept as they are; a document without words has no mentions.
     """
-    clean = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: clean_token(w))
-    utts = stash(utterances.select("doc_id", "utt_idx", clean.alias("words"), F.col("speaker").alias("speaker_id")), "utterances")
+    utts = stash(utterances.select("doc_id", "utt_idx", _clean().alias("words"), F.col("speaker").alias("speaker_id")), "utterances")
     tokens = parser(stash(document_texts(utts), "texts"))
-    places = stash(_gold_places(gold, utts), "places")
+    places = stash(_gold_places(gold, utts.select("doc_id", "utt_idx", _sizes().alias("sizes"))), "places")
     if use_gold_mentions:
         described = mentions.located_mentions(places, tokens)
     else:
@@ -107,13 +106,41 @@ def prepare(
     return Corpus(tokens, utts, places, described, max_dist, profile)
 
 
+def gold_places(utterances: DataFrame, gold: DataFrame, parser=annotate.annotate) -> tuple[DataFrame, DataFrame]:
+    """(places, tokens) of ``prepare``, for what needs no more: spans in characters of the documents' texts, and the parser's tokens.
+
+    One table is written, the texts with the sizes of their words; utterances that are partitioned by document are not sent to make it.
+    """
+    words = utterances.select("doc_id", "utt_idx", _clean().alias("words"))
+    rows = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("utt_idx", _utterance_text().alias("t"), _sizes().alias("sizes")))).alias("u"))
+    text = F.array_join(F.transform("u", lambda u: u["t"]), "\n").alias("text")
+    documents = stash(rows.select("doc_id", text, F.transform("u", lambda u: F.struct(u["utt_idx"].alias("utt_idx"), u["sizes"].alias("sizes"))).alias("u")), "texts")
+    return _gold_places(gold, documents.select("doc_id", F.inline("u"))), parser(documents.select("doc_id", "text"))
+
+
+def undetected(utterances: DataFrame, gold: DataFrame, profile: str = "training", blacklist: bool = False, parser=annotate.annotate) -> DataFrame:
+    """(doc_id, start, end, label): ``Corpus.undetected`` of ``prepare``, in one pass over the tokens, without making the corpus's mentions."""
+    return mentions.missed_places(*gold_places(utterances, gold, parser), profile, blacklist)
+
+
 def document_texts(utts: DataFrame) -> DataFrame:
     """(doc_id, text): each word followed by a blank, each utterance by a line break."""
-    text = F.array_join(F.transform("words", lambda w: F.concat(w, F.lit(" "))), "")
-    rows = utts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("utt_idx", text.alias("t")))).alias("u"))
+    rows = utts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("utt_idx", _utterance_text().alias("t")))).alias("u"))
     return rows.select("doc_id", F.array_join(F.transform("u", lambda u: u["t"]), "\n").alias("text"))
 
 
+def _clean() -> Column:
+    return F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: clean_token(w))
+
+
+def _utterance_text() -> Column:
+    return F.array_join(F.transform("words", lambda w: F.concat(w, F.lit(" "))), "")
+
+
+def _sizes() -> Column:
+    return F.transform("words", lambda w: F.length(w))
+
+
 def characters() -> Column:
     """Of an utterance in the document's text, with the line break."""
     return F.aggregate("words", F.lit(1), lambda acc, w: acc + F.length(w) + 1)
@@ -138,13 +165,14 @@ def _with_utterances(tokens: DataFrame, utts: DataFrame) -> DataFrame:
 
 
 def _gold_places(gold: DataFrame, utts: DataFrame) -> DataFrame:
-    """(doc_id, start_char, end_char, label) in the document's text of the gold spans (in words) that lie inside their utterance."""
+    """(doc_id, start_char, end_char, label) in the document's text of the gold spans (in words) that lie inside their utterance. utts: with the sizes of their words."""
     before = Window.partitionBy("doc_id").orderBy("utt_idx").rowsBetween(Window.unboundedPreceding, -1)
-    based = utts.select("doc_id", "utt_idx", "words", F.coalesce(F.sum(characters()).over(before), F.lit(0)).alias("base"))
+    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n + 1)
+    based = utts.select("doc_id", "utt_idx", "sizes", F.coalesce(F.sum(total("sizes") + 1).over(before), F.lit(0)).alias("base"))
     spans = gold.where("label is not null and end > start and start >= 0").select("doc_id", "utt_idx", "start", "end", "label").distinct()
-    size = lambda lo, n: F.aggregate(F.slice("words", lo, n), F.lit(0), lambda acc, w: acc + F.length(w) + 1)
+    size = lambda lo, n: total(F.slice("sizes", lo, n))
     first = F.col("base") + size(1, F.col("start").cast("int"))
-    placed = spans.join(based, ["doc_id", "utt_idx"]).where(F.col("end") <= F.size("words"))
+    placed = spans.join(based, ["doc_id", "utt_idx"]).where(F.col("end") <= F.size("sizes"))
     placed = placed.withColumn("first", first).withColumn("last", F.col("first") + size(F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")) - 1)
     return placed.select("doc_id", F.col("first").cast("int").alias("start_char"), F.col("last").cast("int").alias("end_char"), "label")
 

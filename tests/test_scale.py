@@ -7,7 +7,7 @@ from helpers import SMALL
 
 from corefold.functions import features as feat
 from corefold.operators import annotate, candidates, embed, mentions, pairs, scoring
-from corefold.plans import corpus, corpus_queries, pair_queries, text_queries
+from corefold.plans import corpus, corpus_queries, evaluate, pair_queries, text_queries
 from corefold.runtime import stash, table
 from corefold.streaming import dialogue
 
@@ -154,3 +154,32 @@ def test_candidates_are_counted_where_the_mentions_are(spark, monkeypatch):
             ant.setdefault((r["doc_id"], r["men_idx"]), []).append(r["ant_idx"])
         got = {(r["doc_id"], r["men_idx"]): (r["n"], r["first"], r["total"]) for r in candidates.count_pairs(found, max_dist, match).collect()}
         assert got == {k: (len(v), min(v), sum(v)) for k, v in ant.items()} and got
+
+
+def _written(monkeypatch):
+    written = []
+    for module in (corpus, evaluate):
+        monkeypatch.setattr(module, "stash", lambda df, label: written.append(label) or stash(df, label))
+    return written
+
+
+def test_undetected_spans_are_found_in_the_pass_over_the_tokens(spark, monkeypatch):
+    want = sorted(map(tuple, corpus_queries.prepared(spark, SMALL).undetected().select("doc_id", "start", "end", "label").distinct().collect()))
+    written = _written(monkeypatch)
+    found = corpus_queries.corpus_undetected(spark, SMALL)
+    assert written == ["texts"] and _plan(found).count("MapInArrow") == 1
+    assert sorted(map(tuple, found.collect())) == want and want
+
+
+def test_places_of_several_batches_are_compared_with_the_spans_of_their_documents(spark):
+    rows = spark.createDataFrame([(d, 0, "Ann Lee met the man yesterday .".split(), None) for d in range(3)] + [(3, 0, ["Bob"], None), (3, 1, ["She", "left"], None)], "doc_id long, utt_idx int, words array<string>, speaker string")
+    spans = [(0, 0, 0, 2, "1"), (0, 0, 2, 4, "1"), (0, 0, 2, 4, "2"), (0, 0, 5, 9, "3"), (1, 0, 0, 2, None), (3, 1, 0, 1, "4"), (3, 1, 0, 2, "4"), (3, 0, 1, 1, "5"), (7, 0, 0, 1, "6")]
+    gold = spark.createDataFrame(spans, "doc_id long, utt_idx int, start int, end int, label string")
+    assert sorted(map(tuple, corpus.undetected(rows, gold).collect())) == sorted(map(tuple, corpus.prepare(rows, gold).undetected().distinct().collect()))
+    assert corpus.undetected(rows, gold.limit(0)).count() == 0 and corpus.undetected(rows.limit(0), gold).count() == 0
+    places, tokens = corpus.gold_places(rows, gold)
+    table = mentions._with_places(places, tokens, "start_char", "end_char", "label").orderBy("doc_id", "tok_idx").toArrow()
+    whole = mentions._missed_batch(table, False, False).to_pylist()
+    for size in (1, 2, 5):
+        parts = mentions.whole_documents(lambda t: mentions._missed_batch(t, False, False), 1)(iter(table.to_batches(size)))
+        assert [r for part in parts for r in part.to_pylist()] == whole and whole
