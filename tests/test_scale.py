@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from helpers import SMALL
 
 from corefold.functions import features as feat
-from corefold.operators import annotate, candidates, embed, mentions, pairs, scoring
+from corefold.operators import annotate, candidates, embed, mentions, metrics, pairs, scoring
 from corefold.plans import corpus, corpus_queries, evaluate, pair_queries, text_queries
 from corefold.runtime import stash, table
 from corefold.streaming import dialogue
@@ -183,3 +183,20 @@ def test_places_of_several_batches_are_compared_with_the_spans_of_their_document
     for size in (1, 2, 5):
         parts = mentions.whole_documents(lambda t: mentions._missed_batch(t, False, False), 1)(iter(table.to_batches(size)))
         assert [r for part in parts for r in part.to_pylist()] == whole and whole
+
+
+def test_identified_mentions_are_counted_in_the_pass_over_the_tokens(spark, monkeypatch):
+    def ident(c):
+        found = metrics.totals(evaluate.identification(c.mentions, c.gold)).where("metric = 'ident'")
+        return [tuple(r) for r in found.select("metric", *metrics.COUNTERS).collect()]
+
+    rows = spark.createDataFrame([(d, 0, "Ann Lee met the man yesterday .".split(), None) for d in range(3)], "doc_id long, utt_idx int, words array<string>, speaker string")
+    # The spans of document 2 do not lie in the text, so its mentions do not count.
+    gold = spark.createDataFrame([(0, 0, 0, 2, "1"), (0, 0, 0, 2, "2"), (0, 0, 1, 2, "1"), (1, 0, 3, 5, "1"), (2, 0, 5, 9, "3")], "doc_id long, utt_idx int, start int, end int, label string")
+    want, small = ident(corpus_queries.prepared(spark, SMALL)), ident(corpus.prepare(rows, gold))
+    assert [tuple(r) for r in evaluate.identified(rows, gold).collect()] == small and small[0][1] > 0
+    assert [tuple(r) for r in evaluate.identified(rows, gold.limit(0)).collect()] == [("ident", 0, 0, 0, 0)]
+    written = _written(monkeypatch)
+    found = corpus_queries.identified_mentions(spark, SMALL)
+    assert written == ["texts"] and _plan(found).count("MapInArrow") == 1
+    assert [tuple(r) for r in found.collect()] == want
